@@ -34,7 +34,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     e.g. manual flags); the default keeps none, as the reference does.
     Idempotent: ``merge(merge(t, s), s) == merge(t, s)``.
     """
-    src = latest_per_key(source.select(*target.columns), keys, order)
+    src = latest_per_key(source, keys, order).select(*target.columns)
     if preserve:
         kept = target.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in preserve])
         src = src.join(kept, list(keys), "left").select(

@@ -1,6 +1,6 @@
 """Import every query module so the registry is complete."""
 
-from reviewops.plans import queries_board, queries_more, queries_ops, queries_sources  # noqa: F401
+from reviewops.plans import queries_board, queries_expr, queries_more, queries_ops, queries_sources  # noqa: F401
 from reviewops.plans.registry import REGISTRY, runner
 
 
