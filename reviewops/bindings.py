@@ -105,22 +105,53 @@ WHERE role = 'user' AND next_role = 'assistant'
 VIEW_NAMES = ("st", "rv", "ai", "lg", "ev", "rp")
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver's parquet tables as temp views (read lazily)."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+_REGISTERED: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
+def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Register the driver's parquet tables as temp views (read lazily).
+
+    Re-registers only when the session's current views point elsewhere."""
+    key = (id(spark), sf_dir)
+    current = _REGISTERED.get(("current", id(spark)))  # type: ignore[arg-type]
+    if key not in _REGISTERED or current != key:
+        frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
+        _REGISTERED[key] = frames
+        _REGISTERED[("current", id(spark))] = key  # type: ignore[index]
+    return _REGISTERED[key]
+
+
+class _Views(dict):
+    """Test views built on first access and kept per session and folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        register_tables(self.spark, self.sf_dir)
+        if name == "dc":
+            df = self.spark.table("documents")
+        elif name == "pg":
+            df = self.spark.table("pages")
+        else:
+            df = self.spark.sql(SPARK_EV if name == "ev" else VIEWS[name])
+        self[name] = df
+        return df
+
+
+_VIEW_CACHE: dict[tuple[int, str], _Views] = {}
 
 
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All test views as DataFrames over ``sf_dir``."""
+    """All test views over ``sf_dir`` (lazy; each built once per session)."""
     register_tables(spark, sf_dir)
-    out = {}
-    for name in VIEW_NAMES:
-        text = SPARK_EV if name == "ev" else VIEWS[name]
-        out[name] = spark.sql(text)
-    out["dc"] = spark.table("documents")
-    out["pg"] = spark.table("pages")
-    return out
+    key = (id(spark), sf_dir)
+    if key not in _VIEW_CACHE:
+        _VIEW_CACHE[key] = _Views(spark, sf_dir)
+    return _VIEW_CACHE[key]
 
 
 def oracle(sql: str, *needed: str) -> str:
