@@ -169,8 +169,7 @@ RV_COLS = ["review_id", "place_id", "stars", "review_text", "owner_reply", "scra
 
 def fresh_reviews(v):
     p = C.valid_ids(parsed_ev(v), ("reviewId", "placeId"))
-    rows = review_row(p, NOW).join(p.select(F.col("reviewId").alias("review_id"), "seq"), "review_id")
-    return rows
+    return review_row(p, NOW, keep=("seq",))
 
 
 @query("merge_upsert", f"""

@@ -14,12 +14,12 @@ from reviewops.functions.values import (business_status, coalesce_truthy, guarde
 from reviewops.operators.filters import flag_brands, geo_box
 
 
-def review_row(raw: DataFrame, now) -> DataFrame:
+def review_row(raw: DataFrame, now, keep=()) -> DataFrame:
     """Parsed raw review (``schemas.RAW_REVIEW`` fields) -> review row.
 
     published time defaults to ``now``; total score defaults to the stars;
     language falls back originalLanguage -> language -> 'unknown'; recheck
-    columns from I4.
+    columns from I4.  ``keep`` passes extra input columns through.
     """
     n = now_col(now)
     stars = safe_int("stars", 0, numbers=True)
@@ -42,6 +42,7 @@ def review_row(raw: DataFrame, now) -> DataFrame:
         state["owner_reply_recheck"].alias("owner_reply_recheck"),
         state["owner_reply_recheck_at"].alias("owner_reply_recheck_at"),
         state["next_check_at"].alias("next_check_at"),
+        *keep,
     )
 
 
