@@ -61,9 +61,23 @@ def kpis(visible: DataFrame, inventory: DataFrame, approx: bool = False) -> Data
                     .alias("districts"))
     heat = district_heat(inv, approx).limit(1).select(
         F.col("district").alias("hottest_district"), F.col("mean_intensity").alias("hottest_score"))
-    # every side is a single row (or none for `heat`): equi-joins on a constant
-    base = stores.withColumn("_k", F.lit(1)).join(cases.withColumn("_k", F.lit(1)), "_k")
-    return base.join(heat.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    return one_row(stores, cases, heat)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Side by side columns of frames with at most one row each.
+
+    A union of the frames (each padded with NULL columns) aggregated with
+    ``max``: no join, so no keyless (nested-loop) join in the plan.
+    """
+    names = [c for f in frames for c in f.columns]
+    types = {c: t for f in frames for c, t in f.dtypes}
+    padded = [f.select(*[F.col(c) if c in f.columns else F.lit(None).cast(types[c]).alias(c) for c in names])
+              for f in frames]
+    u = padded[0]
+    for p in padded[1:]:
+        u = u.unionByName(p)
+    return u.agg(*[F.max(c).alias(c) for c in names])
 
 
 def district_summary(visible: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -128,7 +142,7 @@ def progress_counts(reviews: DataFrame, analyses: DataFrame) -> DataFrame:
         F.count_if(replied & F.col("_done").isNotNull()).alias("analysed"),
         F.count_if(replied & F.col("_done").isNull()).alias("pending"))
     total = analyses.agg(F.count(F.lit(1)).alias("analysis_rows"))
-    return counts.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return one_row(counts, total)
 
 
 def flag_counts(df: DataFrame, flags=("blocked", "skip_review_fetch")) -> DataFrame:

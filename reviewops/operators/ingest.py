@@ -55,7 +55,8 @@ def etl_stats(raw: DataFrame, classified: DataFrame, batch: str | None = None) -
     if on:
         j = raw_n.join(c, on, "left")
     else:
-        j = raw_n.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        from reviewops.operators.aggregates import one_row
+        j = one_row(raw_n, c)
     j = j.na.fill(0)
     j = j.withColumn("dedupe_skipped", F.col("raw_count") - F.col("_kept")).drop("_kept")
     return j.withColumn("skipped", F.col("dedupe_skipped") + F.col("invalid_skipped")

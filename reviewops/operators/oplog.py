@@ -53,21 +53,17 @@ def close_run(log: DataFrame, updates: DataFrame, seq: str = "version") -> DataF
     """Record status changes of runs as appended versions.
 
     ``updates`` rows carry ``id`` plus any of the log columns; they are
-    appended with a higher ``version`` than every existing row, so
-    ``current_runs`` sees the last state of each run.  The log itself is
+    appended with the next ``version`` of their run, so ``current_runs``
+    sees the last state of each run.  The log itself is
     append-only, which keeps writers independent and survives retries.
     """
     base = log if seq in log.columns else log.withColumn(seq, F.lit(0))
-    top = base.agg(F.coalesce(F.max(seq), F.lit(0)).alias("_top"))
     prev = distinct_on(base, ["id"], [F.col(seq).desc()])
     cols = [c for c in base.columns if c != seq]
     merged = updates.alias("u").join(prev.alias("p"), "id", "inner").select(
         "id", *[(F.coalesce(F.col(f"u.{c}"), F.col(f"p.{c}")) if c in updates.columns else F.col(f"p.{c}"))
-                .alias(c) for c in cols if c != "id"])
-    # `top` is a single row: an equi-join on a constant attaches it
-    merged = merged.withColumn("_k", F.lit(1)).join(top.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    appended = merged.select(*cols, (F.col("_top") + 1).alias(seq))
-    return base.unionByName(appended)
+                .alias(c) for c in cols if c != "id"], (F.col(f"p.{seq}") + 1).alias(seq))
+    return base.unionByName(merged.select(*cols, seq))
 
 
 def current_runs(log: DataFrame, seq: str = "version") -> DataFrame:

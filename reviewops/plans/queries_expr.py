@@ -144,9 +144,10 @@ def daily_post_text(top, template: str = POST_TEMPLATE, fallback: str = POST_FAL
         .replace("{owner_score}", "%4$s").replace("{reply}", "%5$s").replace("{url}", "%6$s")
     text = F.format_string(parts, cut("review_text"), cut("owner_reply"), F.col("review_score").cast("string"),
                            F.col("owner_score").cast("string"), cut("pr_reply"), F.coalesce("review_url", F.lit("")))
-    one = spark.range(1).select(F.lit(1).alias("_k"))
-    return one.join(top.withColumn("_k", F.lit(1)), "_k", "left").select(
-        F.when(F.col("review_id").isNull(), F.lit(fallback)).otherwise(text).alias("text"))
+    # the case (priority 1) or the fallback row (priority 0): no join needed
+    case = top.select(text.alias("text"), F.lit(1).alias("_prio"))
+    fallback_row = spark.range(1).select(F.lit(fallback).alias("text"), F.lit(0).alias("_prio"))
+    return case.unionByName(fallback_row).agg(F.max_by("text", "_prio").alias("text"))
 
 
 @query("daily_post_text", """

@@ -80,7 +80,10 @@ def q_stream_daily_counts(v):
 
 
 @query("stream_backlog", """
-, cut AS (SELECT max(started_at) - INTERVAL 1 HOUR - INTERVAL 20 MINUTE AS c FROM lg)
+, cut AS (SELECT least(
+    (SELECT max(started_at) FROM lg WHERE status = 'started' AND run_id IS NOT NULL),
+    (SELECT max(started_at) FROM lg WHERE status = 'success' AND run_id IS NOT NULL))
+    - INTERVAL 1 HOUR - INTERVAL 20 MINUTE AS c)
 SELECT e.pipeline, e.run_id, e.started_at FROM lg e
 WHERE e.status = 'started' AND e.run_id IS NOT NULL AND e.started_at <= (SELECT c FROM cut)
   AND NOT EXISTS (SELECT 1 FROM lg s WHERE s.status = 'success' AND s.run_id = e.run_id
@@ -92,7 +95,11 @@ def q_stream_backlog(v):
     started = lg_a.filter((F.col("status") == "started") & F.col("run_id").isNotNull())
     success = lg_b.filter((F.col("status") == "success") & F.col("run_id").isNotNull())
     out = J.run_to_table(J.stream_backlog(started, success, "1 hour", "10 minutes"), name="backlog")
-    # compare only starts whose match window is closed
-    cut = v["lg"].agg((F.max("started_at") - F.expr("INTERVAL 80 MINUTES")).alias("_cut"))
-    return (out.withColumn("_k", F.lit(1)).join(cut.withColumn("_k", F.lit(1)), "_k")
-            .filter(F.col("started_at") <= F.col("_cut")).select("pipeline", "run_id", "started_at"))
+    # compare only starts whose match window is closed: the join's watermark
+    # is the minimum over both inputs (Spark's default multi-watermark policy)
+    lg = v["lg"].filter(F.col("run_id").isNotNull())
+    cut = lg.agg(F.least(F.max(F.when(F.col("status") == "started", F.col("started_at"))),
+                         F.max(F.when(F.col("status") == "success", F.col("started_at"))))
+                 .alias("_last")).select((F.col("_last") - F.expr("INTERVAL 80 MINUTES")).alias("_cut"))
+    # a scalar subquery: evaluated once, no join
+    return out.filter(F.col("started_at") <= cut.scalar()).select("pipeline", "run_id", "started_at")

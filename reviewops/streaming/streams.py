@@ -27,13 +27,18 @@ def as_event_time(c) -> "F.Column":
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A file stream over one parquet table of ``sf_dir`` (schema taken from
-    the files, no inference at stream time)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A file stream over one parquet table of ``sf_dir``: a single
+    ``<table>.parquet`` file or a folder of that name.  The schema is taken
+    from the files (no inference at stream time)."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
