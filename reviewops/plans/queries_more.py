@@ -352,3 +352,19 @@ FROM (SELECT place_id, coalesce(one_star, 0) + coalesce(two_star, 0) + coalesce(
               coalesce(five_star, 0)]) AS count FROM st WHERE NOT blocked) t""", ("st",))
 def q_rating_histogram(v):
     return E.rating_histogram(v["st"])
+
+
+@query("normalise_reviews", f"""
+SELECT review_id, place_id, has_owner_reply, has_ai,
+  CASE WHEN has_ai THEN (guest_score + owner_score) / 2.0 END AS intensity FROM (
+  SELECT r.review_id, r.place_id, {py_nonblank('r.owner_reply')} AS has_owner_reply,
+    CAST(coalesce(a.review_score, 0) AS DOUBLE) AS guest_score, CAST(coalesce(a.owner_score, 0) AS DOUBLE) AS owner_score,
+    {has_scores('coalesce(a.review_score, 0)', 'coalesce(a.owner_score, 0)', "coalesce(a.review_sentiment, '')",
+                "coalesce(a.owner_sentiment, '')", "coalesce(a.pr_reply, '')")} AS has_ai,
+    row_number() OVER (PARTITION BY r.place_id ORDER BY r.stars ASC NULLS LAST, r.published_at DESC NULLS LAST,
+                       r.review_id) AS rn
+  FROM rv r LEFT JOIN ai a ON a.review_id = r.review_id WHERE r.stars <= 2) t WHERE rn <= 200""", ("rv", "ai"))
+def q_normalise_reviews(v):
+    from reviewops.sources.rows import normalise_reviews
+    out = normalise_reviews(D.reviews_with_scores(v["rv"], v["ai"], limit=200))
+    return out.select("review_id", "place_id", "has_owner_reply", "has_ai", "intensity")
