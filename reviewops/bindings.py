@@ -123,6 +123,27 @@ def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _REGISTERED[key]
 
 
+def _materialise(spark: SparkSession, df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """Write a test view once as the stored table it stands for (parquet in
+    the shared checkpoint folder) and read it back; later sessions reuse a
+    complete copy.  Set REVIEWOPS_MATERIALISE=0 to keep views as plans."""
+    import hashlib
+    import os
+
+    from reviewops.session import ensure_checkpoint_dir
+
+    if os.environ.get("REVIEWOPS_MATERIALISE", "1") == "0":
+        return df
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views-{tag}/{name}"
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 class _Views(dict):
     """Test views built on first access and kept per session and folder."""
 
@@ -137,7 +158,8 @@ class _Views(dict):
         elif name == "pg":
             df = self.spark.table("pages")
         else:
-            df = self.spark.sql(SPARK_EV if name == "ev" else VIEWS[name])
+            df = _materialise(self.spark, self.spark.sql(SPARK_EV if name == "ev" else VIEWS[name]),
+                              self.sf_dir, name)
         self[name] = df
         return df
 
