@@ -53,9 +53,13 @@ def district_heat(inventory: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def kpis(visible: DataFrame, inventory: DataFrame, approx: bool = False) -> DataFrame:
-    """One row: visible places, their cases, known districts, hottest district."""
-    inv = inventory.join(visible.select(F.col("store_id")).distinct(), "store_id", "left_semi")
-    stores = visible.agg(_distinct("store_id", approx).cast("long").alias("stores"))
+    """One row: visible places, their cases, known districts, hottest district.
+
+    Both uses of ``visible`` read the same projection, so Spark plans its
+    subtree once and reuses the exchange."""
+    ids = visible.select("store_id")
+    inv = inventory.join(ids.distinct(), "store_id", "left_semi")
+    stores = ids.agg(_distinct("store_id", approx).cast("long").alias("stores"))
     cases = inv.agg(_distinct("review_id", approx).cast("long").alias("cases"),
                     _distinct(F.when(valid_district(), F.col("district")), approx).cast("long")
                     .alias("districts"))
@@ -82,8 +86,9 @@ def one_row(*frames: DataFrame) -> DataFrame:
 
 def district_summary(visible: DataFrame, inventory: DataFrame) -> DataFrame:
     """Places vs cases per known district (full outer, missing = 0)."""
-    inv = inventory.join(visible.select("store_id").distinct(), "store_id", "left_semi")
-    a = visible.groupBy("district").agg(F.countDistinct("store_id").cast("long").alias("stores"))
+    vd = visible.select("store_id", "district")
+    inv = inventory.join(vd.select("store_id").distinct(), "store_id", "left_semi")
+    a = vd.groupBy("district").agg(F.countDistinct("store_id").cast("long").alias("stores"))
     b = inv.filter(valid_district()).groupBy("district").agg(
         F.countDistinct("review_id").cast("long").alias("cases"))
     out = a.join(b, "district", "full").na.fill({"stores": 0, "cases": 0})

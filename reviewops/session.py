@@ -18,6 +18,9 @@ SESSION_DEFAULTS = {
     # Keep the Arrow batch for K1 scorers at the reference's model batch size
     # multiple so a batch never splits a 50-row request across calls.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    # Call-site capture for DataFrame error messages costs several JVM round
+    # trips per Column function while a plan is built; batch jobs skip it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
