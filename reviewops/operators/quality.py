@@ -3,7 +3,8 @@
 Only distinct whitespace-free replies are scored, each against the few
 templates; a Column-side length bound removes pairs that cannot reach the
 threshold (``ratio = 2M/(la+lb) <= 2*min(la,lb)/(la+lb)``) before any Python
-runs, and the survivors go through the Arrow-batched H2 UDF.  The bound is
+runs, and the survivors go through an Arrow-batched UDF that decides
+``ratio >= t`` from difflib's cheap upper bounds first.  The bound is
 exact: it never drops a pair that could match.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewops import schemas as K
-from reviewops.functions.similarity import gestalt_ratio
+from reviewops.functions.similarity import similar
 from reviewops.functions.text import py_strip, squash_ws
 
 
@@ -47,8 +48,12 @@ def generic_reply(df: DataFrame, reply: str = "owner_reply", templates=K.GENERIC
     # above): each distinct reply meets only the templates it could match
     pairs = distinct.join(F.broadcast(tpl),
                           F.lit(2.0) * F.least("_la", "_lb") / (F.col("_la") + F.col("_lb")) >= t)
-    scored = pairs.withColumn("_ratio", gestalt_ratio("_rkey", "template"))
-    hits = scored.filter(F.col("_ratio") >= t).select("_rkey").distinct().withColumn(out, F.lit(True))
+    # Python similarity is CPU-bound: spread the (small) pair set over the
+    # shuffle partitions so AQE does not coalesce it into a single task
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(n, "_rkey")
+    hits = (pairs.filter(similar("_rkey", "template", t)).select("_rkey").distinct()
+            .withColumn(out, F.lit(True)))
     return (keyed.join(hits, "_rkey", "left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_rkey"))
 
