@@ -32,16 +32,23 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     Duplicate keys in ``source`` resolve to the last row by ``order``.
     ``preserve`` lists columns whose target value survives a replace (I7,
     e.g. manual flags); the default keeps none, as the reference does.
-    Idempotent: ``merge(merge(t, s), s) == merge(t, s)``.
+    One full outer join on the key: the source is evaluated once and each
+    side is shuffled once.  Idempotent: ``merge(merge(t, s), s) == merge(t, s)``.
     """
     src = latest_per_key(source, keys, order).select(*target.columns)
-    if preserve:
-        kept = target.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in preserve])
-        src = src.join(kept, list(keys), "left").select(
-            *[F.coalesce(F.col(f"_old_{c}"), F.col(c)).alias(c) if c in preserve else F.col(c)
-              for c in target.columns])
-    untouched = target.join(src.select(*keys), list(keys), "left_anti")
-    return untouched.unionByName(src)
+    s = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in target.columns if c not in keys],
+                   F.lit(True).alias("_in_s"))
+    j = target.join(s, list(keys), "full")
+    out = []
+    for c in target.columns:
+        if c in keys:
+            out.append(F.col(c))
+        elif c in preserve:
+            out.append(F.when(F.col("_in_s").isNull(), F.col(c))
+                       .otherwise(F.coalesce(F.col(c), F.col(f"_s_{c}"))).alias(c))
+        else:
+            out.append(F.when(F.col("_in_s").isNull(), F.col(c)).otherwise(F.col(f"_s_{c}")).alias(c))
+    return j.select(*out)
 
 
 def merge_columns(target: DataFrame, source: DataFrame, keys: Sequence[str],
