@@ -123,7 +123,7 @@ def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _REGISTERED[key]
 
 
-def _materialise(spark: SparkSession, df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+def _materialise(spark: SparkSession, df: DataFrame, sf_dir: str, name: str, text: str = "") -> DataFrame:
     """Write a test view once as the stored table it stands for (parquet in
     the shared checkpoint folder) and read it back; later sessions reuse a
     complete copy.  Set REVIEWOPS_MATERIALISE=0 to keep views as plans."""
@@ -134,7 +134,7 @@ def _materialise(spark: SparkSession, df: DataFrame, sf_dir: str, name: str) ->
 
     if os.environ.get("REVIEWOPS_MATERIALISE", "1") == "0":
         return df
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    tag = hashlib.sha1((sf_dir + "\n" + text).encode()).hexdigest()[:12]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views-{tag}/{name}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -158,8 +158,8 @@ class _Views(dict):
         elif name == "pg":
             df = self.spark.table("pages")
         else:
-            df = _materialise(self.spark, self.spark.sql(SPARK_EV if name == "ev" else VIEWS[name]),
-                              self.sf_dir, name)
+            text = SPARK_EV if name == "ev" else VIEWS[name]
+            df = _materialise(self.spark, self.spark.sql(text), self.sf_dir, name, text)
         self[name] = df
         return df
 

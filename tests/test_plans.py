@@ -86,7 +86,8 @@ def test_plan_shape(spark, key):
 
 def test_scan_prunes_columns_and_pushes_filters(spark, tmp_path):
     low = QUERIES["low_star"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in low
+    assert "ReadSchema: struct<review_id:string,stars:int>" in low
+    assert "PushedFilters: [In(stars, [1,2])]" in low
     # an operator over stored columns: the predicate reaches the parquet scan
     from reviewops.operators.filters import geo_box
     path = str(tmp_path / "places")
