@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewops.bindings import oracle, views
-from reviewops.session import ensure_checkpoint_dir
+from reviewops.session import apply_defaults, ensure_checkpoint_dir
 
 
 @dataclass
@@ -34,6 +34,7 @@ def query(key: str, sql: str | None = None, uses: tuple[str, ...] = ()):
 
 def runner(key: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)          # UTC session zone, AQE, skew join
         ensure_checkpoint_dir(spark)
         return REGISTRY[key].build(views(spark, sf_dir))
     run.__name__ = key

@@ -48,7 +48,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Apply the library's SQL settings to an existing (cluster) session."""
     for key, value in SESSION_DEFAULTS.items():
-        spark.conf.set(key, value)
+        try:
+            if spark.conf.get(key, None) != value:
+                spark.conf.set(key, value)
+        except Exception:  # noqa: BLE001 - static settings apply only at session start
+            pass
     return spark
 
 
