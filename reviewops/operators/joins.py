@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from reviewops import schemas as K
-from reviewops.functions.text import district as _district, raw_nonblank, sql_nonblank
-from reviewops.functions.values import now_col
+from reviewops.functions.text import district as _district, raw_nonblank
 from reviewops.operators.filters import scored_cases
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewops.functions.text import col_
 from reviewops.functions.values import coalesce_truthy, now_col, safe_float, safe_timestamp
 from reviewops.operators.ordering import distinct_on
 from reviewops.operators.setops import ingested_run_ids

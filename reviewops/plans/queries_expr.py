@@ -23,7 +23,7 @@ from reviewops.operators.recheck import advance_recheck, due_rechecks
 from reviewops.plans.queries_more import short_name_sql
 from reviewops.plans.queries_sources import parsed_ev
 from reviewops.plans.registry import query
-from reviewops.plans.sqltext import PY_WS, district, py_nonblank, sql_nonblank, strip
+from reviewops.plans.sqltext import PY_WS, district, py_nonblank, strip
 from reviewops.sources.rows import review_row
 
 # ------------------------------------------------------------ H expressions

@@ -6,28 +6,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewops import schemas as K
-from reviewops.bindings import NOW
 from reviewops.functions import scores as S
 from reviewops.functions import text as X
-from reviewops.functions.similarity import gestalt_ratio
 from reviewops.operators import aggregates as E
 from reviewops.operators import filters as C
 from reviewops.operators import joins as D
-from reviewops.operators import merge as M
 from reviewops.operators import ordering as O
-from reviewops.operators import oplog as L
-from reviewops.operators import scoring as SC
-from reviewops.operators.batching import batch_members
-from reviewops.operators.ingest import classify_raw, etl_stats, ingest_batch, salvage_ingest
-from reviewops.operators.quality import generic_reply
-from reviewops.operators.recheck import advance_recheck, due_rechecks
+from reviewops.operators.ingest import classify_raw, etl_stats
 from reviewops.operators.rollups import intensity_board, max_positive, place_board
 from reviewops.plans.queries_board import ANALYSIS_ROLLUP_SQL, REVIEW_ROLLUP_SQL
 from reviewops.plans.queries_ops import CASE_INV_SQL, SCORED_SQL
 from reviewops.plans.queries_sources import parsed_ev
 from reviewops.plans.registry import query
-from reviewops.plans.sqltext import IN_CITY, PY_WS, district, has_scores, py_nonblank, sql_nonblank, strip
-from reviewops.sources.rows import normalise_places, review_row
+from reviewops.plans.sqltext import IN_CITY, PY_WS, district, has_scores, py_nonblank, strip
+from reviewops.sources.rows import normalise_places
 
 
 def short_name_sql(x: str, limit: int = K.DISPLAY_NAME_LIMIT) -> str:

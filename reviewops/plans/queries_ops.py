@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewops import schemas as K
 from reviewops.bindings import NOW
 from reviewops.functions.text import district
 from reviewops.operators import filters as C

@@ -7,14 +7,12 @@ from pyspark.sql import types as T
 
 from reviewops import schemas as K
 from reviewops.bindings import NOW
-from reviewops.functions import text as X
 from reviewops.functions import values as V
 from reviewops.functions.scores import fetch_limit
 from reviewops.operators.filters import eligible_places
 from reviewops.plans.registry import query
 from reviewops.sources import raw as RAW
 from reviewops.sources import rows as ROWS
-from reviewops.operators.rollups import place_board
 
 
 def parsed_ev(v):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from reviewops import schemas as K
 from reviewops.functions.scores import has_scores, initial_recheck, intensity
-from reviewops.functions.text import col_, district, py_nonblank, short_name
-from reviewops.functions.values import (business_status, coalesce_truthy, guarded_ratio, join_list,
+from reviewops.functions.text import district, py_nonblank, short_name
+from reviewops.functions.values import (business_status, coalesce_truthy, guarded_ratio, join_list, 
                                         list_to_json_text, now_col, safe_float, safe_int, safe_timestamp)
 from reviewops.operators.filters import flag_brands, geo_box
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewops import schemas as K
-from reviewops.functions.text import py_nonblank
 from reviewops.session import ensure_checkpoint_dir
 
 
