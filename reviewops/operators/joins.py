@@ -158,9 +158,13 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.01, leve
     pts = points.select(F.col(point_key).alias("_pid"), F.col("lat").alias("_plat"),
                         F.col("lng").alias("_plng")).filter(F.col("_plat").isNotNull()
                                                             & F.col("_plng").isNotNull())
-    pl = places.select(F.col(place_key).alias("_sid"), F.col("lat").alias("_slat"),
-                       F.col("lng").alias("_slng")).filter(F.col("_slat").isNotNull()
-                                                           & F.col("_slng").isNotNull())
+    # Places at identical coordinates: only the smallest key can ever win the
+    # (distance, key) order, so one representative per location is exact and
+    # keeps a hot spot of co-located places from multiplying candidate pairs.
+    pl = (places.select(F.col(place_key).alias("_sid"), F.col("lat").alias("_slat"),
+                        F.col("lng").alias("_slng"))
+          .filter(F.col("_slat").isNotNull() & F.col("_slng").isNotNull())
+          .groupBy("_slat", "_slng").agg(F.min("_sid").alias("_sid")))
     all_levels = F.array(*[F.lit(k) for k in range(levels)])
     indexed = pl.select("*", F.explode(all_levels).alias("_lvl")).select(
         "*", (F.lit(cell) * F.pow(F.lit(2.0), F.col("_lvl"))).alias("_size")).select(
