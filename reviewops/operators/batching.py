@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from reviewops import schemas as K
 from reviewops.functions.text import col_
@@ -37,9 +36,12 @@ def global_index(df: DataFrame, order: Sequence, partitions: int | None = None,
     # executor does not renumber rows.
     tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # at most `n` rows: a window over them is a tiny single task
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-                            .alias("_off"))
+    # at most `n` rows: prefix sums over one sorted array (no window, no
+    # single-partition shuffle of data rows)
+    arr = counts.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_a"))
+    offsets = arr.select(F.inline(F.transform("_a", lambda x, i: F.struct(
+        x["_part"].alias("_part"),
+        F.aggregate(F.slice("_a", 1, i), F.lit(0).cast("long"), lambda acc, y: acc + y["_n"]).alias("_off")))))
     return (tagged.join(F.broadcast(offsets), "_part")
             .withColumn(out, F.col("_off") + F.col("_pos")).drop("_part", "_pos", "_off"))
 

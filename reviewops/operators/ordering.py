@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from reviewops import schemas as K
 from reviewops.functions.text import col_, sql_nonblank
 from reviewops.functions.values import now_col
+from reviewops.operators.best import sort_key
 from reviewops.operators.filters import scored_cases
 
 
@@ -94,11 +95,17 @@ def rank_split(df: DataFrame, board: str, podium: int = 3, rest: int = 27) -> Da
     few rows only."""
     top = ranking(df, board, podium + rest)
     score, ascending = BOARDS[board]
-    order = [F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()]
+    order = [(score, "asc" if ascending else "desc", "nulls_last")]
     if board == "fiercest_owner":
-        order.append(F.col("owner_score").desc_nulls_last())
-    order += [F.col("db_review_count").desc_nulls_last(), F.col("store_id").asc()]
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        order.append(("owner_score", "desc", "nulls_last"))
+    order += [("db_review_count", "desc", "nulls_last"), ("store_id", "asc", "nulls_last", "str")]
+    # number the (at most podium + rest) rows inside one sorted array: no
+    # window over an unpartitioned frame
+    cols = top.columns
+    arr = top.agg(F.sort_array(F.collect_list(F.struct(sort_key(order).alias("k"),
+                                                      F.struct(*cols).alias("r")))).alias("_a"))
+    ranked = arr.select(F.posexplode("_a").alias("_pos", "_e")).select(
+        *[F.col(f"_e.r.{c}").alias(c) for c in cols], (F.col("_pos") + 1).alias("rank"))
     return ranked.withColumn("tier", F.when(F.col("rank") <= podium, "podium").otherwise("list"))
 
 
