@@ -8,6 +8,8 @@ Spark spelling of its own: the two-row duplication is a generator
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -129,6 +131,7 @@ def _materialise(spark: SparkSession, df: DataFrame, sf_dir: str, name: str, tex
     complete copy.  Set REVIEWOPS_MATERIALISE=0 to keep views as plans."""
     import hashlib
     import os
+    import uuid
 
     from reviewops.session import ensure_checkpoint_dir
 
@@ -137,13 +140,23 @@ def _materialise(spark: SparkSession, df: DataFrame, sf_dir: str, name: str, tex
     tag = hashlib.sha1((sf_dir + "\n" + text).encode()).hexdigest()[:12]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views-{tag}/{name}"
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        df.write.mode("overwrite").parquet(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(conf)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        # write aside, then rename into place: a concurrent writer of the same
+        # view never exposes a half-written folder to readers
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+        df.write.mode("overwrite").parquet(tmp)
+        moved = not fs.exists(final) and fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final)
+        if not moved and not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            return spark.read.parquet(tmp)      # our own complete copy
     return spark.read.parquet(path)
 
 
+_LOCK = threading.RLock()
+
+
 class _Views(dict):
     """Test views built on first access and kept per session and folder."""
 
@@ -152,6 +165,12 @@ class _Views(dict):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
+        with _LOCK:
+            if name in self:
+                return self[name]
+            return self._build(name)
+
+    def _build(self, name: str) -> DataFrame:
         register_tables(self.spark, self.sf_dir)
         if name == "dc":
             df = self.spark.table("documents")

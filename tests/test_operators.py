@@ -237,3 +237,32 @@ def test_conform_and_flatten(spark):
     assert sorted(tuple(r["_errors"]) for r in bad.collect()) == [("null:k",), ("too_long:k",)]
     nested = spark.createDataFrame([(1, (2.0, (3,)))], "id int, loc struct<lat double, deep struct<x int>>")
     assert RAW.flatten_nested(nested).columns == ["id", "loc.lat", "loc.deep.x"]
+
+
+def test_rollups_and_top_k_under_a_hot_place(spark):
+    """One place holds a third of all reviews: results equal brute force."""
+    import pandas as pd
+    rnd = random.Random(17)
+    rows = []
+    for i in range(900):
+        place = "hot" if i % 3 == 0 else f"p{rnd.randint(0, 40)}"
+        rows.append((f"r{i:04d}", place, rnd.choice([1, 2, 3]), f"text {i}",
+                     T0 + timedelta(hours=rnd.randint(0, 500)), f"u{i}",
+                     rnd.choice([None, "  ", f"reply {i}"])))
+    schema = ("review_id string, place_id string, stars int, review_text string, "
+              "published_at timestamp_ntz, review_url string, owner_reply string")
+    df = spark.createDataFrame(rows, schema).repartition(8)
+    got = {r["place_id"]: r for r in review_rollup(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["review_id", "place_id", "stars", "review_text", "published_at",
+                                      "review_url", "owner_reply"])
+    low = pdf[pdf.stars <= 2]
+    for place, g in low.groupby("place_id"):
+        r = got[place]
+        assert r["review_rows"] == len(g)
+        assert r["owner_reply_rows"] == g.owner_reply.notna().sum()
+        first = g.sort_values(["stars", "published_at", "review_id"], ascending=[True, False, True]).iloc[0]
+        assert r["drama_stars"] == first.stars and r["latest_review_url"] == first.review_url
+    w = df.filter(F.col("stars") <= 2).select("place_id", "review_id", "published_at")
+    top = O.distinct_on(w, ["place_id"], [F.col("published_at").desc(), F.col("review_id").asc()])
+    want = low.sort_values(["published_at", "review_id"], ascending=[False, True]).groupby("place_id").head(1)
+    assert sorted(r["review_id"] for r in top.collect()) == sorted(want.review_id)
