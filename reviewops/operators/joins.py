@@ -121,6 +121,16 @@ def missing_parents(child: DataFrame, parent: DataFrame, key: str = "place_id")
         parent.select(key), key, "left_anti")
 
 
+def assert_no_missing(missing: DataFrame, what: str = "parent rows") -> None:
+    """D13 fail mode: raise when any child key lacks its parent.
+
+    Reads at most a handful of keys for the message (no full collect)."""
+    sample = missing.limit(5).collect()
+    if sample:
+        keys = ", ".join(str(r[0]) for r in sample)
+        raise ValueError(f"missing {what} for keys: {keys}{' ...' if len(sample) == 5 else ''}")
+
+
 def scorer_completeness(request: DataFrame, response: DataFrame, key: str = "review_id") -> DataFrame:
     """Pair scorer output with its request row by id.
 

@@ -110,12 +110,15 @@ def rank_split(df: DataFrame, board: str, podium: int = 3, rest: int = 27) -> Da
 
 
 def page(df: DataFrame, order: Sequence, page_no: int = 1, size: int = K.PAGE_SIZE_MAX,
-         max_size: int = K.PAGE_SIZE_MAX, after: Sequence | None = None):
+         max_size: int = K.PAGE_SIZE_MAX, after: Sequence | None = None, clamp_to_last: bool = False):
     """one page and the total row count.
 
     ``page_no`` >= 1, size clamped to ``1..max_size``.  With ``after`` (the
     sort values of the last row seen, all-ascending keys) the page is taken
-    by keyset instead of offset, which stays cheap for deep pages.
+    by keyset instead of offset, which stays cheap for deep pages.  With
+    ``clamp_to_last`` a page past the end shows the last page: rows are
+    numbered by the distributed global index (F10) and the start position is
+    a scalar subquery on the total, so nothing is collected.
     Returns ``(page DF, total DF)``.
     """
     size = max(1, min(int(size), max_size))
@@ -134,6 +137,16 @@ def page(df: DataFrame, order: Sequence, page_no: int = 1, size: int = K.PAGE_SI
             term = gt if eq is None else (eq & gt)
             cond = term if cond is None else (cond | term)
         return df.filter(cond).orderBy(*cols).limit(size), total
+    if clamp_to_last:
+        from reviewops.operators.batching import global_index
+        start = total.select(F.least(
+            F.lit((page_no - 1) * size).cast("long"),
+            F.greatest(F.lit(0).cast("long"),
+                       ((F.ceil(F.col("total") / F.lit(size)) - 1) * F.lit(size)).cast("long"))).alias("s"))
+        idx = global_index(df, cols)
+        s = start.scalar()
+        return (idx.filter((F.col("row_index") >= s) & (F.col("row_index") < s + F.lit(size)))
+                .orderBy("row_index").drop("row_index"), total)
     return df.orderBy(*cols).offset((page_no - 1) * size).limit(size), total
 
 

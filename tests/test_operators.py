@@ -266,3 +266,18 @@ def test_rollups_and_top_k_under_a_hot_place(spark):
     top = O.distinct_on(w, ["place_id"], [F.col("published_at").desc(), F.col("review_id").asc()])
     want = low.sort_values(["published_at", "review_id"], ascending=[False, True]).groupby("place_id").head(1)
     assert sorted(r["review_id"] for r in top.collect()) == sorted(want.review_id)
+
+
+def test_page_clamps_to_last_and_missing_parents(spark):
+    df = spark.range(10).select(F.col("id").alias("k"))
+    last, total = O.page(df, ["k"], page_no=9, size=3, clamp_to_last=True)
+    assert [r["k"] for r in last.collect()] == [9]
+    mid, _ = O.page(df, ["k"], page_no=2, size=3, clamp_to_last=True)
+    assert [r["k"] for r in mid.collect()] == [3, 4, 5]
+    child = spark.createDataFrame([("a",), ("b",), ("z",)], "place_id string")
+    parent = spark.createDataFrame([("a",), ("b",)], "place_id string")
+    missing = D.missing_parents(child, parent)
+    assert [r[0] for r in missing.collect()] == ["z"]
+    with pytest.raises(ValueError, match="z"):
+        D.assert_no_missing(missing)
+    D.assert_no_missing(D.missing_parents(parent, child))
