@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,13 +140,28 @@ def recheck_step(published_ms: int | None, reply: str | None, at_ms: int,
     return "scheduled", True, at_ms + after_days * _DAY_MS
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_ONE_MS = timedelta(milliseconds=1)
+
+
+def _ms(dt: datetime) -> int:
+    """Epoch milliseconds of a Row timestamp (naive values are in the
+    worker's local zone, as PySpark hands them over)."""
+    return (dt.astimezone(timezone.utc) - _EPOCH) // _ONE_MS
+
+
+def _ts(ms: int | None) -> datetime | None:
+    return None if ms is None else _EPOCH + timedelta(milliseconds=ms)
 
 
 def _recheck_processor():
+    from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    def out(rid, event, active, at_ms, next_ms):
+        return Row(review_id=rid, event=event, owner_reply_recheck=active, at=_ts(at_ms),
+                   next_check_at=_ts(next_ms))
+
     class RecheckProcessor(StatefulProcessor):
         """Keyed by review: next check as an event-time timer, expiry 10 days
         after publication as a second timer."""
@@ -157,47 +172,49 @@ def _recheck_processor():
                 "recheck", T.StructType([T.StructField("published_ms", T.LongType()),
                                          T.StructField("next_ms", T.LongType())]))
 
-        def _emit(self, rid, event, active, at_ms, next_ms):
-            return pd.DataFrame({
-                "review_id": [rid], "event": [event], "owner_reply_recheck": [active],
-                "at": [pd.Timestamp(at_ms, unit="ms")],
-                "next_check_at": [pd.Timestamp(next_ms, unit="ms") if next_ms is not None else pd.NaT]})
-
-        def _clear(self):
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.state.clear()
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:
+            # recheck_step does not read the state, so every row's event comes
+            # from the row alone; only the last row (in event time) decides the
+            # state and the timers, which are written once per key and batch
             rid = key[0]
-            frames = list(rows)
-            pdf = pd.concat(frames).sort_values("event_time")
-            out = []
-            for rec in pdf.itertuples(index=False):
-                at = _ms(rec.event_time)
-                pub = _ms(rec.published_at) if pd.notna(rec.published_at) else None
-                event, active, nxt = recheck_step(pub, rec.owner_reply, at)
-                out.append(self._emit(rid, event, active, at, nxt))
-                self._clear()
-                if active:
-                    p = pub if pub is not None else at
-                    self.state.update((p, nxt))
-                    self.handle.registerTimer(nxt)
-                    self.handle.registerTimer(p + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1)
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            obs = sorted(((_ms(r.event_time), r.published_at, r.owner_reply) for r in rows),
+                         key=lambda t: t[0])
+            last = None
+            for at, published, reply in obs:
+                pub = _ms(published) if published is not None else None
+                event, active, nxt = recheck_step(pub, reply, at)
+                last = (active, pub if pub is not None else at, nxt)
+                yield out(rid, event, active, at, nxt)
+            if last is None:
+                return
+            if self.state.exists():          # timers left by an earlier batch
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.state.clear()
+            active, p, nxt = last
+            if active:
+                self.state.update((p, nxt))
+                self.handle.registerTimer(nxt)
+                self.handle.registerTimer(p + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             rid = key[0]
             fired = expiredTimerInfo.getExpiryTimeInMs()
-            if not self.state.exists():
+            st = self.state.get()
+            if st is None:
                 return
-            pub, nxt = self.state.get()
-            if fired > pub + K.RECHECK_MAX_AGE_DAYS * _DAY_MS:
-                self._clear()
-                yield self._emit(rid, "expired", False, fired, None)
+            pub, nxt = st
+            expiry = pub + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1
+            if fired >= expiry:
+                # timers fire in time order: of the two registered ones, only
+                # a later one can still be pending
+                for t in {nxt, expiry}:
+                    if t > fired:
+                        self.handle.deleteTimer(t)
+                self.state.clear()
+                yield out(rid, "expired", False, fired, None)
             elif fired == nxt:
-                yield self._emit(rid, "due", True, fired, nxt)
+                yield out(rid, "due", True, fired, nxt)
 
         def close(self) -> None:
             pass
@@ -218,7 +235,7 @@ def stream_recheck(stream: DataFrame, key: str = "review_id", ts: str = "event_t
                       F.col("owner_reply").cast("string").alias("owner_reply"),
                       as_event_time(ts).alias("event_time"))
     s = s.withWatermark("event_time", delay)
-    return s.groupBy("review_id").transformWithStateInPandas(
+    return s.groupBy("review_id").transformWithState(
         statefulProcessor=_recheck_processor(), outputStructType=RECHECK_OUT,
         outputMode="Append", timeMode="EventTime")
 

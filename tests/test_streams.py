@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -64,3 +65,48 @@ def test_stream_recheck_emits_transitions(spark):
     events = {r["event"] for r in out.collect()}
     assert {"replied", "expired"} <= events
     assert events <= {"replied", "expired", "scheduled", "due"}
+
+
+def _recheck_brute_force(rows, delay_ms=DAY):
+    """Expected J3 output for one drained batch: every observation gives its
+    step; then the no-data batch fires the last state's timers up to the
+    watermark (max event time - delay) in time order."""
+    by_key = {}
+    for rid, pub, reply, at in rows:
+        by_key.setdefault(rid, []).append((at, pub, reply))
+    wm = max(at for _, _, _, at in rows) - delay_ms
+    out = Counter()
+    for rid, obs in by_key.items():
+        last = None
+        for at, pub, reply in sorted(obs, key=lambda t: t[0]):
+            event, active, nxt = J.recheck_step(pub, reply, at)
+            out[(rid, event, active, at, nxt)] += 1
+            last = (active, pub if pub is not None else at, nxt)
+        active, p, nxt = last
+        if not active:
+            continue
+        expiry = p + K.RECHECK_MAX_AGE_DAYS * DAY + 1
+        for t in sorted({nxt, expiry}):
+            if t > wm:
+                break
+            if t >= expiry:
+                out[(rid, "expired", False, t, None)] += 1
+                break
+            out[(rid, "due", True, t, nxt)] += 1
+    return out
+
+
+def test_stream_recheck_matches_brute_force(spark):
+    import __spark_entry__ as entry
+    from reviewops.bindings import views
+    rv = views(spark, SF_SMALL)["rv"].select(
+        "review_id", J.as_event_time("published_at").alias("published_at"),
+        F.col("owner_reply").cast("string").alias("owner_reply"), J.as_event_time("scraped_at").alias("at"))
+    ms = lambda d: None if d is None else J._ms(d)
+    rows = [(r["review_id"], ms(r["published_at"]), r["owner_reply"], ms(r["at"])) for r in rv.collect()]
+    got = Counter((r["review_id"], r["event"], r["owner_reply_recheck"], ms(r["at"]), ms(r["next_check_at"]))
+                  for r in entry.queries()["stream_recheck"](spark, SF_SMALL).collect())
+    expected = _recheck_brute_force(rows)
+    assert got == expected
+    assert {e for _, e, *_ in expected} == {"replied", "expired", "scheduled", "due"}
+
