@@ -300,13 +300,14 @@ def _state(v):
 @query("ingest_batch")
 def q_ingest_batch(v):
     places = v["st"].select("place_id", "skip_review_fetch")
-    res = ingest_batch(parsed_ev(v), _state(v), places, NOW, allowed=D.eligible(v["st"]))
+    res = ingest_batch(parsed_ev(v, once=True), _state(v), places, NOW, allowed=D.eligible(v["st"]))
     return res.review.select("review_id", "place_id", "stars", "owner_reply_recheck", "next_check_at")
 
 
 @query("salvage_ingest")
 def q_salvage_ingest(v):
-    raw = parsed_ev(v).withColumn("dataset_id", F.concat(F.lit("ds"), (F.col("seq") % 7).cast("string")))
+    raw = parsed_ev(v, once=True).withColumn("dataset_id",
+                                             F.concat(F.lit("ds"), (F.col("seq") % 7).cast("string")))
     runs = raw.select("dataset_id").distinct().select(
         "dataset_id", F.when(F.col("dataset_id") != "ds3", "SUCCEEDED").otherwise("FAILED").alias("status"))
     places = v["st"].select("place_id", "skip_review_fetch")

@@ -296,7 +296,7 @@ SELECT (SELECT count(*) FROM ev) AS raw_count,
     + count(*) FILTER (WHERE reason IN ('empty_review_text', 'generic_pr_reply')) AS skipped
 FROM c""", ("ev",))
 def q_etl_stats(v):
-    raw = parsed_ev(v)
+    raw = parsed_ev(v, once=True)
     return etl_stats(raw, classify_raw(raw, "seq", detect_generic=False))
 
 

@@ -15,8 +15,8 @@ from reviewops.sources import raw as RAW
 from reviewops.sources import rows as ROWS
 
 
-def parsed_ev(v):
-    return RAW.parse_json_column(v["ev"], "raw_json", K.RAW_REVIEW)
+def parsed_ev(v, once: bool = False):
+    return RAW.parse_json_column(v["ev"], "raw_json", K.RAW_REVIEW, once=once)
 
 
 J = "json_extract_string(raw_json, '$.{}')"

@@ -40,7 +40,7 @@ def stream_view(spark, name: str):
 @query("stream_ingest")
 def q_stream_ingest(v):
     spark = v["st"].sparkSession
-    raw = parse_json_column(stream_view(spark, "ev"), "raw_json", K.RAW_REVIEW)
+    raw = parse_json_column(stream_view(spark, "ev"), "raw_json", K.RAW_REVIEW, once=True)
     places = v["st"].select("place_id", "skip_review_fetch")
     base = J.scratch(spark, "ingest")
     q = J.stream_ingest(raw, places, _state(v), f"{base}/state", f"{base}/ckpt", NOW, allowed=eligible(v["st"]))

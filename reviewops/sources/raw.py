@@ -32,12 +32,22 @@ def parse_json_array(df: DataFrame, col: str, schema: T.StructType) -> DataFrame
         .select(*[c for c in objs.columns if c != "_item"], "_o.*", "raw_json")
 
 
-def parse_json_column(df: DataFrame, col: str, schema: T.StructType, keep_raw: bool = True) -> DataFrame:
+def parse_json_column(df: DataFrame, col: str, schema: T.StructType, keep_raw: bool = True,
+                      once: bool = False) -> DataFrame:
     """A1 for one JSON object per row: fields of ``schema`` as columns.
 
-    Rows that are not JSON objects get NULL fields (``_corrupt`` = true)."""
+    Rows that are not JSON objects get NULL fields (``_corrupt`` = true).
+
+    By default Catalyst prunes the parse to the fields a query reads, but a
+    filter on a parsed field is pushed below the projection as a second parse.
+    ``once=True`` is for consumers that read every field and filter on some
+    (ingest): the parse is then the output of a one-row generator, filters
+    stay above it, and each row is parsed exactly once."""
     parsed = F.from_json(col_(col), schema)
-    out = df.withColumn("_o", parsed)
+    if once:
+        out = df.select("*", F.inline(F.array(F.struct(parsed.alias("_o")))))
+    else:
+        out = df.withColumn("_o", parsed)
     cols = [c for c in df.columns if keep_raw or c != col]
     return out.select(*cols, "_o.*", F.col("_o").isNull().alias("_corrupt"))
 

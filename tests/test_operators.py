@@ -228,6 +228,23 @@ def test_read_json_dataset(spark, tmp_path):
     assert got == [("r1", "2"), ("r2", None)]
 
 
+def test_parse_once_equals_pruned_parse(spark):
+    rows = [(1, json.dumps({"reviewId": "r1", "placeId": "p", "stars": 2})), (2, "not json"), (3, "7"),
+            (4, json.dumps({"reviewId": "", "placeId": "p"})), (5, None),
+            (6, json.dumps({"reviewId": "r6", "placeId": None, "text": "t"}))]
+    df = spark.createDataFrame(rows, "seq long, raw_json string")
+    a = RAW.parse_json_column(df, "raw_json", K.RAW_REVIEW)
+    b = RAW.parse_json_column(df, "raw_json", K.RAW_REVIEW, once=True)
+    assert a.columns == b.columns
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    keep = F.coalesce(F.col("reviewId"), F.lit("")) != ""
+    fa, fb = a.filter(keep).select("seq", "stars"), b.filter(keep).select("seq", "stars")
+    assert sorted(fa.collect()) == sorted(fb.collect())
+    # the filter stays above the single parse instead of parsing again below it
+    plan = fb._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_conform_and_flatten(spark):
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("k", T.StringType(), False), T.StructField("n", T.IntegerType(), True)])
