@@ -52,9 +52,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bigrams(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", words[i - 1], words[i]))
-    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+def bigrams(words: str) -> Column:
+    """Neighbouring words of a column that holds them."""
+    w, n = F.col(words), F.size(words)
+    pairs = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """Adds ``words``; a one-row generator keeps the planner from splitting the text once for each use."""
+    return rows.select("*", F.explode(F.array(words_of(F.col("paragraph")))).alias("words"))
 
 
 def fixed_rows(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
@@ -72,9 +79,8 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def windows(rows: DataFrame) -> DataFrame:
     """Every window of at least four words and at least 60 % of a template: (family, words, version)."""
-    w = rows.withColumn("words", words_of(F.col("paragraph")))
     n = F.size("words")
-    spans = w.select("*", F.explode(F.sequence(F.greatest(F.least(F.lit(4), n), F.ceil(n * 0.6).cast("int")), n)).alias("len"))
+    spans = rows.select("*", F.explode(F.sequence(F.greatest(F.least(F.lit(4), n), F.ceil(n * 0.6).cast("int")), n)).alias("len"))
     return spans.select("family", "version", "words", "len", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)).alias("at")).select(
         "family", "version", F.slice("words", F.col("at"), F.col("len")).alias("words"))
 
@@ -83,12 +89,12 @@ def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", negativ
     """(weights by bigram, intercepts, (family, bigrams) of the templates, least confidence); weights have one value per class."""
     spark = docs.sparkSession
     classes = [NONE, *sorted(TEMPLATES)]
-    told = templates(spark).withColumn("grams", F.array_distinct(bigrams(words_of(F.col("paragraph")))))
+    told = with_words(templates(spark)).withColumn("grams", F.array_distinct(bigrams("words")))
     vocabulary = sorted({g for r in told.select("grams").collect() for g in r[0]})
     sample = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t")).orderBy(F.xxhash64("_id"), "_t").limit(negatives)
-    none = (paragraphs(sample, "_id", F.col("_t")).filter(~F.col("paragraph").rlike("(?i)licen[sc]|copyright|rights reserved"))
-            .select(F.lit(NONE).alias("family"), F.lit(0).alias("version"), words_of(F.col("paragraph")).alias("words")))
-    rows = windows(told).unionByName(none).withColumn("grams", F.array_distinct(bigrams(F.col("words"))))
+    none = paragraphs(sample, "_id", F.col("_t")).filter(~F.col("paragraph").rlike("(?i)licen[sc]|copyright|rights reserved"))
+    none = with_words(none).select(F.lit(NONE).alias("family"), F.lit(0).alias("version"), "words")
+    rows = windows(told).unionByName(none).withColumn("grams", F.array_distinct(bigrams("words")))
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")) - 1
     rows = rows.withColumn("label", number.cast("double")).withColumn("fold", F.pmod(F.xxhash64("grams"), F.lit(5)))
     counted = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
@@ -109,7 +115,7 @@ def classified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nega
     grams, intercept, known, sure = trained(docs, doc_id, text, negatives)
     classes = [NONE, *sorted(TEMPLATES)]
     rows = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), text_of(text).alias("_t"))
-    held = paragraphs(rows, "key", F.col("_t")).select("key", "par", F.explode(bigrams(words_of(F.col("paragraph")))).alias("gram"))
+    held = with_words(paragraphs(rows, "key", F.col("_t"))).select("key", "par", F.explode(bigrams("words")).alias("gram"))
     # the weights are a fixed list of the templates' bigrams, so they are small enough to send to every task
     held = held.join(F.broadcast(grams), "gram").distinct()
     sums = [F.sum(f"w{i}").alias(f"s{i}") for i in range(len(classes))]
