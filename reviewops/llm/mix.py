@@ -2,8 +2,8 @@
 
 Every document gets a 60-bit hash of its id.  Per source a budget of words is
 met by one threshold: all documents hashed below it are taken.  The threshold
-is found from a histogram of words by hash bucket (15 bits), and only the
-bucket where the budget ends is looked into again with the next 15 bits, until
+is found from a histogram of words by hash bucket (10 bits), and only the
+bucket where the budget ends is looked into again with the next 10 bits, until
 the hash is used up.  No rows are sorted, and thresholds of a smaller budget
 are nested in those of a larger one.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from reviewops.llm.common import text_of, word_count, written
 
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 10, 6
 #: A source's rows are dealt over this many join keys, so a hot source is no hot task.
 SALTS = 64
 
@@ -89,9 +89,9 @@ def _on_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def thresholds(base: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, rest) -> (_s, cut): documents with hash < cut fit into the rest.
 
-    Level 1 sums words by source and the first 15 bits; the running sum inside
-    a source (at most 2**15 rows) gives the boundary bucket.  The next level
-    reads only that bucket's documents, about 1/32768 of the level before.
+    Level 1 sums words by source and the first 10 bits; the running sum inside
+    a source (at most 1024 rows) gives the boundary bucket.  The next level
+    reads only that bucket's documents, about 1/1024 of the level before.
     """
     rows, known = base.filter("size > 0").select("source", "size", "hash"), plan.filter("rest > 0").select("source", F.col("rest"))
     known = known.withColumn("prefix", F.lit(0).cast("long"))
