@@ -5,8 +5,10 @@ similarity of at least ``percent`` / 100.  ``components`` returns one row per
 document with the class of equal sets and the component of linked documents.
 
 1. Every text becomes its sorted set of shingle hashes; equal sets are one class.
-2. Similar sets overlap in their prefixes (the first n - ceil(t n) + 1 hashes).
-   Prefix hashes are range-partitioned; in each run of one hash the smallest
+2. Similar sets overlap in their prefixes: the first n - ceil(t n) + 1 hashes
+   in an order that puts frequent shingles last, so a passage that many
+   documents share brings no candidates.  Any order gives the same result;
+   frequencies only need to be about right (``frequent``).  Prefix hashes are range-partitioned; in each run of one hash the smallest
    document leads, and the others are compared with it alone (a star, never
    all pairs).  Linked documents form the groups.
 3. The token-group matrix (hash, group) holds, for each group, the union of
@@ -34,15 +36,80 @@ from reviewops.llm.common import mix64, row_key, text_of, written
 from reviewops.llm.shingles import shingle_sets
 
 WORDS, PERCENT = 4, 85
+#: Shingles of at least OFTEN different sets come last in the order; at most MOST of them, the most frequent, are sent to the tasks (8 MB).
+OFTEN, MOST = 24, 1 << 20
 #: 64-bit words of a set's bit image.
 IMAGE = 32
 BITS = [f"b{i}" for i in range(IMAGE)]
 
 
-def _signatures(k: int, percent: int):
+def _repeated(k: int):
+    """(token, n): shingles that at least two different sets of this task's documents hold."""
     def run(batches):
         import pyarrow as pa
 
+        seen, parts = set(), []
+
+        def merged():
+            token, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+            return token, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+        for batch in batches:
+            new = []
+            for s in shingle_sets(batch.column("_t"), k):
+                key = (len(s), int(s.sum(dtype=np.uint64)))
+                if key not in seen:
+                    seen.add(key)
+                    new.append(s)
+            if new:
+                parts.append(np.unique(np.concatenate(new), return_counts=True))
+            if sum(len(t) for t, _ in parts) > 4_000_000:
+                parts = [merged()]
+                yield from given(parts, pa)
+                parts = []
+        if parts:
+            yield from given([merged()], pa)
+
+    def given(parts, pa):
+        token, n = parts[0]
+        token, n = token[n > 1], n[n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    return run
+
+
+def frequent(rows: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many different sets hold.
+
+    Every task counts all its documents and gives what occurs twice among a
+    few million shingles; the sums over all tasks decide.  What is spread too
+    thin to be seen costs time, never results.
+    """
+    counts = rows.mapInArrow(_repeated(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.col("n").desc(), "token").limit(MOST).select("token").toPandas()["token"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def prefix_of(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(percent n / 100) + 1 hashes, those in ``often`` last."""
+    if not len(s):
+        return s
+    p = len(s) - (percent * len(s) + 99) // 100 + 1
+    for part in (s[:2 * p], s):
+        if len(often):
+            rare = often[np.minimum(np.searchsorted(often, part), len(often) - 1)] != part
+        else:
+            rare = np.ones(len(part), bool)
+        if rare.sum() >= p:
+            return part[rare][:p]
+    return np.concatenate((s[rare], s[~rare][:p - rare.sum()]))
+
+
+def _signatures(k: int, percent: int, shared):
+    def run(batches):
+        import pyarrow as pa
+
+        often = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -52,9 +119,10 @@ def _signatures(k: int, percent: int):
                 n.append(len(s))
                 salted = mix64(s ^ np.uint64(0x5BD1E9955BD1E995))
                 key.append(np.array([s.sum(dtype=np.uint64), salted.sum(dtype=np.uint64)]).tobytes() + len(s).to_bytes(8, "little"))
-                prefix.append(s[:len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0].view(np.int64))
-                at = s % np.uint64(64 * IMAGE)
-                np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                prefix.append(prefix_of(s, often, percent).view(np.int64))
+                image = np.zeros(64 * IMAGE, np.uint8)
+                image[(s % np.uint64(64 * IMAGE)).astype(np.int64)] = 1
+                bits[i] = np.packbits(image, bitorder="little").view(np.uint64)
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +243,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), text_of(text).alias("_t"))
     types = dict(rows.dtypes)
     schema = f"doc_id {types['doc_id']}, rk binary, key binary, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
-    sets = written(rows.mapInArrow(_signatures(k, percent), schema), "sets")
+    often = docs.sparkSession.sparkContext.broadcast(frequent(rows.select("_t"), k))
+    sets = written(rows.mapInArrow(_signatures(k, percent, often), schema), "sets")
 
     # one class per set; ids in the order of the stored files, so they stay as they are
     same = sets.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("m"),
