@@ -8,15 +8,17 @@ document with the class of equal sets and the component of linked documents.
 2. Similar sets overlap in their prefixes: the first n - ceil(t n) + 1 hashes
    in an order that puts frequent shingles last, so a passage that many
    documents share brings no candidates.  Any order gives the same result;
-   frequencies only need to be about right (``frequent``).  Prefix hashes are range-partitioned; in each run of one hash the smallest
-   document leads, and the others are compared with it alone (a star, never
-   all pairs).  Linked documents form the groups.
+   frequencies only need to be about right (``frequent``).  Prefix hashes are
+   range-partitioned; in each run of one hash the smallest document leads, and
+   the others are compared with it alone (a star, never all pairs).  Linked
+   documents form the groups.
 3. The token-group matrix (hash, group) holds, for each group, the union of
    its members' prefixes, and per group a bit image of the union of their
    whole sets.  A document outside a group that shares a column with it is
    bounded: its overlap with any member is at most its bits inside the union.
-   Only groups that pass the bound are opened, and their members compared.
-4. Links of both steps give the components.
+   Only groups that pass the bound are opened: first a few of their members
+   are compared, and where these show no link, all are.
+4. Links of all steps give the components.
 
 The comparison is exact; bounds only spare work.  No list of members is ever
 gathered in one row or task: hot runs are split by the range partitioning,
@@ -205,7 +207,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return p.filter(_fits(F.col("xn"), F.col("yn"), percent) & (most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that link, found from their whole texts (one text per class)."""
     side = lambda on, t: texts.select(F.col("node").alias(on), F.col("_t").alias(t))
     both = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -219,7 +221,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return written(once.unionByName(found.filter("again").groupBy("node").agg(F.first("_t").alias("_t"))), "texts")
 
 
-def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def labels(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes that links name; label is the smallest node reachable.
 
     Each round takes the smallest label among neighbours and then the label of
@@ -263,15 +265,28 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     named = written(classes.select("node", "rk").join(repeated, "rk", "left").withColumn("again", F.coalesce("again", F.lit(False))), "named")
     needed = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     texts = _texts(rows, needed.join(named, "node"))
-    first = written(_verified(star, classes, texts, k, percent), "links")
-    group = labels(classes, first)
-
-    rest = written(_opened(runs, classes, group, star, percent), "opened")
-    if rest.limit(1).count():
-        more = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
-        texts = _texts(rows, more.join(named, "node"))
-        second = written(_verified(rest, classes, texts, k, percent), "links")
-        group = labels(classes, first.unionByName(second))
+    links = written(_verified(star, texts, k, percent), "links")
+    group = labels(links)
+
+    asked = written(_qualified(_shared(runs, group), classes, group, percent), "asked")
+    if asked.limit(1).count():
+        inside = _labelled(classes.select("node", "n", *BITS), group).withColumnRenamed("label", "g")
+        inside = inside.join(asked.select("g").distinct(), "g", "left_semi")
+        involved = asked.select(F.col("a").alias("node")).union(inside.select("node")).distinct()
+        texts = _texts(rows, involved.join(named, "node"))
+        members = written(inside.select("g", F.col("node").alias("b")), "members")
+        images = written(classes.select("node", "n", *BITS).join(involved, "node", "left_semi"), "images")
+        met, turn, most = star, 0, True
+        while most:      # a few members of each group first, for one link spares the rest; as long as that settles half
+            pairs = written(_unmet(_bounded(_some(asked, members, turn), images, percent), met), "some")
+            more = written(_verified(pairs, texts, k, percent), "links")
+            links, met, turn = links.unionByName(more), met.unionByName(pairs), turn + 1
+            group = labels(links)
+            left = written(_apart(asked, group), "asked")
+            most, asked = 2 * left.count() <= asked.count() > 0, left
+        opened = written(_unmet(_bounded(asked.join(members, "g").select("a", "b"), images, percent), met), "opened")
+        links = links.unionByName(_verified(opened, texts, k, percent))
+        group = labels(links)
 
     named = classes.select("key", "node", "class_id").join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
@@ -283,13 +298,40 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
                       F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _opened(runs: DataFrame, classes: DataFrame, group: DataFrame, star: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups that the matrix cannot rule out and the star has not compared."""
-    label = lambda df: (df.join(group, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    cells = written(label(runs.select("token", "node", "n")), "cells")
-    # tokens that more than one group holds
+def _labelled(nodes: DataFrame, group: DataFrame) -> DataFrame:
+    return nodes.join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _shared(cells: DataFrame, group: DataFrame) -> DataFrame:
+    """(token, node, n, label) of the tokens that more than one group holds."""
+    cells = written(_labelled(cells.select("token", "node", "n"), group), "cells")
     shared = cells.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    cells = written(cells.join(shared, "token"), "shared")
+    return written(cells.join(shared, "token"), "shared")
+
+
+def _some(asked: DataFrame, members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each opened group's documents asked for, with up to four members; other ones each turn."""
+    lot = F.pmod(F.xxhash64("b", F.lit(turn)), F.lit(4))
+    few = members.groupBy("g", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("o"), "b")).alias("m"))
+    return asked.join(few, "g").select("a", F.col("m.b").alias("b"))
+
+
+def _apart(asked: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows whose document and group (named by one of its members) are in different components."""
+    la = group.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lg = group.select(F.col("node").alias("g"), F.col("label").alias("lg"))
+    both = asked.join(la, "a", "left").join(lg, "g", "left")
+    return both.filter(F.coalesce("la", "a") != F.coalesce("lg", "g")).select("a", "g")
+
+
+def _unmet(pairs: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs that have not been compared yet."""
+    told = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return pairs.join(told, (F.least("a", "b") == told["lo"]) & (F.greatest("a", "b") == told["hi"]), "left_anti").select("a", "b")
+
+
+def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """(a, g): documents and other groups that share a column and that the group's union cannot rule out."""
     matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"))
     m = matrix.select("token", F.col("label").alias("g"), "small", "large")
     # each pair of groups once: the document's group is the larger label
@@ -297,17 +339,12 @@ def _opened(runs: DataFrame, classes: DataFrame, group: DataFrame, star: DataFra
                        & (m["large"] * 100 >= cells["n"] * percent) & (cells["n"] * 100 >= m["small"] * percent))
     asked = asked.select(F.col("node").alias("a"), "g").distinct()
     # the union of a group's sets as bits
-    inside = label(classes.select("node", "n", *BITS)).join(cells.select("label").distinct(), "label", "left_semi")
+    inside = _labelled(classes.select("node", "n", *BITS), group).join(cells.select("label").distinct(), "label", "left_semi")
     unions = inside.groupBy(F.col("label").alias("g")).agg(F.min("n").alias("small"), *[F.bit_or(b).alias(f"u{b}") for b in BITS])
     q = _images(asked, classes, "a", "x").join(unions, "g")
     most = F.col("xn") - _outside("xb", "ub")
     least = F.greatest(F.col("small") * 100, F.col("xn") * percent)       # a fitting member's size, times 100
-    q = q.filter(most * (100 + percent) * 100 >= (F.col("xn") * 100 + least) * percent).select("a", "g")
-    members = inside.select(F.col("label").alias("g"), F.col("node").alias("b"))
-    pairs = q.join(members, "g").select("a", "b")
-    told = star.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    pairs = _bounded(pairs, classes, percent)
-    return (pairs.join(told, (F.least("a", "b") == told["lo"]) & (F.greatest("a", "b") == told["hi"]), "left_anti").select("a", "b"))
+    return q.filter(most * (100 + percent) * 100 >= (F.col("xn") * 100 + least) * percent).select("a", "g")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
