@@ -224,20 +224,25 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
 def labels(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes that links name; label is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then the label of
-    that label, so chains shorten by halves; a stored table ends each round.
+    Each round every node goes to its smallest neighbour's smallest neighbour
+    (or itself), and links are drawn between where their ends went; those
+    inside one node go, so links vanish fast.  A stored table ends each round.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    label = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "label")
+    label, edges = None, links.select("a", "b").filter("a != b").distinct()
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        done = step.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("new"))
-        done = written(done, "label")
-        label = done.select("node", F.col("new").alias("label"))
-        if not done.filter("new < label").limit(1).count():
+        edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+        if label is not None and not edges.limit(1).count():
             return label
+        up = edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up"))
+        top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        up = written(up.join(top, "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up")
+        if label is None:
+            label = up.select(F.col("from").alias("node"), F.col("to").alias("label"))
+        else:
+            on = label.join(up, label["label"] == up["from"], "left")
+            label = written(on.select("node", F.coalesce("to", "label").alias("label")), "label")
+        at = lambda c: up.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}"))
+        edges = edges.filter("a < b").join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a != b")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
