@@ -57,9 +57,10 @@ LISTED = frozenset("comment comments respond disqus related recommended sidebar
 
 
 class Page:
-    """Elements (parent, tag, marks, subtree hash) and text pieces of a page in order."""
+    """Elements (parent, tag, marks, subtree hash) and text pieces of a page in order; without hashes where no template is known."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, hashed: bool = True):
+        self.hashed = hashed
         self.parent, self.tag, self.marks = [-1], ["#page"], [frozenset()]
         self.pieces: list[tuple[int, str | None]] = []       # (element, text), or (element, None) where a block begins or ends
         self.inner: list[list[bytes]] = [[]]
@@ -80,6 +81,8 @@ class Page:
 
     def _pop(self) -> None:
         e = self.stack.pop()
+        if not self.hashed:
+            return
         self.hash[e] = hashlib.blake2b(b"\0".join([self.tag[e].encode(), *self.inner[e]]), digest_size=8).digest()
         if self.stack and self.inner[e]:
             self.inner[self.stack[-1]].append(b"\1" + self.hash[e])
@@ -98,7 +101,7 @@ class Page:
     def _text(self, raw: str) -> None:
         text = htmllib.unescape(raw)
         self.pieces.append((self.stack[-1], text))
-        if flat := " ".join(text.split()):
+        if self.hashed and (flat := " ".join(text.split())):
             self.inner[self.stack[-1]].append(flat.encode("utf-8", "surrogatepass"))
 
     def _read(self, html: str) -> None:
@@ -208,7 +211,7 @@ def _extracted(batches):
     import pyarrow as pa
 
     for batch in batches:
-        texts = [Page(h or "").text(frozenset(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+        texts = [Page(h or "", bool(t)).text(frozenset(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
