@@ -84,9 +84,10 @@ def trigram_query(regex: str) -> list[list[str]]:
 def postings(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, key) over all documents, for trigrams that some rule asks for."""
     grams = sorted({g for r in rules for b in trigram_query(r.regex) for g in b})
-    low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select(F.col(key), F.explode(held).alias("trigram"))
+    # a one-row generator keeps the planner from lower-casing the text once for each trigram
+    low = docs.select(F.col(key), F.explode(F.array(F.lower(F.col(text)))).alias("_low"))
+    held = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in grams]))
+    return low.select(F.col(key), F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, key: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
