@@ -45,37 +45,32 @@ IMAGE = 32
 BITS = [f"b{i}" for i in range(IMAGE)]
 
 
-def _repeated(k: int):
-    """(token, n): shingles that at least two different sets of this task's documents hold."""
+def _repeated(k: int, room: int = 1 << 22):
+    """(token, n): shingles that at least two different sets of this task's documents hold, ``room`` shingles at a time."""
     def run(batches):
         import pyarrow as pa
 
-        seen, parts = set(), []
-
-        def merged():
-            token, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-            return token, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+        def given(tokens):
+            tokens.sort()
+            again = tokens[1:][tokens[1:] == tokens[:-1]]
+            token, n = np.unique(again, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n + 1, pa.int64())], names=["token", "n"])
 
+        seen, space, used = set(), np.empty(room, np.uint64), 0
         for batch in batches:
-            new = []
             for s in shingle_sets(batch.column("_t"), k):
                 key = (len(s), int(s.sum(dtype=np.uint64)))
-                if key not in seen:
-                    seen.add(key)
-                    new.append(s)
-            if new:
-                parts.append(np.unique(np.concatenate(new), return_counts=True))
-            if sum(len(t) for t, _ in parts) > 4_000_000:
-                parts = [merged()]
-                yield from given(parts, pa)
-                parts = []
-        if parts:
-            yield from given([merged()], pa)
-
-    def given(parts, pa):
-        token, n = parts[0]
-        token, n = token[n > 1], n[n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+                if key in seen:
+                    continue
+                seen.add(key)
+                for a in range(0, len(s), room):
+                    part = s[a:a + room]
+                    if used + len(part) > room:
+                        yield given(space[:used])
+                        used = 0
+                    space[used:used + len(part)] = part
+                    used += len(part)
+        yield given(space[:used])
 
     return run
 

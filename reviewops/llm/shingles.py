@@ -9,7 +9,7 @@ import numpy as np
 from reviewops.llm.common import mix64, utf8_column
 
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEP = np.zeros(256, bool)
