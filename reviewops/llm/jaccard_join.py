@@ -195,11 +195,21 @@ def _images(pairs: DataFrame, classes: DataFrame, on: str, prefix: str) -> DataF
     return pairs.join(side, on)
 
 
+def _room(percent: int) -> Column:
+    """Whether two images (x, y) leave room for a link."""
+    most = F.least(F.col("xn") - _outside("xb", "yb"), F.col("yn") - _outside("yb", "xb"))
+    return _fits(F.col("xn"), F.col("yn"), percent) & (most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent)
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose images leave room for a link."""
-    p = _images(_images(pairs, classes, "a", "x"), classes, "b", "y")
-    most = F.least(F.col("xn") - _outside("xb", "yb"), F.col("yn") - _outside("yb", "xb"))
-    return p.filter(_fits(F.col("xn"), F.col("yn"), percent) & (most * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent)).select("a", "b")
+    return _images(_images(pairs, classes, "a", "x"), classes, "b", "y").filter(_room(percent)).select("a", "b")
+
+
+def _members(asked: DataFrame, members: DataFrame, images: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the members of opened groups that each document may link with; the bound is part of the join, so no others come out of it."""
+    x, y = _images(asked, images, "a", "x"), _images(members.withColumnRenamed("g", "yg"), images, "b", "y")
+    return x.join(y, (F.col("g") == F.col("yg")) & _room(percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -284,7 +294,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             group = labels(links)
             left = written(_apart(asked, group), "asked")
             most, asked = 2 * left.count() <= asked.count() > 0, left
-        opened = written(_unmet(_bounded(asked.join(members, "g").select("a", "b"), images, percent), met), "opened")
+        opened = written(_unmet(_members(asked, members, images, percent), met), "opened")
         links = links.unionByName(_verified(opened, texts, k, percent))
         group = labels(links)
 
