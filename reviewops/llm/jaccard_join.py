@@ -342,11 +342,16 @@ def _unmet(pairs: DataFrame, met: DataFrame) -> DataFrame:
 
 def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     """(a, g): documents and other groups that share a column and that the group's union cannot rule out."""
-    matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    m = matrix.select("token", F.col("label").alias("g"), "small", "large")
+    # a quarter-kilobit fold of the image goes with every cell, so most of what cannot link never leaves the join
+    fold = [F.expr(" | ".join(BITS[j::4])).alias(f"f{j}") for j in range(4)]
+    cells = cells.join(classes.select("node", *fold), "node")
+    matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"), *[F.bit_or(f"f{j}").alias(f"u{j}") for j in range(4)])
+    m = matrix.withColumnRenamed("token", "t").withColumnRenamed("label", "g")
+    most = F.col("n") - sum((F.bit_count(F.col(f"f{j}").bitwiseAND(F.bitwise_not(f"u{j}"))) for j in range(4)), F.lit(0))
     # each pair of groups once: the document's group is the larger label
-    asked = cells.join(m, (cells["token"] == m["token"]) & (cells["label"] > m["g"])
-                       & (m["large"] * 100 >= cells["n"] * percent) & (cells["n"] * 100 >= m["small"] * percent))
+    asked = cells.join(m, (F.col("token") == F.col("t")) & (F.col("label") > F.col("g"))
+                       & (F.col("large") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("small") * percent)
+                       & (most * (100 + percent) * 100 >= (F.col("n") * 100 + F.greatest(F.col("small") * 100, F.col("n") * percent)) * percent))
     asked = asked.select(F.col("node").alias("a"), "g").distinct()
     # the union of a group's sets as bits
     inside = _labelled(classes.select("node", "n", *BITS), group).join(cells.select("label").distinct(), "label", "left_semi")
