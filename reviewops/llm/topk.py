@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     top, dim = v.agg(F.max(norm), F.max(F.size("v"))).first()
     q = queries.groupBy(F.col("vec_id")).agg(F.min("v").alias("v"))
     wide, = q.agg(F.max(F.size("v"))).first()
-    dim, top = max(dim or 0, wide or 0), top or 0.0
+    dim, top = max(dim or 0, wide or 0, 1), top or 0.0
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     chosen = pivots_of(np.array([list(r[0]) + [0] * (dim - len(r[0])) for r in sample], float).reshape(-1, dim), pivots)
     sc = spark.sparkContext
