@@ -54,10 +54,15 @@ def now_col(now) -> Column:
     return F.lit(now).cast("timestamp_ntz")
 
 
+#: A full date, and if a time follows, at least its hours and minutes.  Years,
+#: months or times alone are no instants (a time alone would read the clock).
+ISO_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?\s?(Z|z|UTC|[+-]\d{2}(:?\d{2})?)?)?$"
+
+
 def safe_timestamp(c) -> Column:
     """ISO-8601 text ('Z', offset, or naive = UTC) -> UTC instant, else NULL."""
     text = F.trim(_as_text(col_(c)))
-    parsed = F.try_to_timestamp(F.when(text != "", text))
+    parsed = F.try_to_timestamp(F.when(text.rlike(ISO_TIMESTAMP), text))
     return parsed.cast("timestamp_ntz")
 
 

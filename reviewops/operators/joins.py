@@ -9,6 +9,8 @@ semi/anti joins, never ``IN (<collected list>)``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -37,9 +39,9 @@ def recheck_join(reviews: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def reviews_with_scores(reviews: DataFrame, analyses: DataFrame, place: str | None = None,
-                        limit: int = 50, cap: int = 200, max_stars: int = 2) -> DataFrame:
+                        limit: int | None = 50, max_stars: int = 2) -> DataFrame:
     """Low-star reviews LEFT JOIN analyses with defaults; per place the
-    first ``limit`` by stars asc, newest first (one place or all at once)."""
+    first ``limit`` (None: all) by stars asc, newest first (one place or all at once)."""
     r = reviews.filter(F.col("stars") <= max_stars)
     if place is not None:
         r = r.filter(F.col("place_id") == place)
@@ -58,7 +60,9 @@ def reviews_with_scores(reviews: DataFrame, analyses: DataFrame, place: str | No
     w = Window.partitionBy("place_id").orderBy(F.col("stars").asc_nulls_last(),
                                                F.col("published_at").desc_nulls_last(),
                                                F.col("review_id").asc())
-    n = max(1, min(int(limit), cap))
+    if limit is None:
+        return j
+    n = max(1, int(limit))
     # row_number() <= n is planned as WindowGroupLimit: each task keeps n rows
     # per place before the shuffle.
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("rank")
@@ -175,6 +179,9 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.01, leve
                         F.col("lng").alias("_slng"))
           .filter(F.col("_slat").isNotNull() & F.col("_slng").isNotNull())
           .groupBy("_slat", "_slng").agg(F.min("_sid").alias("_sid")))
+    # the coarsest block must hold every place that latitudes and longitudes
+    # can name, whatever the cell, so that no point is left without an answer
+    levels = max(levels, math.ceil(math.log2(1024.0 / cell)) + 1)
     all_levels = F.array(*[F.lit(k) for k in range(levels)])
     indexed = pl.select("*", F.explode(all_levels).alias("_lvl")).select(
         "*", (F.lit(cell) * F.pow(F.lit(2.0), F.col("_lvl"))).alias("_size")).select(
@@ -231,6 +238,9 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.01, leve
         # the emptiness test reads one row, it does not collect the data
         if pending.isEmpty():
             break
+    else:
+        if not pl.isEmpty():
+            raise ValueError("points farther than 1024 degrees from every place")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

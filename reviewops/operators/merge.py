@@ -52,11 +52,12 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
 
 def merge_columns(target: DataFrame, source: DataFrame, keys: Sequence[str],
-                  update: Sequence[str], force: dict | None = None) -> DataFrame:
+                  update: Sequence[str], force: dict | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """On match update only ``update`` columns (plus forced values); new
-    keys are inserted with the source's columns and the forced values."""
+    keys are inserted with the source's columns and the forced values.  A key
+    that the source repeats counts once, the last by ``order``."""
     force = force or {}
-    s = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in target.columns if c not in keys],
+    s = latest_per_key(source, keys, order).select(*keys, *[F.col(c).alias(f"_s_{c}") for c in target.columns if c not in keys],
                       F.lit(True).alias("_in_s"))
     t = target.withColumn("_in_t", F.lit(True))
     j = t.join(s, list(keys), "full")

@@ -175,7 +175,7 @@ def top_cases_per_place(reviews: DataFrame, analyses: DataFrame, k: int = 20) ->
     w = Window.partitionBy("place_id").orderBy(F.col("intensity").desc_nulls_last(),
                                                F.col("published_at").desc_nulls_last(),
                                                F.col("review_id").asc())
-    return (cases.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(1, min(k, 100)))
+    return (cases.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(1, int(k)))
             .select("review_id", "place_id", "review_text", "stars", "review_url", "published_at",
                     "likes_count", "owner_reply", F.col("review_score").alias("guest_score"), "owner_score",
                     "intensity", "rank"))
@@ -191,7 +191,7 @@ def reply_examples(places: DataFrame, reviews: DataFrame, analyses: DataFrame,
     r = reviews.filter(F.col("stars") <= 2).select("review_id", "review_text", "owner_reply", "review_url")
     j = a.join(r, "review_id", "inner").join(p, "place_id", "inner")
     return (j.orderBy(F.greatest("guest_score", "owner_score").desc_nulls_last(), F.col("review_id").asc())
-            .limit(max(1, min(int(limit), 100))))
+            .limit(max(1, int(limit))))
 
 
 def latest_runs(log: DataFrame, n: int = 15) -> DataFrame:

@@ -77,13 +77,8 @@ def in_city(address: str = "address", spellings=K.CITY_SPELLINGS):
     return cond
 
 
-def clamp(n: int, cap: int) -> int:
-    """Every size argument is clamped to ``1..cap``."""
-    return max(1, min(int(n), cap))
-
-
 def place_board(places: DataFrame, reviews: DataFrame, analyses: DataFrame,
-                limit: int | None = 300, cap: int = 2000) -> DataFrame:
+                limit: int | None = 300) -> DataFrame:
     """The dashboard's place table.
 
     Eligible, in-city places INNER the review rollup, LEFT the analysis
@@ -116,11 +111,11 @@ def place_board(places: DataFrame, reviews: DataFrame, analyses: DataFrame,
              F.col("db_review_count").desc_nulls_last(), F.col("reviews").desc_nulls_last(),
              F.col("store_id").asc_nulls_last()]
     out = out.orderBy(*order)
-    return out if limit is None else out.limit(clamp(limit, cap))
+    return out if limit is None else out.limit(max(1, int(limit)))
 
 
 def intensity_board(places: DataFrame, reviews: DataFrame, analyses: DataFrame,
-                    limit: int = 10, cap: int = 50) -> DataFrame:
+                    limit: int = 10) -> DataFrame:
     """In-city places by mean per-analysis max score (2 decimals)."""
     rr = reviews.groupBy("place_id").agg(F.count("owner_reply").cast("int").alias("owner_reply_rows"))
     ar = analyses.groupBy("place_id").agg(
@@ -134,4 +129,4 @@ def intensity_board(places: DataFrame, reviews: DataFrame, analyses: DataFrame,
                      F.coalesce("owner_reply_rows", F.lit(0)).alias("owner_replies"))
             .orderBy(F.col("intensity").desc_nulls_last(), F.col("reviews").desc_nulls_last(),
                      F.col("place_id").asc())
-            .limit(clamp(limit, cap)))
+            .limit(max(1, int(limit))))

@@ -354,21 +354,21 @@ def q_salvageable_runs(v):
 # ------------------------------------------------------------ K scoring
 
 
-def rp_cut(v):
+def rp_rows(v):
     return v["rp"].select("review_id", "place_id", "review_text",
-                          F.substring("owner_reply", 1, 120).alias("owner_reply"))
+                          "owner_reply")
 
 
 def rp_templates(v):
-    """FIXTURES: the six smallest review ids' cut replies minus 3 chars."""
-    r = rp_cut(v)
-    top = r.orderBy("review_id").limit(6)
+    """FIXTURES: the replies under 200 characters of the six smallest review ids, minus 3 chars."""
+    r = rp_rows(v)
+    top = r.filter(F.length("owner_reply") < 200).orderBy("review_id").limit(6)
     return top.select(F.expr("substring(owner_reply, 1, length(owner_reply) - 3)").alias("template"))
 
 
 @query("generic_reply")
 def q_generic_reply(v):
-    return generic_reply(rp_cut(v), "owner_reply", rp_templates(v)).select("review_id", "place_id", "is_generic")
+    return generic_reply(rp_rows(v), "owner_reply", rp_templates(v)).select("review_id", "place_id", "is_generic")
 
 
 @query("score_pairs")

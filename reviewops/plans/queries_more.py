@@ -355,8 +355,8 @@ SELECT review_id, place_id, has_owner_reply, has_ai,
                 "coalesce(a.owner_sentiment, '')", "coalesce(a.pr_reply, '')")} AS has_ai,
     row_number() OVER (PARTITION BY r.place_id ORDER BY r.stars ASC NULLS LAST, r.published_at DESC NULLS LAST,
                        r.review_id) AS rn
-  FROM rv r LEFT JOIN ai a ON a.review_id = r.review_id WHERE r.stars <= 2) t WHERE rn <= 200""", ("rv", "ai"))
+  FROM rv r LEFT JOIN ai a ON a.review_id = r.review_id WHERE r.stars <= 2) t""", ("rv", "ai"))
 def q_normalise_reviews(v):
     from reviewops.sources.rows import normalise_reviews
-    out = normalise_reviews(D.reviews_with_scores(v["rv"], v["ai"], limit=200))
+    out = normalise_reviews(D.reviews_with_scores(v["rv"], v["ai"], limit=None))
     return out.select("review_id", "place_id", "has_owner_reply", "has_ai", "intensity")

@@ -20,7 +20,7 @@ from reviewops.streaming import streams as J
 def _sf_dir(spark) -> str:
     # the parquet folder the batch views were registered from
     path = spark.table("orders").inputFiles()[0]
-    return path.rsplit("/", 1)[0].replace("file://", "").replace("file:", "")
+    return path[:path.rindex("/orders.parquet")].replace("file://", "").replace("file:", "")
 
 
 def stream_view(spark, name: str):

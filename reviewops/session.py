@@ -21,6 +21,9 @@ SESSION_DEFAULTS = {
     # Call-site capture for DataFrame error messages costs several JVM round
     # trips per Column function while a plan is built; batch jobs skip it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Keyed state with timers (J3) needs a store with column families.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -34,8 +37,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("REVIEWOPS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     for key, value in SESSION_DEFAULTS.items():
         builder = builder.config(key, value)
@@ -60,14 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must be shared storage and is taken from the
-    session.  Only when it is unset (local tests) a fresh scratch folder is
-    created.
+    session.  Only when it is unset and everything runs in one process (local
+    tests) a fresh scratch folder is created; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # local tests only: a fresh scratch folder per session
         configured = tempfile.mkdtemp(prefix="reviewops-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(configured)

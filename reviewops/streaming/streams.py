@@ -170,32 +170,40 @@ def _recheck_processor():
             self.handle = handle
             self.state = handle.getValueState(
                 "recheck", T.StructType([T.StructField("published_ms", T.LongType()),
-                                         T.StructField("next_ms", T.LongType())]))
+                                         T.StructField("next_ms", T.LongType()),
+                                         T.StructField("last_ms", T.LongType()),
+                                         T.StructField("stopped", T.BooleanType())]))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            # recheck_step does not read the state, so every row's event comes
-            # from the row alone; only the last row (in event time) decides the
-            # state and the timers, which are written once per key and batch
+            # observations count in event time: one older than the last is
+            # late news, and none revives a row that was replied or expired
             rid = key[0]
             obs = sorted(((_ms(r.event_time), r.published_at, r.owner_reply) for r in rows),
                          key=lambda t: t[0])
+            known = self.state.get() if self.state.exists() else None
+            seen, stopped = (known[2], known[3]) if known else (None, False)
             last = None
             for at, published, reply in obs:
+                if stopped or (seen is not None and at < seen):
+                    continue
                 pub = _ms(published) if published is not None else None
                 event, active, nxt = recheck_step(pub, reply, at)
                 last = (active, pub if pub is not None else at, nxt)
+                seen, stopped = at, not active
                 yield out(rid, event, active, at, nxt)
             if last is None:
                 return
-            if self.state.exists():          # timers left by an earlier batch
+            if known:                        # timers left by an earlier batch
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
-                self.state.clear()
             active, p, nxt = last
+            expiry = p + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1
+            self.state.update((p, nxt, seen, not active))
             if active:
-                self.state.update((p, nxt))
                 self.handle.registerTimer(nxt)
-                self.handle.registerTimer(p + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1)
+                self.handle.registerTimer(expiry)
+            else:                            # the stop is forgotten once no check could follow
+                self.handle.registerTimer(max(expiry, seen + 1))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             rid = key[0]
@@ -203,7 +211,10 @@ def _recheck_processor():
             st = self.state.get()
             if st is None:
                 return
-            pub, nxt = st
+            pub, nxt, last, stopped = st
+            if stopped:
+                self.state.clear()
+                return
             expiry = pub + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1
             if fired >= expiry:
                 # timers fire in time order: of the two registered ones, only
@@ -214,7 +225,15 @@ def _recheck_processor():
                 self.state.clear()
                 yield out(rid, "expired", False, fired, None)
             elif fired == nxt:
-                yield out(rid, "due", True, fired, nxt)
+                # a check without news is due again after the same wait, until the row expires;
+                # those the watermark has passed already come at once
+                step, mark = K.RECHECK_AFTER_DAYS * _DAY_MS, timerValues.getCurrentWatermarkInMs()
+                while fired <= mark and fired < expiry:
+                    yield out(rid, "due", True, fired, fired + step)
+                    fired += step
+                self.state.update((pub, fired, last, False))
+                if fired < expiry:
+                    self.handle.registerTimer(fired)
 
         def close(self) -> None:
             pass

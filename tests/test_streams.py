@@ -79,6 +79,8 @@ def _recheck_brute_force(rows, delay_ms=DAY):
     for rid, obs in by_key.items():
         last = None
         for at, pub, reply in sorted(obs, key=lambda t: t[0]):
+            if last is not None and not last[0]:
+                break
             event, active, nxt = J.recheck_step(pub, reply, at)
             out[(rid, event, active, at, nxt)] += 1
             last = (active, pub if pub is not None else at, nxt)
@@ -86,13 +88,11 @@ def _recheck_brute_force(rows, delay_ms=DAY):
         if not active:
             continue
         expiry = p + K.RECHECK_MAX_AGE_DAYS * DAY + 1
-        for t in sorted({nxt, expiry}):
-            if t > wm:
-                break
-            if t >= expiry:
-                out[(rid, "expired", False, t, None)] += 1
-                break
-            out[(rid, "due", True, t, nxt)] += 1
+        step = K.RECHECK_AFTER_DAYS * DAY
+        for t in range(nxt, min(expiry, wm + 1), step):
+            out[(rid, "due", True, t, t + step)] += 1
+        if expiry <= wm:
+            out[(rid, "expired", False, expiry, None)] += 1
     return out
 
 
