@@ -102,10 +102,14 @@ def allowed_places(df: DataFrame, allowed: DataFrame, key: str = "place_id") ->
 def resume_anti(reviews: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """Replied reviews not analysed yet; ``force`` re-selects all.
 
+    Rows of ``done`` whose ``status`` says that their scoring failed do not
+    count, so a rerun picks them up.
     A non-null-aware ``left_anti`` (the key is NOT NULL in analyses), so no
     null-aware anti join plan is needed."""
     r = reviews.filter(raw_nonblank("owner_reply")).select(
         "review_id", "place_id", "review_text", "owner_reply")
+    if "status" in done.columns:
+        done = done.filter(~F.startswith(F.coalesce("status", F.lit("")), F.lit("failed")))
     return r if force else r.join(done.select("review_id"), "review_id", "left_anti")
 
 

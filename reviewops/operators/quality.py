@@ -36,6 +36,8 @@ def generic_reply(df: DataFrame, reply: str = "owner_reply", templates=K.GENERIC
     spark = df.sparkSession
     tpl = template_frame(spark, templates).select(
         "template", F.length(squash_ws(py_strip("template"))).alias("_lb")).filter(F.col("_lb") > 0)
+    if not isinstance(templates, DataFrame) and len(templates) > max_templates:
+        raise ValueError(f"more than {max_templates} templates; pass a smaller template set")
     if isinstance(templates, DataFrame):
         n = tpl.limit(max_templates + 1).count()
         if n > max_templates:
@@ -54,8 +56,10 @@ def generic_reply(df: DataFrame, reply: str = "owner_reply", templates=K.GENERIC
     pairs = pairs.repartition(n, "_rkey")
     hits = (pairs.filter(similar("_rkey", "template", t)).select("_rkey").distinct()
             .withColumn(out, F.lit(True)))
-    return (keyed.join(hits, "_rkey", "left")
-            .withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_rkey"))
+    # rows without a reply share one empty key: they never meet the join
+    told, blank = keyed.filter(F.length("_rkey") > 0), keyed.filter(F.length("_rkey") == 0)
+    flagged = told.join(hits, "_rkey", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    return flagged.drop("_rkey").unionByName(blank.drop("_rkey").withColumn(out, F.lit(False)))
 
 
 def generic_places(flagged: DataFrame, out: str = "is_generic", key: str = "place_id") -> DataFrame:

@@ -298,3 +298,27 @@ def test_page_clamps_to_last_and_missing_parents(spark):
     with pytest.raises(ValueError, match="z"):
         D.assert_no_missing(missing)
     D.assert_no_missing(D.missing_parents(parent, child))
+
+
+def test_resume_picks_failed_rows_again(spark):
+    from reviewops.operators.joins import resume_anti
+    reviews = spark.createDataFrame([("a", "p", "t", "r"), ("b", "p", "t", "r"), ("c", "p", "t", "r")],
+                                    "review_id string, place_id string, review_text string, owner_reply string")
+    done = spark.createDataFrame([("a", "ok"), ("b", "failed: timeout")], "review_id string, status string")
+    assert sorted(r["review_id"] for r in resume_anti(reviews, done).collect()) == ["b", "c"]
+
+
+def test_nearest_place_answers_every_point(spark):
+    from reviewops.operators.joins import nearest_place
+    pts = spark.createDataFrame([(1, 10.0, 10.0), (2, -80.0, 170.0)], "point_id long, lat double, lng double")
+    places = spark.createDataFrame([("x", 10.0, 10.5), ("y", 60.0, -170.0)], "place_id string, lat double, lng double")
+    for cell in (0.001, 0.5):
+        got = {r["point_id"]: r["place_id"] for r in nearest_place(pts, places, cell=cell, levels=3).collect()}
+        assert got == {1: "x", 2: "x"}
+
+
+def test_merge_columns_counts_a_repeated_key_once(spark):
+    from reviewops.operators.merge import merge_columns
+    target = spark.createDataFrame([("a", 1)], "k string, v int")
+    source = spark.createDataFrame([("a", 2), ("a", 3)], "k string, v int")
+    assert [tuple(r) for r in merge_columns(target, source, ["k"], ["v"], order=["v"]).collect()] == [("a", 3)]
