@@ -11,11 +11,13 @@ import pytest
 
 import __spark_entry__ as entry
 from reviewops.bindings import TABLES
+from reviewops.plans import catalog
 
 from conftest import SF_SMALL
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+# the corpus queries have their own tests
+ORACLE = catalog.oracle_sql()
+QUERIES = catalog.queries()
 # queries that run actions or streams while being built: checked by value only
 EAGER = {k for k in QUERIES if k.startswith("stream_")} | {"nearest_place", "batches", "recheck_batches",
                                                              "score_batch_log", "generic_reply", "ingest_batch",
