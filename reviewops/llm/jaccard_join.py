@@ -42,6 +42,8 @@ WORDS, PERCENT = 4, 85
 OFTEN, MOST = 24, 1 << 20
 #: 64-bit words of a set's bit image.
 IMAGE = 32
+#: Words of the image's fold that every cell of the matrix carries; columns of MANY groups carry the whole image.
+FOLD, MANY = 4, 16
 BITS = [f"b{i}" for i in range(IMAGE)]
 
 
@@ -340,19 +342,30 @@ def _unmet(pairs: DataFrame, met: DataFrame) -> DataFrame:
     return pairs.join(told, (F.least("a", "b") == told["lo"]) & (F.greatest("a", "b") == told["hi"]), "left_anti").select("a", "b")
 
 
-def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent: int) -> DataFrame:
-    """(a, g): documents and other groups that share a column and that the group's union cannot rule out."""
-    # a quarter-kilobit fold of the image goes with every cell, so most of what cannot link never leaves the join
-    fold = [F.expr(" | ".join(BITS[j::4])).alias(f"f{j}") for j in range(4)]
+def _sharing(cells: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, g): documents and other groups that share a column and that images folded to ``words`` words cannot rule out."""
+    fold = [F.expr(" | ".join(BITS[j::words])).alias(f"f{j}") for j in range(words)]
     cells = cells.join(classes.select("node", *fold), "node")
-    matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"), *[F.bit_or(f"f{j}").alias(f"u{j}") for j in range(4)])
+    matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"), *[F.bit_or(f"f{j}").alias(f"u{j}") for j in range(words)])
     m = matrix.withColumnRenamed("token", "t").withColumnRenamed("label", "g")
-    most = F.col("n") - sum((F.bit_count(F.col(f"f{j}").bitwiseAND(F.bitwise_not(f"u{j}"))) for j in range(4)), F.lit(0))
+    most = F.col("n") - sum((F.bit_count(F.col(f"f{j}").bitwiseAND(F.bitwise_not(f"u{j}"))) for j in range(words)), F.lit(0))
     # each pair of groups once: the document's group is the larger label
     asked = cells.join(m, (F.col("token") == F.col("t")) & (F.col("label") > F.col("g"))
                        & (F.col("large") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("small") * percent)
                        & (most * (100 + percent) * 100 >= (F.col("n") * 100 + F.greatest(F.col("small") * 100, F.col("n") * percent)) * percent))
-    asked = asked.select(F.col("node").alias("a"), "g").distinct()
+    return asked.select(F.col("node").alias("a"), "g")
+
+
+def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """(a, g): documents and other groups that share a column and that the group's union cannot rule out.
+
+    Each cell carries an image into the join, so what cannot link never leaves
+    it: a fold of it in most columns, all of it in those of MANY groups or
+    more, where a document meets so many that the fold lets too much through.
+    """
+    wide = written(cells.select("token", "label").distinct().groupBy("token").count().filter(F.col("count") >= MANY).select("token"), "wide")
+    asked = _sharing(cells.join(wide, "token", "left_anti"), classes, FOLD, percent)
+    asked = asked.unionByName(_sharing(cells.join(wide, "token", "left_semi"), classes, IMAGE, percent)).distinct()
     # the union of a group's sets as bits
     inside = _labelled(classes.select("node", "n", *BITS), group).join(cells.select("label").distinct(), "label", "left_semi")
     unions = inside.groupBy(F.col("label").alias("g")).agg(F.min("n").alias("small"), *[F.bit_or(b).alias(f"u{b}") for b in BITS])

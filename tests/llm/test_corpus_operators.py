@@ -234,6 +234,18 @@ def test_jaccard(spark, k, percent):
     assert kept == {c for _, c in want.values()}
 
 
+def test_jaccard_columns_of_many_groups(spark, monkeypatch):
+    """Columns that carry the whole image lose no link."""
+    rng = np.random.default_rng(8)
+    shared = " ".join(rng.choice(list("abcdefghij"), 40))
+    rows = [(i, shared + " " + " ".join(f"w{i // 3}x{j if j < 6 else i * 100 + j}" for j in range(8))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, comp = brute_components(rows, 4, 85)
+    least = {c: min(i for i, x in enumerate(comp) if x == c) for c in comp}
+    monkeypatch.setattr(jaccard_join, "MANY", 2)
+    assert {r["doc_id"]: r["component_id"] for r in got(jaccard_join.components(docs))} == {i: least[c] for i, c in enumerate(comp)}
+
+
 def test_jaccard_odd_rows(odd, none):
     out = got(jaccard_join.components(odd))
     assert len(out) == len(ROWS) and {r["component_id"] for r in out if r["doc_id"] in (4, 5)} == {4}
