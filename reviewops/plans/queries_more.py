@@ -14,7 +14,7 @@ from reviewops.operators import joins as D
 from reviewops.operators import ordering as O
 from reviewops.operators.ingest import classify_raw, etl_stats
 from reviewops.operators.rollups import intensity_board, max_positive, place_board
-from reviewops.plans.queries_board import ANALYSIS_ROLLUP_SQL, REVIEW_ROLLUP_SQL
+from reviewops.plans.queries_board import BOARD_STEPS
 from reviewops.plans.queries_ops import CASE_INV_SQL, SCORED_SQL
 from reviewops.plans.queries_sources import parsed_ev
 from reviewops.plans.registry import query
@@ -32,20 +32,7 @@ def short_name_sql(x: str, limit: int = K.DISPLAY_NAME_LIMIT) -> str:
             f"THEN {cand} ELSE {cut} END")
 
 
-BOARD_SQL = f"""
-, rr AS ({REVIEW_ROLLUP_SQL}), ar AS ({ANALYSIS_ROLLUP_SQL}),
-board AS (
-  SELECT s.place_id AS store_id, s.title AS name, s.category, s.address, s.store_url, s.lat, s.lng,
-    s.google_score, s.reviews_count AS reviews,
-    coalesce(rr.review_rows, 0) AS db_review_count, coalesce(rr.owner_reply_rows, 0) AS owner_replies,
-    coalesce(rr.latest_review_text, ar.review_summary, '尚無低星吵架評論') AS review_text,
-    coalesce(rr.latest_owner_reply, ar.owner_summary, '店家尚未回覆') AS owner_reply,
-    coalesce(ar.pr_reply, '') AS pr_reply, coalesce(rr.latest_review_url, '') AS review_url,
-    coalesce(rr.drama_stars, 0) AS drama_stars, coalesce(ar.review_score, 0) AS review_score,
-    coalesce(ar.owner_score, 0) AS owner_score, ar.max_owner_score,
-    coalesce(ar.review_sentiment, '') AS review_sentiment, coalesce(ar.owner_sentiment, '') AS owner_sentiment
-  FROM st s JOIN rr ON rr.place_id = s.place_id LEFT JOIN ar ON ar.place_id = s.place_id
-  WHERE s.blocked = FALSE AND {IN_CITY} AND rr.review_rows > 0),
+BOARD_SQL = BOARD_STEPS + f""",
 mx AS (SELECT place_id AS store_id, CAST(max(owner_score) AS DOUBLE) AS max_owner_score FROM ai WHERE owner_score > 0
        GROUP BY place_id),
 nb0 AS (
@@ -125,14 +112,13 @@ def q_rank_split(v):
 
 
 @query("intensity_board", f"""
-, rr AS (SELECT place_id, CAST(count(owner_reply) AS INT) AS owner_reply_rows FROM rv GROUP BY place_id),
-  ar AS (SELECT place_id, CAST(round(avg(CAST(greatest(review_score, owner_score) AS DECIMAL(30,10))), 2) AS DOUBLE)
-         AS max_score FROM ai GROUP BY place_id)
-SELECT s.place_id, s.title AS name, coalesce(ar.max_score, 0.0) AS intensity, s.reviews_count AS reviews,
-  coalesce(rr.owner_reply_rows, 0) AS owner_replies
-FROM st s LEFT JOIN rr ON rr.place_id = s.place_id LEFT JOIN ar ON ar.place_id = s.place_id
-WHERE NOT s.blocked AND {IN_CITY}
-ORDER BY intensity DESC, s.reviews_count DESC, s.place_id LIMIT 50""", ("st", "rv", "ai"))
+, facts AS (SELECT place_id, owner_reply IS NOT NULL AS replied, NULL AS peak FROM rv
+  UNION ALL SELECT place_id, FALSE, greatest(review_score, owner_score) FROM ai)
+SELECT s.place_id, max(s.title) AS name, max(s.reviews_count) AS reviews,
+  CAST(count_if(f.replied) AS INT) AS owner_replies,
+  coalesce(CAST(round(avg(CAST(f.peak AS DECIMAL(30,10))), 2) AS DOUBLE), 0.0) AS intensity
+FROM st s LEFT JOIN facts f ON f.place_id = s.place_id WHERE NOT s.blocked AND {IN_CITY} GROUP BY s.place_id
+ORDER BY intensity DESC, reviews DESC, s.place_id LIMIT 50""", ("st", "rv", "ai"))
 def q_intensity_board(v):
     return intensity_board(v["st"], v["rv"], v["ai"], limit=50)
 
@@ -257,12 +243,11 @@ def q_value_counts(v):
 
 
 @query("progress_counts", """
-SELECT count(*) AS reviews,
-  count(*) FILTER (WHERE owner_reply IS NOT NULL AND owner_reply <> '') AS with_reply,
-  count(*) FILTER (WHERE owner_reply IS NOT NULL AND owner_reply <> '' AND review_id IN (SELECT review_id FROM ai)) AS analysed,
-  count(*) FILTER (WHERE owner_reply IS NOT NULL AND owner_reply <> '' AND review_id NOT IN (SELECT review_id FROM ai)) AS pending,
-  (SELECT count(*) FROM ai) AS analysis_rows
-FROM rv""", ("rv", "ai"))
+, marked AS (SELECT coalesce(r.owner_reply, '') <> '' AS replied, d.review_id IS NOT NULL AS done
+  FROM rv r LEFT JOIN (SELECT DISTINCT review_id FROM ai) d ON d.review_id = r.review_id)
+SELECT count(*) AS reviews, count_if(replied) AS with_reply, count_if(replied AND done) AS analysed,
+  count_if(replied AND NOT done) AS pending, (SELECT count(*) FROM ai) AS analysis_rows
+FROM marked""", ("rv", "ai"))
 def q_progress_counts(v):
     return E.progress_counts(v["rv"], v["ai"])
 
