@@ -105,11 +105,16 @@ def salvage_ingest(runs: DataFrame, raw: DataFrame, state: DataFrame, places: Da
     """Ingest the items of finished runs (no allow-list).
 
     Only runs with status SUCCEEDED and a dataset id count; ``raw`` rows carry
-    the ``dataset_id`` they came from.  The log row says ``salvaged``.
+    the ``dataset_id`` they came from.  The log has one ``success`` row per run
+    with its run id (null where ``runs`` has no ``run_id``), dataset id and item
+    count, so the next look for salvageable runs (D11) leaves it out.
     """
-    ok = runs.filter((F.col("status") == "SUCCEEDED") & F.col("dataset_id").isNotNull()
-                     & (F.col("dataset_id") != "")).select("dataset_id").distinct()
-    items = raw.join(ok, "dataset_id", "left_semi")
+    ok = runs.filter((F.col("status") == "SUCCEEDED") & F.col("dataset_id").isNotNull() & (F.col("dataset_id") != ""))
+    ran = ok.select(F.col("run_id") if "run_id" in runs.columns else F.lit(None).cast("string").alias("run_id"), "dataset_id").distinct()
+    items = raw.join(ok.select("dataset_id").distinct(), "dataset_id", "left_semi")
     res = ingest_batch(items, state, places, now, None, seq, pipeline)
-    res.log = res.log.withColumn("status", F.lit("salvaged"))
+    n = now_col(now)
+    ran = ran.join(items.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("items")), "dataset_id", "left")
+    res.log = log_rows(ran, pipeline, "success", run_id=F.col("run_id"), dataset_id=F.col("dataset_id"), items=F.col("items"),
+                       started=n, finished=n)
     return res

@@ -16,7 +16,29 @@ from reviewops.operators.filters import scored_cases
 
 
 def _order_cols(order: Sequence) -> list[Column]:
-    return [col_(o) for o in order]
+    """Sort columns; a key is a name, a Column or (name, "asc" | "desc"[, "nulls_first" | "nulls_last"])."""
+    return [getattr(F.col(o[0]), "_".join(_direction(o)))() if isinstance(o, tuple) else col_(o) for o in order]
+
+
+def _direction(o: tuple) -> tuple[str, str]:
+    way = o[1] if len(o) > 1 else "asc"
+    return way, o[2] if len(o) > 2 else ("nulls_first" if way == "asc" else "nulls_last")
+
+
+def _past(order: Sequence, after: Sequence) -> Column:
+    """Rows that sort after the row whose keys are ``after``; null keys keep their place in the order."""
+    cond, same = F.lit(False), F.lit(True)
+    for o, value in zip(order, after, strict=True):
+        if isinstance(o, Column):
+            raise ValueError("a keyset page takes names or (name, direction, nulls), not Columns")
+        o = o if isinstance(o, tuple) else (o,)
+        (way, nulls), key = _direction(o), F.col(o[0])
+        if value is None:
+            past = key.isNotNull() if nulls == "nulls_first" else F.lit(False)
+        else:
+            past = F.coalesce(key < F.lit(value) if way == "desc" else key > F.lit(value), F.lit(nulls == "nulls_last"))
+        cond, same = cond | (same & past), same & key.eqNullSafe(F.lit(value))
+    return cond
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -114,8 +136,8 @@ def page(df: DataFrame, order: Sequence, page_no: int = 1, size: int = K.PAGE_SI
     """one page and the total row count.
 
     ``page_no`` >= 1, size clamped to ``1..max_size``.  With ``after`` (the
-    sort values of the last row seen, all-ascending keys) the page is taken
-    by keyset instead of offset, which stays cheap for deep pages.  With
+    sort values of the last row seen, None for null) the page is taken by
+    keyset instead of offset, which stays cheap for deep pages.  With
     ``clamp_to_last`` a page past the end shows the last page: rows are
     numbered by the distributed global index (F10) and the start position is
     a scalar subquery on the total, so nothing is collected.
@@ -126,17 +148,7 @@ def page(df: DataFrame, order: Sequence, page_no: int = 1, size: int = K.PAGE_SI
     total = df.agg(F.count(F.lit(1)).alias("total"))
     cols = _order_cols(order)
     if after is not None:
-        names = [o if isinstance(o, str) else None for o in order]
-        cond = None
-        for i in range(len(names)):
-            eq = None
-            for j in range(i):
-                e = F.col(names[j]) == F.lit(after[j])
-                eq = e if eq is None else (eq & e)
-            gt = F.col(names[i]) > F.lit(after[i])
-            term = gt if eq is None else (eq & gt)
-            cond = term if cond is None else (cond | term)
-        return df.filter(cond).orderBy(*cols).limit(size), total
+        return df.filter(_past(order, after)).orderBy(*cols).limit(size), total
     if clamp_to_last:
         from reviewops.operators.batching import global_index
         start = total.select(F.least(

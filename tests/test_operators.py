@@ -125,6 +125,15 @@ def test_page_offset_and_keyset(spark):
     assert [r["k"] for r in page3.collect()] == [6, 7, 8] and total.collect()[0]["total"] == 10
     after, _ = O.page(df, ["k"], size=3, after=[5])
     assert [r["k"] for r in after.collect()] == [6, 7, 8]
+    odd = spark.createDataFrame([(a, i) for i, a in enumerate([3, None, 1, 3, None, 2])], "a int, i int")
+    for way in ("asc", "desc"):
+        for nulls in ("nulls_first", "nulls_last"):
+            order = [("a", way, nulls), ("i", "desc")]
+            whole = [tuple(r) for r in O.page(odd, order, size=6, max_size=6)[0].collect()]
+            seen = whole[:1]
+            while more := O.page(odd, order, size=2, after=seen[-1])[0].collect():
+                seen += [tuple(r) for r in more]
+            assert seen == whole and len(whole) == 6
     capped, _ = O.page(df, ["k"], page_no=1, size=99)
     assert capped.count() == K.PAGE_SIZE_MAX
     assert O.last_page(10, 3) == 4
@@ -322,3 +331,17 @@ def test_merge_columns_counts_a_repeated_key_once(spark):
     target = spark.createDataFrame([("a", 1)], "k string, v int")
     source = spark.createDataFrame([("a", 2), ("a", 3)], "k string, v int")
     assert [tuple(r) for r in merge_columns(target, source, ["k"], ["v"], order=["v"]).collect()] == [("a", 3)]
+
+
+def test_salvage_logs_each_run(spark):
+    from reviewops.operators.ingest import salvage_ingest
+    rows = [(i, json.dumps({"reviewId": f"r{i}", "placeId": "p", "stars": 1, "text": "cold soup"}), d)
+            for i, d in enumerate(["d1", "d1", "d2", "d3"])]
+    raw = RAW.parse_json_column(spark.createDataFrame(rows, "seq long, raw_json string, dataset_id string"), "raw_json", K.RAW_REVIEW, once=True)
+    runs = spark.createDataFrame([("a", "d1", "SUCCEEDED"), ("b", "d2", "FAILED"), ("c", "d4", "SUCCEEDED"), ("e", None, "SUCCEEDED")],
+                                 "run_id string, dataset_id string, status string")
+    state = spark.createDataFrame([], K.REVIEW)
+    places = spark.createDataFrame([("p", False)], "place_id string, skip_review_fetch boolean")
+    log = salvage_ingest(runs, raw, state, places, "2026-01-01 00:00:00").log
+    assert sorted((r["run_id"], r["dataset_id"], r["status"], r["items_count"]) for r in log.collect()) == [
+        ("a", "d1", "success", 2), ("c", "d4", "success", 0)]
