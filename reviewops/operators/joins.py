@@ -145,7 +145,7 @@ def scorer_completeness(request: DataFrame, response: DataFrame, key: str = "rev
     status: ``ok`` (1:1), ``missing`` (asked, no answer), ``unknown`` (answer
     to an id never asked), ``duplicate`` (answered more than once)."""
     resp = response.groupBy(key).agg(F.count(F.lit(1)).alias("answers"),
-                                     F.first(F.to_json(F.struct(*response.columns)), True)
+                                     F.min(F.to_json(F.struct(*response.columns)))
                                      .alias("response_json"))
     req = request.select(key, F.to_json(F.struct(*request.columns)).alias("request_json"),
                          F.lit(True).alias("asked"))
