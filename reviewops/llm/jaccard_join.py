@@ -253,7 +253,11 @@ def labels(links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, rk (key of id and text), n_shingles, class_id, component_id."""
+    """One row per document: doc_id, rk (key of id and text), n_shingles, class_id, component_id, label.
+
+    ``component_id`` is the smallest id of the component; ids may repeat or be
+    null, so ``label`` (a number of this run) is what tells components apart.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), text_of(text).alias("_t"))
     types = dict(rows.dtypes)
     schema = f"doc_id {types['doc_id']}, rk binary, key binary, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
@@ -302,12 +306,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
 
     named = classes.select("key", "node", "class_id").join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(smallest, "label").select("key", "class_id", "component_id")
+    named = named.join(smallest, "label").select("key", "class_id", "component_id", "label")
     out = sets.select("doc_id", "rk", "key", "n").join(named, "key")
     alone = F.col("n") == 0
     return out.select("doc_id", "rk", F.col("n").alias("n_shingles"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
 def _labelled(nodes: DataFrame, group: DataFrame) -> DataFrame:
@@ -377,11 +381,11 @@ def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent:
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the smallest id (then key); exact repeats once."""
-    found = components(docs, doc_id, text, k, percent).select("rk", "doc_id", "n_shingles", "component_id")
+    found = components(docs, doc_id, text, k, percent).select("rk", "doc_id", "n_shingles", "label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
-    # documents without words are alone; null ids share no component_id, so they are told apart by key
-    where = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("rk"))
-    kept = (found.groupBy(where.alias("_alone"), F.when(where.isNull(), F.col("component_id")).alias("_c"))
+    # documents without words are one class but stay alone
+    where = F.when(F.col("n_shingles") == 0, F.col("rk"))
+    kept = (found.groupBy(where.alias("_alone"), F.when(where.isNull(), F.col("label")).alias("_c"))
             .agg(F.min(order).alias("m")).select(F.col("m.rk").alias("_k")))
     kept = written(kept, "kept")
     chosen = docs.withColumn("_k", row_key(F.col(doc_id), F.col(text))).join(kept, "_k", "left_semi")

@@ -254,6 +254,17 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard_join.components(none).count() == 0 and jaccard_join.one_of_each(none).columns == none.columns
 
 
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    """Components are told apart by their label, not by the smallest id: ids repeat and may be null."""
+    other = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    near = [t + " end" for t in other]
+    rows = [(0, other[0]), (0, other[1]), (0, near[1]), (None, other[2]), (None, near[2]), (None, other[3]), (5, other[4]), (None, near[4]), (0, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in got(jaccard_join.one_of_each(docs))]
+    alike = lambda t: (t or "").removesuffix(" end")
+    assert sorted(alike(t) for _, t in kept) == sorted(["", "", *other[:5]]) and (5, other[4]) in kept
+
+
 def test_labels(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r["node"]: r["label"] for r in got(jaccard_join.labels(links))} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
