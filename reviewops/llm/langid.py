@@ -8,8 +8,9 @@ better weigh more.  A text is ambiguous if the two nearest codewords lose
 about the same.
 
 Counts are made over whole texts of all training rows, per task and then
-summed.  The model has 2**15 counts a language, so at most ``MAX_LANGS`` times
-that leaves Spark; more languages raise an error.
+summed.  They stay a Spark table (language, feature), whatever the number of
+languages: the driver gets 2**15 sums per bit and side, and a name, a total
+and a codeword per language.
 
 Null texts and texts without letters are ``und`` with score 0.  Rows with null
 language are not trained on.  Without training rows every text is ``und``.
@@ -21,10 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewops.llm.common import text_of, utf8_column
+from reviewops.llm.common import text_of, utf8_column, written
 from reviewops.llm.shingles import pieces
 
-FEATURES, MAX_LANGS = 1 << 15, 64
+FEATURES, SMOOTHING = 1 << 15, 0.5
+#: Languages that a task counts at once; it gives its counts and goes on where more come up.
+SLOTS = 64
+#: Rows times languages whose losses are held at once.
+CELLS = 1 << 21
 UNKNOWN = "und"
 #: Texts whose two nearest codewords are closer than this (share of confidence) are ambiguous.
 MARGIN = 0.05
@@ -55,55 +60,66 @@ def lowered(column):
     return pc.utf8_lower(pc.fill_null(column, ""))
 
 
-def _counts(langs: list[str]):
-    def run(batches):
-        import pyarrow as pa
+def _counts(batches):
+    """(lang, feature, n); feature 0 is given for each language, so none is lost for want of trigrams."""
+    import pyarrow as pa
 
-        index, total = {x: i for i, x in enumerate(langs)}, np.zeros(len(langs) * FEATURES, np.int64)
-        for batch in batches:
-            lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            data, offsets = utf8_column(lowered(batch.column("text")))
-            for lo, hi in pieces(offsets):
-                f, row = trigrams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                total += np.bincount(lang[lo + row] * FEATURES + f, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // FEATURES), pa.array(at % FEATURES), pa.array(total[at])], names=["lang", "feature", "n"])
-    return run
+    slot, total = {}, np.zeros(SLOTS * FEATURES, np.int64)
+
+    def given():
+        names, named = pa.array(list(slot), pa.string()), total > 0
+        named[np.arange(len(slot)) * FEATURES] = True
+        at = np.flatnonzero(named)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(at // FEATURES)), pa.array(at % FEATURES), pa.array(total[at])], names=["lang", "feature", "n"])
+
+    for batch in batches:
+        lang = batch.column("lang").to_pylist()
+        data, offsets = utf8_column(lowered(batch.column("text")))
+        for lo, hi in pieces(offsets):
+            while lo < hi:
+                at, ids = lo, []
+                while at < hi and (lang[at] in slot or len(slot) < SLOTS):
+                    ids.append(slot.setdefault(lang[at], len(slot)))
+                    at += 1
+                if ids:
+                    f, row = trigrams(data[offsets[lo]:offsets[at]], offsets[lo:at + 1] - offsets[lo])
+                    total[:len(slot) * FEATURES] += np.bincount(np.array(ids, np.int64)[row] * FEATURES + f, minlength=len(slot) * FEATURES)
+                if at < hi:
+                    yield given()
+                    slot.clear()
+                    total[:] = 0
+                lo = at
+    yield given()
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of +1 and -1: the exhaustive code up to six languages, else the farthest of some random codes."""
+    """n codewords of +1 and -1: the exhaustive code up to six languages, else the farthest of some random codes (of fewer, the more languages)."""
     if n <= 1:
         return np.ones((n, 0))
     if n <= 6:
         cols = [[1, *(1 if (c >> i) & 1 else -1 for i in range(n - 1))] for c in range(2 ** (n - 1) - 1)]
         return np.array(cols, float).T
     bits, best, far = 8 * int(np.ceil(np.log2(n))), None, -1
-    for seed in range(200):
+    tries, seed = min(200, max(1, 200 * 64 * 64 // (n * n))), 0
+    while seed < tries or best is None:
         code = np.where(np.random.default_rng(seed).random((n, bits)) < 0.5, -1.0, 1.0)
+        seed += 1
         if (np.abs(code.sum(0)) == n).any():
             continue
-        least = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
-        if least > far:
+        if tries > 1:
+            least = (bits - np.max(code @ code.T - 2 * bits * np.eye(n))) / 2
+        else:
+            least = len(np.unique(np.packbits(code > 0, axis=1), axis=0)) - n + 1      # 1 if all differ
+        if least > max(far, 0):
             best, far = code, least
     return best
 
 
 class Model:
-    """Codewords, a weight per feature and bit, a weight per bit."""
-
-    def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5):
-        self.langs, self.code = langs, codewords(len(langs))
-        share = (counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * FEATURES)
-        bits = self.code.shape[1]
-        self.weight, self.bit = np.zeros((FEATURES, bits), np.float32), np.ones(bits)
-        for j in range(bits):
-            pos, neg = share[self.code[:, j] > 0].mean(0), share[self.code[:, j] < 0].mean(0)
-            self.weight[:, j] = np.log(pos / neg)
-            # how far a typical text of each language lies on its side of the bit
-            side = (share @ self.weight[:, j]) * self.code[:, j]
-            self.bit[j] = max(1e-3, float(side.min()))
-        self.bit /= self.bit.sum() if bits else 1.0
+    """Languages with their codewords, a weight per feature and bit, a weight per bit."""
+
+    def __init__(self, langs: list[str], code: np.ndarray, weight: np.ndarray, bit: np.ndarray):
+        self.langs, self.code, self.weight, self.bit = langs, code.astype(np.int8), weight, bit
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per row and bit: evidence per trigram times the root of their number."""
@@ -117,28 +133,73 @@ class Model:
         return out
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the nearest codeword, confidence, ambiguous)."""
-        loss = np.stack([(np.logaddexp(0, -margins * c) * self.bit).sum(1) for c in self.code], 1)
-        like = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
-        like /= like.sum(1, keepdims=True)
-        best = like.argmax(1)
-        top = np.sort(like, 1)
-        second = top[:, -2] if like.shape[1] > 1 else np.zeros(len(like))
-        return best, top[:, -1], top[:, -1] - second < MARGIN
+        """(index of the nearest codeword, confidence, ambiguous); some rows at a time."""
+        code, out = self.code.astype(float).T, []
+        for block in np.array_split(margins, 1 + len(margins) * len(self.langs) // CELLS):
+            # the logistic losses of both sides of a bit differ by the margin, so losses differ by sums of margins
+            gain = (block * self.bit) @ code
+            like = np.exp(4 * (gain - gain.max(1, keepdims=True)))
+            like /= like.sum(1, keepdims=True)
+            top = np.partition(like, -2, 1)[:, -2:] if like.shape[1] > 1 else np.concatenate((np.zeros_like(like), like), 1)
+            out.append((like.argmax(1), top[:, 1], top[:, 1] - top[:, 0] < MARGIN))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """Counts over all rows with a language; None without any."""
     rows = docs.select(text_of(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
-    if not langs:
+    counts = written(rows.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "trigrams")
+    found = sorted((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+    if not found:
         return None
-    got = rows.mapInArrow(_counts(langs), "lang long, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), FEATURES))
-    counts[got["lang"].to_numpy(np.int64), got["feature"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    return Model(langs, counts)
+    langs, code = [x for x, _ in found], codewords(len(found))
+    bits = code.shape[1]
+    if not bits:
+        return Model(langs, code, np.zeros((FEATURES, 0), np.float32), np.ones(0))
+    # a language's share of a feature is scale * (n + SMOOTHING)
+    scale = 1 / (np.array([n for _, n in found], float) + SMOOTHING * FEATURES)
+    shares = counts.join(_sides(docs, langs, scale, code), "lang").withColumn("share", F.col("n") * F.col("scale"))
+    weight = _weights(shares, scale, code)
+    return Model(langs, code, weight, _bit_weights(shares, weight))
+
+
+def _sides(docs: DataFrame, langs: list[str], scale: np.ndarray, code: np.ndarray) -> DataFrame:
+    """(lang, scale, code): one row per language."""
+    import pyarrow as pa
+
+    side = pa.FixedSizeListArray.from_arrays(pa.array(code.ravel()), code.shape[1]).cast(pa.list_(pa.float64()))
+    made = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "scale": pa.array(scale), "code": side}))
+    return written(made, "sides")
+
+
+def _weights(shares: DataFrame, scale: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log odds of each feature on the two sides of each bit, summed up over the languages by Spark."""
+    bits = range(code.shape[1])
+    sums = [F.sum(F.when(F.col("code")[j] * s > 0, F.col("share")).otherwise(0.0)).alias(f"{c}{j}") for c, s in (("p", 1), ("q", -1)) for j in bits]
+    got = shares.groupBy("feature").agg(*sums).toPandas()
+    weight, at = np.zeros((FEATURES, len(bits)), np.float32), got["feature"].to_numpy(np.int64)
+    for j in bits:
+        mean = []
+        for c, on in (("p", code[:, j] > 0), ("q", code[:, j] < 0)):
+            total = np.zeros(FEATURES)
+            total[at] = got[f"{c}{j}"].to_numpy(float)
+            mean.append((total + SMOOTHING * scale[on].sum()) / on.sum())
+        weight[:, j] = np.log(mean[0] / mean[1])
+    return weight
+
+
+def _bit_weights(shares: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """Per bit how far a typical text of the language nearest to the other side lies on its own side."""
+    import pyarrow as pa
+
+    bits, rest = range(weight.shape[1]), SMOOTHING * weight.sum(0, dtype=float)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(weight.ravel()), len(bits)).cast(pa.list_(pa.float32()))
+    made = shares.sparkSession.createDataFrame(pa.table({"feature": pa.array(np.arange(FEATURES)), "w": lists}))
+    on = shares.join(written(made, "weights"), "feature").groupBy("lang").agg(
+        F.first("scale").alias("scale"), F.first("code").alias("code"), *[F.sum(F.col("share") * F.col("w")[j]).alias(f"s{j}") for j in bits])
+    least = on.agg(*[F.min((F.col(f"s{j}") + F.col("scale") * F.lit(float(rest[j]))) * F.col("code")[j]).alias(f"m{j}") for j in bits]).first()
+    bit = np.maximum(1e-3, np.array(least, float))
+    return bit / bit.sum()
 
 
 def _predict(shared, text: str, keep_only: bool):

@@ -285,6 +285,29 @@ def test_language_id_odd_rows(odd, none):
     assert {r["lang_pred"] for r in got(langid.predict(odd, None))} == {"und"}
 
 
+def test_language_id_of_many_languages(spark):
+    """More languages than a task counts at once: the model is that of plain counts, and texts go to their language."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rng = np.random.default_rng(9)
+    said = ["".join(rng.choice(letters, 5)) for _ in range(70 * 12)]
+    rows = [(i, " ".join(rng.choice(said[12 * (i % 70):12 * (i % 70) + 12], 30)), f"l{i % 70:02}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = langid.train(docs)
+    assert model.langs == [f"l{i:02}" for i in range(70)]
+    counts = np.zeros((70, langid.FEATURES))
+    for _, text, lang in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        np.add.at(counts[int(lang[1:])], langid.trigrams(data, np.array([0, len(data)]))[0], 1)
+    share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * langid.FEATURES)
+    code = langid.codewords(70)
+    weight = np.stack([np.log(share[c > 0].mean(0) / share[c < 0].mean(0)) for c in code.T], 1)
+    assert np.allclose(model.weight, weight, atol=1e-4)
+    least = np.maximum(1e-3, ((share @ weight) * code).min(0))
+    assert np.allclose(model.bit, least / least.sum(), atol=1e-5)
+    right = [r["lang_pred"] == f"l{r['doc_id'] % 70:02}" for r in got(langid.predict(docs, model))]
+    assert sum(right) > 0.97 * len(rows)
+
+
 def test_codewords():
     for n in (2, 4, 6, 9, 30):
         code = langid.codewords(n)
