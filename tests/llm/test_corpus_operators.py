@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections import defaultdict
 
 import duckdb
@@ -193,6 +194,25 @@ def test_licences(spark, odd, none):
     assert license_scan.licences(none).count() == 0
 
 
+def test_licences_wrapped_and_short(spark):
+    """Headers wrapped at any width, short notices and every licence line of the documents have their family."""
+    prose = "walk river stone cloud garden market window silver paper winter of the under the this is"
+    want = {"All rights reserved.": "Proprietary", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+            "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+            "GNU Lesser General Public License, version 3": "LGPL-3.0", "GNU General Public License, version 2": "GPL-2.0", prose: ""}
+    made = [(prose + "\n" + line, family) for line, family in want.items()]
+    for family in ("GPL-3.0", "GPL-2.0", "BSD", "MIT", "Apache-2.0", "ISC", "EPL-2.0"):
+        whole = license_scan.TEMPLATES[family][-1]
+        for width in (30, 70, 80):
+            for lead in ("", "# "):
+                made.append((f"{prose}\n" + "\n".join(lead + x for x in textwrap.wrap(whole, width)) + f"\n{prose}", family))
+    made += [(" ".join(prose.split()[i:] + prose.split()[:i]), "") for i in range(16)] * 4
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in got(license_scan.licences(docs))}
+    assert {i: out[i]["licences"] for i in out} == {i: f for i, (_, f) in enumerate(made)}
+    assert all(r["n_unknown"] == 0 for r in out.values())
+
+
 # 8
 def brute_components(rows, k, percent):
     sets = []
