@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from reviewops.llm.common import row_key, written
 
-#: A subtree is template if it is on this many pages of the host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.1
+#: A subtree is template if it is on MIN_PAGES pages of the host and on MIN_SHARE of them, or on MANY_PAGES whatever the size of the host.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.1, 50
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -219,11 +219,11 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^/?#]*?://([^/?#]*)", 1))
 
 
-def templates(units: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(units: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
     """(host, subtree) on many different pages of the host."""
     pages = units.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     seen = units.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages)
-    return seen.join(pages, "host").filter(F.col("on") >= F.col("pages") * min_share).select("host", "subtree")
+    return seen.join(pages, "host").filter((F.col("on") >= F.col("pages") * min_share) | (F.col("on") >= many)).select("host", "subtree")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",

@@ -68,6 +68,13 @@ def test_html_templates_without_article(spark):
     assert got(html_main.main_text(pages.limit(0))) == []
 
 
+def test_html_section_templates_of_a_large_host(spark):
+    """Each section's own menu goes, though it is on a small share of the host's pages."""
+    made = [(i, f"http://h.org/{i % 16}/{i}", f"<body><div><p>Section {i % 16} links</p></div><div><p>Story {i}</p></div></body>") for i in range(1000)]
+    out = got(html_main.main_text(spark.createDataFrame(made, "page_id long, url string, html string")))
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"Story {i}" for i in range(1000)}
+
+
 def test_html_recurring_passage_in_article_stays(spark):
     pages = spark.createDataFrame([(i, "http://h.org/x", f"<nav>m</nav><article><p>Shared</p><p>{i}</p></article>") for i in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in got(html_main.main_text(pages))} == {f"Shared\n{i}" for i in range(9)}
