@@ -1,11 +1,11 @@
-"""The ten operators applied to their whole tables, with DuckDB SQL where it can say the same."""
+"""The operators applied to their whole tables, with DuckDB SQL where it can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewops.llm import chat, decontam, html_main, jaccard_join, langid, license_scan, mix, secret_scan, topk, urlfilter
+from reviewops.llm import chat, decontam, divergence, html_main, jaccard_join, langid, license_scan, mix, secret_scan, topk, urlfilter
 from reviewops.llm.common import table
 from reviewops.session import apply_defaults, ensure_checkpoint_dir
 
@@ -60,6 +60,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def _ready(build):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         apply_defaults(spark)
@@ -71,7 +75,7 @@ def _ready(build):
 
 def queries() -> dict:
     return {f.__name__: _ready(f) for f in (op1_html_main_text, op2_decontaminate, op3_mix_sources, op4_chat_format, op5_url_filter,
-                                            op6_secret_scan, op7_license_scan, op8_jaccard_join, op9_language_id, op10_topk_search)}
+                                            op6_secret_scan, op7_license_scan, op8_jaccard_join, op9_language_id, op10_topk_search, op11_source_divergence)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -164,5 +168,39 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(body, '{_TERM}')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+g AS (
+  SELECT o.lang, o.source, coalesce(s.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN s ON o.lang = s.lang AND o.source = s.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS p,
+         1 + (1000000000 * (k.n + 1)) // (l.total + l.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+m AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_secret_scan": _op6_sql(), "op10_topk_search": OP10_SQL}
+    return {"op11_source_divergence": OP11_SQL, "op3_mix_sources": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_secret_scan": _op6_sql(), "op10_topk_search": OP10_SQL}
