@@ -64,7 +64,7 @@ def _chunk_counts(batches):
         lang, source = (pa.array(x, pa.string()) for x in zip(*groups, strict=True))
         group = pa.array(key[at] // width)
         yield pa.RecordBatch.from_arrays(
-            [lang.take(group), source.take(group), strings(list(numbers)).take(pa.array(key[at] % width)), pa.array(np.add.reduceat(n, at)),
+            [lang.take(group), source.take(group), strings(numbers.words).take(pa.array(key[at] % width)), pa.array(np.add.reduceat(n, at)),
              pa.array(np.diff(np.append(at, len(key)))), pa.array(np.minimum.reduceat(row, at)), pa.array(np.maximum.reduceat(row, at))],
             names=["lang", "source", "chunk", "n", "docs", "lo", "hi"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewops.llm import chat, decontam, divergence, html_main, jaccard_join, langid, license_scan, mix, secret_scan, spelling, topk, urlfilter
+from reviewops.llm import chat, decontam, divergence, html_main, jaccard_join, langid, license_scan, mix, pitman_yor, secret_scan, spelling, topk, urlfilter
 from reviewops.llm.common import table
 from reviewops.session import apply_defaults, ensure_checkpoint_dir
 
@@ -64,6 +64,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score(docs, pitman_yor.train(docs.filter(~pitman_yor.held_out())))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -80,7 +85,7 @@ def _ready(build):
 def queries() -> dict:
     return {f.__name__: _ready(f) for f in (op1_html_main_text, op2_decontaminate, op3_mix_sources, op4_chat_format, op5_url_filter,
                                             op6_secret_scan, op7_license_scan, op8_jaccard_join, op9_language_id, op10_topk_search, op11_source_divergence,
-                                            op13_spelling_variants)}
+                                            op12_lm_scoring, op13_spelling_variants)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"

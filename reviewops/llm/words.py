@@ -14,12 +14,20 @@ _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class Numbering(dict):
-    """A number for each word, by first sight."""
+    """A number for each word, by first sight; ``words`` lists them."""
+
+    def __init__(self):
+        self.words = []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
+        self[word] = n = len(self.words)
+        self.words.append(word)
         return n
 
+    def clear(self) -> None:
+        super().clear()
+        self.words = []
+
 
 def words_of(text: bytes):
     """Lists of the words of a text with A-Z lower-cased; at most about PIECE bytes a list."""
