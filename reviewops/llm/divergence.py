@@ -6,11 +6,11 @@ another and against the language as a whole.
 1. A task counts the white-space chunks of each document and adds them up by
    (lang, source, chunk): occurrences, documents, and the least and greatest
    document among them.
-2. Each chunk of the whole corpus is split into terms once; the terms are
-   joined back to its counts.  White space separates terms, so no term is cut.
-3. Occurrences add up.  A chunk in three documents or more settles that its
-   terms are kept; with fewer, the least and the greatest are all its
-   documents, and (term, document) is made distinct.
+2. The counts meet by chunk.  Each chunk of the whole corpus is split into terms
+   once, and its terms take over its counts; white space separates terms, so no
+   term is cut.  A task adds them up by (lang, source, term) before they move on.
+3. Occurrences add up.  Three documents at one place settle that a term is kept;
+   fewer are all named (least and greatest), and the different ones are counted.
 4. A kept term's share p in a group of count n is
    ``1 + floor(10^9 (n + 1) / (N + V))``, and ``f = floor((p - q)^2 / q)``.
 5. ``pair``: f summed over all kept terms.  p depends on the count alone and
@@ -28,6 +28,8 @@ occurrences.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,10 +37,12 @@ from pyspark.sql import functions as F
 from reviewops.llm.common import text_of, written
 from reviewops.llm.words import Numbering, numbered, runs, strings
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCALE, MIN_DOCS, TOP = 10 ** 9, 3, 200
 #: Words, and different words, that a task counts before it gives its counts.
-WORDS, DIFFERENT = 1 << 21, 1 << 19
+WORDS, DIFFERENT = 3 << 20, 3 << 18
+#: Counts of chunks that a task adds up at once.
+ROWS = 1 << 18
 #: Sums of pairs of sources that a task holds before it gives them.
 PAIRS = 1 << 20
 
@@ -85,26 +89,79 @@ def _chunk_counts(batches):
         yield from given()
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, n, docs, lo, hi) over all documents (columns lang, source, text without nulls)."""
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    counts = rows.mapInArrow(_chunk_counts, "lang string, source string, chunk string, n long, docs long, lo long, hi long")
-    return counts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+CHUNKS = "lang string, source string, chunk string, n long, docs long, lo long, hi long"
+TERMS = "lang string, source string, term string, n long, docs long, lo long, hi long"
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents up to MIN_DOCS (or more)."""
-    terms = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all("chunk", F.lit(TERM), 0).alias("terms")).filter(F.size("terms") > 0)
-    none, more = F.lit(None).cast("long"), F.lit(0).cast("long")
+def _terms(batches):
+    """(lang, source, term, n, docs, lo, hi) of counts sorted by chunk: each chunk is split once, then added up by term.
 
-    def seen(doc: Column, n: Column) -> Column:
-        return F.struct(doc.alias("doc"), n.alias("n"))
+    Up to two documents are lo and hi; with three or more docs is MIN_DOCS and they do not matter.
+    """
+    import pyarrow as pa
 
-    lo, hi, n = F.col("lo"), F.col("hi"), F.col("n")
-    who = F.when(F.col("docs") >= MIN_DOCS, F.array(seen(none, n))).when(F.col("docs") > 1, F.array(seen(lo, n), seen(hi, more))).otherwise(F.array(seen(lo, n)))
-    found = chunks.join(terms, "chunk").select("lang", "source", F.explode("terms").alias("term"), who.alias("who"))
-    found = found.select("lang", "source", "term", F.inline("who"))
-    return (found.groupBy("lang", "source", "term", "doc").agg(F.sum("n").alias("n"))
+    held, rows = [], 0
+
+    def given(table):
+        chunk = table.column("chunk").combine_chunks().dictionary_encode()
+        names = Numbering()
+        terms = [[names[t] for t in _TERM.findall(x)] for x in chunk.dictionary.to_pylist()]
+        size = np.array([len(t) for t in terms])
+        flat, first = np.array([t for x in terms for t in x], np.int64), np.cumsum(size) - size
+        code = np.asarray(chunk.indices)
+        row = np.repeat(np.arange(len(code)), size[code])
+        term = flat[np.arange(len(row)) - np.repeat(np.cumsum(size[code]) - size[code] - first[code], size[code])]
+        if not len(row):
+            return
+        lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+        kinds, width = len(source.dictionary), len(names)
+        group = np.asarray(lang.indices).astype(np.int64) * kinds + np.asarray(source.indices)
+        n, docs, lo, hi = (table.column(c).to_numpy() for c in ("n", "docs", "lo", "hi"))
+        key = group[row] * width + term
+        keys, at = np.unique(key, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, n[row])
+        many = np.bincount(at, weights=docs[row] >= MIN_DOCS, minlength=len(keys)) > 0
+        # the different documents of each term
+        few = ~many[at]
+        of, doc = np.tile(at[few], 2), np.concatenate((lo[row[few]], hi[row[few]]))
+        order = np.lexsort((doc, of))
+        of, doc = of[order], doc[order]
+        new = np.concatenate((np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])))
+        of, doc = of[new], doc[new]
+        seen = np.bincount(of, minlength=len(keys))
+        least, most = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        least[of[::-1]], most[of] = doc[::-1], doc
+        yield pa.RecordBatch.from_arrays(
+            [lang.dictionary.take(pa.array(keys // width // kinds)), source.dictionary.take(pa.array(keys // width % kinds)), pa.array(names.words, pa.string()).take(pa.array(keys % width)),
+             pa.array(total), pa.array(np.where(many, MIN_DOCS, np.minimum(seen, MIN_DOCS))), pa.array(least), pa.array(most)], names=[x.split()[0] for x in TERMS.split(", ")])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            # all but the last chunk, which may go on
+            table = pa.Table.from_batches(held)
+            chunk, cut = table.column("chunk"), table.num_rows - 1
+            while cut and chunk[cut - 1] == chunk[-1]:
+                cut -= 1
+            yield from given(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows = sum(x.num_rows for x in held)
+    if held:
+        yield from given(pa.Table.from_batches(held))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs) of columns lang, source, text without nulls: occurrences, and documents up to MIN_DOCS (or more)."""
+    chunks = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunk_counts, CHUNKS)
+    terms = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_terms, TERMS).repartition("lang", "term")
+    lo, hi, none = F.col("lo"), F.col("hi"), F.lit(None).cast("long")
+    who = F.when(F.col("docs") >= MIN_DOCS, F.array(none)).when(F.col("docs") > 1, F.array(lo, hi)).otherwise(F.array(lo))
+    each = terms.select("lang", "source", "term", "n", F.posexplode(who).alias("i", "doc"))
+    return (each.groupBy("lang", "source", "term", "doc").agg(F.sum(F.when(F.col("i") == 0, F.col("n")).otherwise(0)).alias("n"))
             .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("doc").isNull(), MIN_DOCS).otherwise(1)).alias("docs")))
 
 
@@ -191,7 +248,7 @@ def _pair_sums(batches):
 def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank of every group: all pairs, and its TOP terms more frequent than in the language."""
     docs = docs.select(text_of(F.col(lang)).alias("lang"), text_of(F.col(source)).alias("source"), text_of(text).alias("text"))
-    counts = term_counts(chunk_counts(docs))
+    counts = term_counts(docs)
     total = Window.partitionBy("lang", "term")
     kept = written(counts.withColumn("docs", F.sum("docs").over(total)).withColumn("lang_n", F.sum("n").over(total))
                    .filter(F.col("docs") >= MIN_DOCS).select("lang", "source", "term", "n", "lang_n"), "kept")
