@@ -94,7 +94,7 @@ TERMS = "lang string, source string, term string, n long, docs long, lo long, hi
 
 
 def _terms(batches):
-    """(lang, source, term, n, docs, lo, hi) of counts sorted by chunk: each chunk is split once, then added up by term.
+    """(lang, source, term, n, docs, lo, hi) of counts with equal chunks side by side: each chunk is split once, then added up by term.
 
     Up to two documents are lo and hi; with three or more docs is MIN_DOCS and they do not matter.
     """
@@ -157,7 +157,8 @@ def _terms(batches):
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of columns lang, source, text without nulls: occurrences, and documents up to MIN_DOCS (or more)."""
     chunks = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunk_counts, CHUNKS)
-    terms = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_terms, TERMS).repartition("lang", "term")
+    # sorted by a hash, which is cheaper; two chunks of one hash may be split once more, which changes no sum
+    terms = chunks.repartition("chunk").sortWithinPartitions(F.xxhash64("chunk")).mapInArrow(_terms, TERMS).repartition("lang", "term")
     lo, hi, none = F.col("lo"), F.col("hi"), F.lit(None).cast("long")
     who = F.when(F.col("docs") >= MIN_DOCS, F.array(none)).when(F.col("docs") > 1, F.array(lo, hi)).otherwise(F.array(lo))
     each = terms.select("lang", "source", "term", "n", F.posexplode(who).alias("i", "doc"))

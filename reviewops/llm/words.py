@@ -51,6 +51,16 @@ def numbered(column, numbers: Numbering):
         yield i, parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def slices(batch, name: str, size: int):
+    """Parts of a batch with at most about ``size`` bytes of text in a column, or a single row."""
+    offsets = utf8_column(batch.column(name))[1]
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(sorted_keys)), bool), sorted_keys[1:] != sorted_keys[:-1])))
