@@ -18,16 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder, return the stored table.
 
     The folder is ``spark.checkpoint.dir``, which every executor sees, so a
     lost executor loses nothing.  Parquet keeps column pruning and gives the
-    planner the true size.  Hadoop removes the folder when the application ends.
+    planner the true size.  Rows of some megabytes are better kept to a few per
+    file (0: any number).  Hadoop removes the folder when the application ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
