@@ -106,7 +106,7 @@ def _terms(batches):
         chunk = table.column("chunk").combine_chunks().dictionary_encode()
         names = Numbering()
         terms = [[names[t] for t in _TERM.findall(x)] for x in chunk.dictionary.to_pylist()]
-        size = np.array([len(t) for t in terms])
+        size = np.array([len(t) for t in terms], np.int64)
         flat, first = np.array([t for x in terms for t in x], np.int64), np.cumsum(size) - size
         code = np.asarray(chunk.indices)
         row = np.repeat(np.arange(len(code)), size[code])
@@ -142,11 +142,12 @@ def _terms(batches):
         held.append(batch)
         rows += batch.num_rows
         if rows >= ROWS:
-            # all but the last chunk, which may go on
+            # all but the last chunk, which may go on (unless there is no other)
             table = pa.Table.from_batches(held)
             chunk, cut = table.column("chunk"), table.num_rows - 1
             while cut and chunk[cut - 1] == chunk[-1]:
                 cut -= 1
+            cut = cut or table.num_rows
             yield from given(table.slice(0, cut))
             held = table.slice(cut).to_batches()
             rows = sum(x.num_rows for x in held)
