@@ -1,12 +1,14 @@
 """Composite ingest of a raw review batch (I8, I9) and its counters.
 
-All outputs are computed from one snapshot of the inputs and returned as
-DataFrames; the caller writes them (raw, reviews, places, then the log row
-last), each to a new version directory.
+A batch is parsed, deduplicated and classified once and stored; all outputs
+come from that frame.  ``ingest_delta`` gives what a batch adds, ``ingest_batch``
+merges it into the tables as frames, and ``streaming.streams.stream_ingest``
+commits it to stored tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,21 +16,30 @@ from pyspark.sql import functions as F
 
 from reviewops import schemas as K
 from reviewops.functions.values import now_col
-from reviewops.operators.filters import review_reason
-from reviewops.operators.merge import mark_skip, merge_upsert
+from reviewops.operators.filters import KEPT_REASONS, review_reason
+from reviewops.operators.merge import latest_per_key, mark_skip, merge_upsert
 from reviewops.operators.oplog import log_rows
-from reviewops.operators.ordering import dedupe_first
 from reviewops.operators.quality import generic_reply
+from reviewops.operators.setops import ingested_run_ids
 from reviewops.sources.rows import review_row
+from reviewops.sources.tables import stored
 
 DROPPED_AT_SOURCE = ("missing_reviewId", "missing_placeId", "not_low_star_review")
 
 
 def classify_raw(raw: DataFrame, seq: str = "seq", templates=K.GENERIC_REPLY_TEMPLATES,
-                 detect_generic: bool = True) -> DataFrame:
-    """Deduplicate (first by ``seq``) and label every kept raw item with the
-    first failing rule; ``detect_generic=False`` skips the similarity rule."""
-    kept = dedupe_first(raw, ["reviewId"], seq)
+                 detect_generic: bool = True, batch: Sequence[str] = ()) -> DataFrame:
+    """One row per review id (and ``batch`` columns), the first by ``seq``, with
+    the first failing rule as ``reason`` and the number of raw rows it stands
+    for as ``seen``.
+
+    Raw rows without an id are kept as one row with reason ``missing_reviewId``,
+    so that the counters need no second look at the raw rows.
+    ``detect_generic=False`` skips the similarity rule."""
+    cols = raw.columns
+    kept = (raw.groupBy(*batch, F.coalesce(F.col("reviewId"), F.lit("")).alias("_id"))
+            .agg(F.min_by(F.struct(*cols), F.col(seq)).alias("_r"), F.count(F.lit(1)).alias("seen"))
+            .select(*[F.col(f"_r.{c}").alias(c) for c in cols], "seen"))
     generic = None
     if detect_generic:
         kept = generic_reply(kept, "responseFromOwnerText", templates, out="_generic")
@@ -38,28 +49,23 @@ def classify_raw(raw: DataFrame, seq: str = "seq", templates=K.GENERIC_REPLY_TEM
     return kept.withColumn("reason", reason)
 
 
-def etl_stats(raw: DataFrame, classified: DataFrame, batch: str | None = None) -> DataFrame:
-    """Batch counters.  ``skipped`` = dedupe + invalid + non-low-star + filtered."""
-    keys = [batch] if batch else []
-    raw_n = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_count"))
-    r = F.col("reason")
-    c = classified.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_kept"),
-        F.count_if(r.isin("missing_reviewId", "missing_placeId")).alias("invalid_skipped"),
+def etl_stats(classified: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
+    """Counters of a batch (or of each ``batch``) from ``classify_raw`` alone.
+
+    ``skipped`` = dedupe + invalid + non-low-star + filtered; raw rows without
+    an id count as dedupe-skipped."""
+    r, present = F.col("reason"), F.col("reason") != "missing_reviewId"
+    c = classified.groupBy(*batch).agg(
+        F.coalesce(F.sum("seen"), F.lit(0)).cast("long").alias("raw_count"),
+        F.count_if(present).alias("_kept"),
+        F.count_if(r == "missing_placeId").alias("invalid_skipped"),
         F.count_if(r == "not_low_star_review").alias("non_low_star_skipped"),
         F.count_if(r.isin("empty_review_text", "generic_pr_reply")).alias("filter_skipped"),
         F.count_if(~r.isin(*DROPPED_AT_SOURCE)).alias("source_count"),
-        F.count_if(r.isin("ok", "needs_owner_recheck")).alias("review_count"),
+        F.count_if(r.isin(*KEPT_REASONS)).alias("review_count"),
         F.countDistinct(F.when(r == "generic_pr_reply", F.col("placeId"))).alias("generic_pr_store_count"))
-    on = keys if keys else None
-    if on:
-        j = raw_n.join(c, on, "left")
-    else:
-        from reviewops.operators.aggregates import one_row
-        j = one_row(raw_n, c)
-    j = j.na.fill(0)
-    j = j.withColumn("dedupe_skipped", F.col("raw_count") - F.col("_kept")).drop("_kept")
-    return j.withColumn("skipped", F.col("dedupe_skipped") + F.col("invalid_skipped")
+    c = c.withColumn("dedupe_skipped", F.col("raw_count") - F.col("_kept")).drop("_kept")
+    return c.withColumn("skipped", F.col("dedupe_skipped") + F.col("invalid_skipped")
                         + F.col("non_low_star_skipped") + F.col("filter_skipped"))
 
 
@@ -69,52 +75,101 @@ class IngestResult:
     review: DataFrame    # new review table version
     places: DataFrame    # new place table version (generic places flagged)
     changed: DataFrame   # place ids whose skip flag flipped
-    stats: DataFrame     # E15 counters (one row)
-    log: DataFrame       # execution-log row
+    stats: DataFrame     # E15 counters (one row; salvage: one per run)
+    log: DataFrame       # execution-log row (salvage: one per run)
+
+
+@dataclass
+class IngestDelta:
+    source: DataFrame    # landed raw rows of the batch, one per review id
+    review: DataFrame    # review rows of the batch, one per review id
+    generic: DataFrame   # place ids with a generic reply
+    stats: DataFrame
+    log: DataFrame
+
+
+def ingest_delta(raw: DataFrame, now, allowed: DataFrame | None = None, seq: str = "seq",
+                 pipeline: str = "review_initial", run_id: str | None = None,
+                 templates=K.GENERIC_REPLY_TEMPLATES, detect_generic: bool = True) -> IngestDelta:
+    """What a batch adds: allow-list -> dedupe -> classify (stored once) -> rows, counters, log row."""
+    n = now_col(now)
+    if allowed is not None:
+        raw = raw.join(allowed.select(F.col("place_id").alias("placeId")).distinct(), "placeId", "left_semi")
+    classified = stored(classify_raw(raw, seq, templates, detect_generic), "classified")
+    stats = etl_stats(classified)
+    log = log_rows(stats, pipeline, "success", run_id=run_id, items=F.col("raw_count"), started=n,
+                   finished=n, response=F.struct(*stats.columns))
+    return IngestDelta(landed(classified, n), kept_reviews(classified, n), generic_place_ids(classified), stats, log)
+
+
+def landed(classified: DataFrame, now, keep: Sequence[str] = ()) -> DataFrame:
+    rows = classified.filter(~F.col("reason").isin(*DROPPED_AT_SOURCE))
+    return rows.select(F.col("reviewId").alias("review_id"), F.col("placeId").alias("place_id"), "raw_json", now.alias("scraped_at"), *keep)
+
+
+def kept_reviews(classified: DataFrame, now, keep: Sequence[str] = ()) -> DataFrame:
+    return review_row(classified.filter(F.col("reason").isin(*KEPT_REASONS)), now, keep)
+
+
+def generic_place_ids(classified: DataFrame) -> DataFrame:
+    return classified.filter(F.col("reason") == "generic_pr_reply").select(F.col("placeId").alias("place_id")).distinct()
 
 
 def ingest_batch(raw: DataFrame, state: DataFrame, places: DataFrame, now, allowed: DataFrame | None = None,
                  seq: str = "seq", pipeline: str = "review_initial", run_id: str | None = None,
-                 templates=K.GENERIC_REPLY_TEMPLATES, detect_generic: bool = True) -> IngestResult:
-    """I8: allow-list -> dedupe -> validate -> classify -> raw landing ->
+                 templates=K.GENERIC_REPLY_TEMPLATES, detect_generic: bool = True,
+                 landing: DataFrame | None = None) -> IngestResult:
+    """I8: allow-list -> dedupe -> validate -> classify -> raw upsert ->
     review upsert -> mark generic places -> stats -> log row.
 
     ``raw`` is parsed raw review JSON (``schemas.RAW_REVIEW`` fields, plus
-    ``raw_json`` and ``seq``); ``state`` is the current review table.
+    ``raw_json`` and ``seq``); ``state`` is the current review table and
+    ``landing`` the current landed raw rows (None: none yet).
     """
-    n = now_col(now)
-    if allowed is not None:
-        raw = raw.join(allowed.select(F.col("place_id").alias("placeId")).distinct(), "placeId", "left_semi")
-    classified = classify_raw(raw, seq, templates, detect_generic)
-    src_rows = classified.filter(~F.col("reason").isin(*DROPPED_AT_SOURCE))
-    source = src_rows.select(F.col("reviewId").alias("review_id"), F.col("placeId").alias("place_id"),
-                             "raw_json", n.alias("scraped_at"))
-    fresh = review_row(classified.filter(F.col("reason").isin("ok", "needs_owner_recheck")), n)
-    review = merge_upsert(state, fresh.select(*state.columns), ["review_id"], ["scraped_at"])
-    generic = classified.filter(F.col("reason") == "generic_pr_reply").select(
-        F.col("placeId").alias("place_id")).distinct()
-    new_places, changed = mark_skip(places, generic)
-    stats = etl_stats(raw, classified)
-    log = log_rows(stats, pipeline, "success", run_id=run_id, items=F.col("raw_count"), started=n,
-                   finished=n, response=F.struct(*stats.columns))
-    return IngestResult(source, review, new_places, changed, stats, log)
+    d = ingest_delta(raw, now, allowed, seq, pipeline, run_id, templates, detect_generic)
+    source = d.source if landing is None else merge_upsert(landing, d.source, ["review_id"], ["scraped_at"])
+    review = merge_upsert(state, d.review.select(*state.columns), ["review_id"], ["scraped_at"])
+    new_places, changed = mark_skip(places, d.generic)
+    return IngestResult(source, review, new_places, changed, d.stats, d.log)
 
 
 def salvage_ingest(runs: DataFrame, raw: DataFrame, state: DataFrame, places: DataFrame, now,
-                   seq: str = "seq", pipeline: str = "review_initial") -> IngestResult:
-    """Ingest the items of finished runs (no allow-list).
-
-    Only runs with status SUCCEEDED and a dataset id count; ``raw`` rows carry
-    the ``dataset_id`` they came from.  The log has one ``success`` row per run
-    with its run id (null where ``runs`` has no ``run_id``), dataset id and item
-    count, so the next look for salvageable runs (D11) leaves it out.
+                   seq: str = "seq", pipeline: str = "review_initial", log: DataFrame | None = None,
+                   landing: DataFrame | None = None, order: Sequence[str] = ("finished_at",),
+                   templates=K.GENERIC_REPLY_TEMPLATES, detect_generic: bool = True) -> IngestResult:
+    """Ingest the items of finished runs, run after run (no allow-list).
+
+    Only runs with status SUCCEEDED and a dataset id count, and none that
+    ``log`` has as a success.  ``raw`` rows carry the ``dataset_id`` they came
+    from.  Within a run the first item of a review id by ``seq`` counts; of
+    several runs the last by ``order`` (those of its columns that ``runs``
+    has), run id and dataset id, as if each had been ingested after the other.
+    All runs are folded in one pass: a key per (run, review), then the last
+    run of each review.  Counters and log have one row per run; the log rows
+    say ``salvaged`` and carry run id (null where ``runs`` has none), dataset
+    id and item count, so D11 leaves the runs out from then on.
     """
-    ok = runs.filter((F.col("status") == "SUCCEEDED") & F.col("dataset_id").isNotNull() & (F.col("dataset_id") != ""))
-    ran = ok.select(F.col("run_id") if "run_id" in runs.columns else F.lit(None).cast("string").alias("run_id"), "dataset_id").distinct()
-    items = raw.join(ok.select("dataset_id").distinct(), "dataset_id", "left_semi")
-    res = ingest_batch(items, state, places, now, None, seq, pipeline)
     n = now_col(now)
-    ran = ran.join(items.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("items")), "dataset_id", "left")
-    res.log = log_rows(ran, pipeline, "success", run_id=F.col("run_id"), dataset_id=F.col("dataset_id"), items=F.col("items"),
-                       started=n, finished=n)
-    return res
+    ok = runs.filter((F.col("status") == "SUCCEEDED") & F.col("dataset_id").isNotNull() & (F.col("dataset_id") != ""))
+    run = ok.select((F.col("run_id") if "run_id" in runs.columns else F.lit(None).cast("string")).alias("run_id"), "dataset_id",
+                    F.struct(*[c for c in order if c in runs.columns], *[c for c in ("run_id", "dataset_id") if c in runs.columns]).alias("_turn"))
+    run = run.groupBy("run_id", "dataset_id").agg(F.max("_turn").alias("_turn"))
+    if log is not None:
+        run = run.join(ingested_run_ids(log), "run_id", "left_anti")
+    of = ["run_id", "dataset_id"]
+    classified = stored(classify_raw(raw.drop("run_id", "_turn").join(run, "dataset_id"), seq, templates, detect_generic, of), "salvaged")
+
+    last = lambda rows: latest_per_key(rows, ["review_id"], ["_turn"]).drop("_turn")
+    fresh, found = last(kept_reviews(classified, n, ["_turn"])), last(landed(classified, n, ["_turn"]))
+    review = merge_upsert(state, fresh.select(*state.columns), ["review_id"], ["scraped_at"])
+    source = found if landing is None else merge_upsert(landing, found, ["review_id"], ["scraped_at"])
+    new_places, changed = mark_skip(places, generic_place_ids(classified))
+    stats = etl_stats(classified, of)
+    # a run without items is done as well
+    ran = run.alias("r").join(stats.select(F.col("run_id").alias("_run"), F.col("dataset_id").alias("_set"), F.col("raw_count").alias("items")),
+                              F.col("_run").eqNullSafe(F.col("r.run_id")) & (F.col("_set") == F.col("r.dataset_id")), "left")
+    ran = ran.select("run_id", "dataset_id", F.coalesce("items", F.lit(0)).alias("items"))
+    done = log_rows(ran, pipeline, "success", run_id=F.col("run_id"), dataset_id=F.col("dataset_id"), items=F.col("items"),
+                    started=n, finished=n, request=F.struct(F.lit(True).alias("salvaged"), "dataset_id"),
+                    response=F.struct("dataset_id", F.col("items").alias("item_count"), F.lit("SUCCEEDED").alias("run_status")))
+    return IngestResult(source, review, new_places, changed, stats, done)

@@ -1,7 +1,7 @@
 """Import every query module so the registry is complete."""
 
-from reviewops.plans import (queries_board, queries_expr, queries_more, queries_ops,  # noqa: F401
-                             queries_sources, queries_streams)
+from reviewops.plans import (queries_board, queries_expr, queries_ingest, queries_more,  # noqa: F401
+                             queries_ops, queries_sources, queries_streams)
 from reviewops.plans.registry import REGISTRY, runner
 
 

@@ -17,7 +17,6 @@ from reviewops.operators import oplog as L
 from reviewops.operators import ordering as O
 from reviewops.operators import scoring as SC
 from reviewops.operators.batching import batch_members
-from reviewops.operators.ingest import ingest_batch, salvage_ingest
 from reviewops.operators.quality import generic_reply
 from reviewops.operators.recheck import advance_recheck, due_rechecks
 from reviewops.plans.queries_more import short_name_sql
@@ -287,33 +286,6 @@ def q_flag_preserving_merge(v):
     return M.merge_upsert(st, src, ["place_id"], preserve=["blocked"])
 
 
-def _state(v):
-    rv = v["rv"]
-    return rv.select("review_id", "place_id", F.lit("unknown").alias("original_language"), "review_text",
-                     "published_at", "review_url", F.lit(None).cast("string").alias("review_image_urls"),
-                     "likes_count", F.col("stars").cast("double").alias("total_score"), "stars",
-                     F.lit(None).cast("timestamp_ntz").alias("owner_reply_date"), "owner_reply", "scraped_at",
-                     "owner_reply_recheck", F.lit(None).cast("timestamp_ntz").alias("owner_reply_recheck_at"),
-                     "next_check_at")
-
-
-@query("ingest_batch")
-def q_ingest_batch(v):
-    places = v["st"].select("place_id", "skip_review_fetch")
-    res = ingest_batch(parsed_ev(v, once=True), _state(v), places, NOW, allowed=D.eligible(v["st"]))
-    return res.review.select("review_id", "place_id", "stars", "owner_reply_recheck", "next_check_at")
-
-
-@query("salvage_ingest")
-def q_salvage_ingest(v):
-    raw = parsed_ev(v, once=True).withColumn("dataset_id",
-                                             F.concat(F.lit("ds"), (F.col("seq") % 7).cast("string")))
-    runs = raw.select("dataset_id").distinct().select(
-        "dataset_id", F.when(F.col("dataset_id") != "ds3", "SUCCEEDED").otherwise("FAILED").alias("status"))
-    places = v["st"].select("place_id", "skip_review_fetch")
-    res = salvage_ingest(runs, raw, _state(v), places, NOW)
-    return res.stats
-
 # ------------------------------------------------------------ A5 / D11 run log
 
 

@@ -12,7 +12,6 @@ from reviewops.operators import aggregates as E
 from reviewops.operators import filters as C
 from reviewops.operators import joins as D
 from reviewops.operators import ordering as O
-from reviewops.operators.ingest import classify_raw, etl_stats
 from reviewops.operators.rollups import intensity_board, max_positive, place_board
 from reviewops.plans.queries_board import BOARD_STEPS
 from reviewops.plans.queries_ops import CASE_INV_SQL, SCORED_SQL
@@ -259,32 +258,6 @@ def q_flag_counts(v):
     return E.flag_counts(v["st"])
 
 
-@query("etl_stats", f"""
-, k AS (SELECT json_extract_string(raw_json, '$.reviewId') AS rid, arg_min(raw_json, seq) AS raw_json FROM ev
-        WHERE coalesce(json_extract_string(raw_json, '$.reviewId'), '') <> '' GROUP BY 1),
-  c AS (SELECT json_extract_string(raw_json, '$.placeId') AS place_id,
-    CASE WHEN coalesce(json_extract_string(raw_json, '$.placeId'), '') = '' THEN 'missing_placeId'
-      WHEN coalesce(TRY_CAST(json_extract_string(raw_json, '$.stars') AS INT), 0) NOT IN (1, 2) THEN 'not_low_star_review'
-      WHEN length({strip("coalesce(json_extract_string(raw_json, '$.text'), '')")}) < 2 THEN 'empty_review_text'
-      WHEN NOT {py_nonblank("json_extract_string(raw_json, '$.responseFromOwnerText')")} THEN 'needs_owner_recheck'
-      ELSE 'ok' END AS reason FROM k)
-SELECT (SELECT count(*) FROM ev) AS raw_count,
-  count(*) FILTER (WHERE reason IN ('missing_reviewId', 'missing_placeId')) AS invalid_skipped,
-  count(*) FILTER (WHERE reason = 'not_low_star_review') AS non_low_star_skipped,
-  count(*) FILTER (WHERE reason IN ('empty_review_text', 'generic_pr_reply')) AS filter_skipped,
-  count(*) FILTER (WHERE reason NOT IN ('missing_reviewId', 'missing_placeId', 'not_low_star_review')) AS source_count,
-  count(*) FILTER (WHERE reason IN ('ok', 'needs_owner_recheck')) AS review_count,
-  count(DISTINCT CASE WHEN reason = 'generic_pr_reply' THEN place_id END) AS generic_pr_store_count,
-  (SELECT count(*) FROM ev) - count(*) AS dedupe_skipped,
-  (SELECT count(*) FROM ev) - count(*) + count(*) FILTER (WHERE reason IN ('missing_reviewId', 'missing_placeId'))
-    + count(*) FILTER (WHERE reason = 'not_low_star_review')
-    + count(*) FILTER (WHERE reason IN ('empty_review_text', 'generic_pr_reply')) AS skipped
-FROM c""", ("ev",))
-def q_etl_stats(v):
-    raw = parsed_ev(v, once=True)
-    return etl_stats(raw, classify_raw(raw, "seq", detect_generic=False))
-
-
 @query("role_tag_counts", """
 SELECT role, tag, count(*) AS count FROM (
   SELECT 'guest' AS role, review_sentiment AS tag FROM ai UNION ALL SELECT 'owner', owner_sentiment FROM ai) t

@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewops import schemas as K
-from reviewops.bindings import NOW, SPARK_EV, VIEWS
-from reviewops.operators.joins import eligible
-from reviewops.plans.queries_expr import _state
+from reviewops.bindings import SPARK_EV, VIEWS
 from reviewops.plans.registry import query
 from reviewops.sources.raw import parse_json_column
 from reviewops.streaming import streams as J
@@ -37,18 +35,6 @@ def stream_view(spark, name: str):
     raise KeyError(name)
 
 
-@query("stream_ingest")
-def q_stream_ingest(v):
-    spark = v["st"].sparkSession
-    raw = parse_json_column(stream_view(spark, "ev"), "raw_json", K.RAW_REVIEW, once=True)
-    places = v["st"].select("place_id", "skip_review_fetch")
-    base = J.scratch(spark, "ingest")
-    q = J.stream_ingest(raw, places, _state(v), f"{base}/state", f"{base}/ckpt", NOW, allowed=eligible(v["st"]))
-    q.awaitTermination()
-    out = spark.read.parquet(J.latest_version(spark, f"{base}/state"))
-    return out.select("review_id", "place_id", "stars", "owner_reply_recheck", "next_check_at")
-
-
 @query("stream_dedupe", """
 SELECT DISTINCT json_extract_string(raw_json, '$.reviewId') AS reviewId, ts FROM ev
 WHERE coalesce(json_extract_string(raw_json, '$.reviewId'), '') <> ''""", ("ev",))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from reviewops import schemas as K
 from reviewops.session import ensure_checkpoint_dir
+from reviewops.sources.tables import Tables, file_system
 
 
 def as_event_time(c) -> "F.Column":
@@ -34,7 +35,7 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int |
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     if fs.getFileStatus(p).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
@@ -58,53 +59,62 @@ def run_to_table(df: DataFrame, mode: str = "append", name: str = "stream") -> D
 # --------------------------------------------------------------------- J1
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+INGEST_KEYS = {"source": ["review_id"], "review": ["review_id"], "place": ["place_id"]}
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, f"{path}/_SUCCESS")
-    return fs.exists(p)
+def ingest_tables(spark: SparkSession, root: str, review: DataFrame, places: DataFrame, buckets: int = 64) -> Tables:
+    """The six tables of ``stream_ingest``, loaded with the current reviews and places if they are new.
 
-
-def latest_version(spark: SparkSession, state_dir: str) -> str | None:
-    """Newest completed ``batch=<n>`` version folder of a state table."""
-    fs, p = _fs(spark, state_dir)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and _done(spark, f"{state_dir}/{name}"):
-            n = int(name.split("=", 1)[1])
-            best = n if best is None or n > best else best
-    return None if best is None else f"{state_dir}/batch={best}"
-
-
-def stream_ingest(raw_stream: DataFrame, places: DataFrame, initial_state: DataFrame, state_dir: str,
-                  checkpoint: str, now, allowed: DataFrame | None = None, detect_generic: bool = True):
-    """Run I8 on every micro-batch of parsed raw reviews.
-
-    Each batch reads the newest review-table version, merges, and writes
-    ``state_dir/batch=<id>``; a batch whose folder is complete is skipped on
-    replay (idempotent by batch id).  Returns the started StreamingQuery.
+    ``source`` (landed raw), ``review`` and ``place`` hold one row per key;
+    ``changed`` (place, batch), ``stats`` and ``log`` take rows.
+    """
+    review_type, place_type = review.schema, places.schema
+    landed = T.StructType([T.StructField("review_id", T.StringType()), T.StructField("place_id", T.StringType()),
+                           T.StructField("raw_json", T.StringType()), T.StructField("scraped_at", T.TimestampNTZType())])
+    changed = T.StructType([T.StructField("place_id", T.StringType()), T.StructField("batch", T.LongType())])
+    stats = T.StructType([T.StructField(c, T.LongType()) for c in (
+        "batch", "raw_count", "invalid_skipped", "non_low_star_skipped", "filter_skipped", "source_count", "review_count",
+        "generic_pr_store_count", "dedupe_skipped", "skipped")])
+    log = T.StructType([T.StructField(c, kind) for c, kind in (
+        ("id", T.StringType()), ("pipeline", T.StringType()), ("status", T.StringType()), ("items_count", T.IntegerType()),
+        ("run_id", T.StringType()), ("dataset_id", T.StringType()), ("actor_name", T.StringType()),
+        ("started_at", T.TimestampNTZType()), ("finished_at", T.TimestampNTZType()), ("request_json", T.StringType()),
+        ("response_json", T.StringType()), ("error_msg", T.StringType()), ("retry_count", T.IntegerType()))])
+    tables = Tables(spark, root, {"source": landed, "review": review_type, "place": place_type, "changed": changed, "stats": stats, "log": log},
+                    INGEST_KEYS, buckets)
+    if tables.manifest()["version"] == 0:
+        tables.commit({"review": review, "place": places})
+    return tables
+
+
+def stream_ingest(raw_stream: DataFrame, tables: Tables, checkpoint: str, now, allowed=None, detect_generic: bool = True,
+                  compact_after: int = 8, **trigger):
+    """Run I8 on every micro-batch of parsed raw reviews and commit all its outputs at once.
+
+    A batch writes its own rows only: landed raw rows, reviews, places whose
+    flag flipped, counters, log row; the last version of a key counts.  The
+    commit is idempotent by batch id, so a replayed batch changes nothing.
+    ``now`` is an instant or a function of the batch id; ``allowed`` is a
+    function of the place table as the last batch left it.  Buckets with more
+    than ``compact_after`` versions are folded after a batch.  Returns the
+    started StreamingQuery (trigger: available data once, unless given).
     """
-    from reviewops.operators.ingest import ingest_batch
-
-    def each(batch_df: DataFrame, batch_id: int):
-        spark = batch_df.sparkSession
-        out = f"{state_dir}/batch={batch_id}"
-        if _done(spark, out):
-            return
-        current = latest_version(spark, state_dir)
-        state = spark.read.schema(initial_state.schema).parquet(current) if current else initial_state
-        res = ingest_batch(batch_df, state, places, now, allowed, detect_generic=detect_generic)
-        res.review.write.mode("overwrite").parquet(out)
+    from reviewops.operators.ingest import ingest_delta
+
+    def each(batch: DataFrame, batch_id: int):
+        if batch_id > tables.manifest()["batch"]:
+            places = tables.read("place")
+            d = ingest_delta(batch, now(batch_id) if callable(now) else now, None if allowed is None else allowed(places),
+                             detect_generic=detect_generic)
+            flagged = places.join(d.generic, "place_id", "left_semi").filter(~F.coalesce(F.col("skip_review_fetch"), F.lit(False)))
+            number = F.lit(batch_id).cast("long").alias("batch")
+            tables.commit({"source": d.source, "review": d.review, "place": flagged.withColumn("skip_review_fetch", F.lit(True)),
+                           "changed": flagged.select("place_id", number), "stats": d.stats.select("*", number), "log": d.log}, batch_id)
+        for name in INGEST_KEYS:
+            tables.compact(name, compact_after)
 
     return (raw_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 # --------------------------------------------------------------------- J2
 

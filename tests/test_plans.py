@@ -21,7 +21,8 @@ QUERIES = catalog.queries()
 # queries that run actions or streams while being built: checked by value only
 EAGER = {k for k in QUERIES if k.startswith("stream_")} | {"nearest_place", "batches", "recheck_batches",
                                                              "score_batch_log", "generic_reply", "ingest_batch",
-                                                             "salvage_ingest"}
+                                                             "ingest_outputs", "salvage_ingest", "salvage_outputs",
+                                                             "etl_stats"}
 PYTHON_OK = {"gestalt_ratio": "ArrowEvalPython", "generic_reply": "ArrowEvalPython",
              "ingest_batch": "ArrowEvalPython", "salvage_ingest": "ArrowEvalPython", "score_pairs": "MapInPandas"}
 
