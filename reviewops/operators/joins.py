@@ -9,8 +9,6 @@ semi/anti joins, never ``IN (<collected list>)``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,6 +16,7 @@ from pyspark.sql import Window
 from reviewops import schemas as K
 from reviewops.functions.text import district as _district, raw_nonblank
 from reviewops.operators.filters import scored_cases
+from reviewops.operators.nearest import nearest_place  # noqa: F401 - D15 among the joins
 
 
 def eligible(places: DataFrame) -> DataFrame:
@@ -155,98 +154,3 @@ def scorer_completeness(request: DataFrame, response: DataFrame, key: str = "rev
               .when(F.col("answers") > 1, "duplicate").otherwise("ok"))
     return j.select(key, status.alias("status"), F.coalesce("answers", F.lit(0)).alias("answers"),
                     "request_json", "response_json")
-
-
-def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.01, levels: int = 24,
-                  point_key: str = "point_id", place_key: str = "place_id") -> DataFrame:
-    """For every point the place with the least squared lat/lng distance.
-
-    Grid search instead of a cross join.  At level k the cell size is
-    ``cell * 2**k``; a point looks at its 3x3 block of level-k cells (9 rows
-    per point) and its answer is exact once the best distance is below the
-    cell size (everything outside the block is farther).  A point that found
-    some place at distance ``sqrt(u)`` but is not resolved jumps straight to
-    the first level whose cell exceeds ``sqrt(u)``, which resolves it; a point
-    with no candidate moves one level up.  Blocks are nested, so candidates
-    farther than ``u`` are dropped before the aggregation.  Each round is one
-    equi-join on (level, cell) plus a partial aggregate; places are indexed
-    once per level in use (a bounded number of rows per place).  Ties go to
-    the smaller place key.
-    """
-    pts = points.select(F.col(point_key).alias("_pid"), F.col("lat").alias("_plat"),
-                        F.col("lng").alias("_plng")).filter(F.col("_plat").isNotNull()
-                                                            & F.col("_plng").isNotNull())
-    # Places at identical coordinates: only the smallest key can ever win the
-    # (distance, key) order, so one representative per location is exact and
-    # keeps a hot spot of co-located places from multiplying candidate pairs.
-    pl = (places.select(F.col(place_key).alias("_sid"), F.col("lat").alias("_slat"),
-                        F.col("lng").alias("_slng"))
-          .filter(F.col("_slat").isNotNull() & F.col("_slng").isNotNull())
-          .groupBy("_slat", "_slng").agg(F.min("_sid").alias("_sid")))
-    # the coarsest block must hold every place that latitudes and longitudes
-    # can name, whatever the cell, so that no point is left without an answer
-    levels = max(levels, math.ceil(math.log2(1024.0 / cell)) + 1)
-    all_levels = F.array(*[F.lit(k) for k in range(levels)])
-    indexed = pl.select("*", F.explode(all_levels).alias("_lvl")).select(
-        "*", (F.lit(cell) * F.pow(F.lit(2.0), F.col("_lvl"))).alias("_size")).select(
-        "_sid", "_slat", "_slng", "_lvl", F.floor(F.col("_slat") / F.col("_size")).alias("_cx"),
-        F.floor(F.col("_slng") / F.col("_size")).alias("_cy"))
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    # distinct occupied cells per level: at most one row per place and level
-    occupied = indexed.select("_lvl", "_cx", "_cy").distinct()
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_lvl"))
-    results = []
-    pending = pts.select("*", F.lit(None).cast("double").alias("_u"), F.lit(0).alias("_lvl"))
-    for _round in range(levels + 1):
-        q = (pending.select("*", F.explode(offsets).alias("_o"))
-             .select("_pid", "_plat", "_plng", "_u", "_lvl",
-                     (F.floor(F.col("_plat") / size) + F.col("_o.dx")).alias("_cx"),
-                     (F.floor(F.col("_plng") / size) + F.col("_o.dy")).alias("_cy")))
-        d2 = (F.col("_plat") - F.col("_slat")) ** 2 + (F.col("_plng") - F.col("_slng")) ** 2
-        cand = (q.join(indexed, ["_lvl", "_cx", "_cy"], "inner").withColumn("_d", d2)
-                .filter(F.col("_u").isNull() | (F.col("_d") <= F.col("_u"))))
-        # materialise each round's per-point best once (reliable checkpoint in
-        # the shared spark.checkpoint.dir): it feeds both the answer and the
-        # remainder, and a lost executor does not redo earlier rounds
-        best = cand.groupBy("_pid").agg(
-            F.min_by(F.struct("_sid", "_d"), F.struct("_d", "_sid")).alias("_b")).checkpoint(eager=True)
-        j = pending.join(best, "_pid", "left")
-        resolved = F.col("_b").isNotNull() & (F.col("_b._d") < size * size)
-        results.append(j.filter(resolved).select("_pid", F.col("_b._sid").alias("_sid"),
-                                                 F.col("_b._d").alias("_d")))
-        u = F.coalesce(F.col("_b._d"), F.col("_u"))
-        # first level whose cell size exceeds sqrt(u)
-        jump = F.ceil(F.log2(F.sqrt(u) / F.lit(cell)) + F.lit(1e-9)).cast("int")
-        rest = (j.filter(~resolved)
-                .select("_pid", "_plat", "_plng", u.alias("_u"),
-                        F.least(F.greatest(F.col("_lvl") + 1, F.coalesce(jump, F.lit(0))),
-                                F.lit(levels - 1)).alias("_lvl")))
-        # points with no candidate yet: one probe against the distinct
-        # occupied cells finds the first level whose block holds any place
-        probe = (rest.filter(F.col("_u").isNull())
-                 .select("_pid", "_plat", "_plng", F.explode(all_levels).alias("_l2"), "_lvl")
-                 .filter(F.col("_l2") >= F.col("_lvl"))
-                 .select("_pid", "_plat", "_plng", "_l2", F.explode(offsets).alias("_o"))
-                 .select("_pid", F.col("_l2").alias("_lvl"),
-                         (F.floor(F.col("_plat") / (F.lit(cell) * F.pow(F.lit(2.0), F.col("_l2"))))
-                          + F.col("_o.dx")).alias("_cx"),
-                         (F.floor(F.col("_plng") / (F.lit(cell) * F.pow(F.lit(2.0), F.col("_l2"))))
-                          + F.col("_o.dy")).alias("_cy"))
-                 .join(occupied, ["_lvl", "_cx", "_cy"], "left_semi")
-                 .groupBy("_pid").agg(F.min("_lvl").alias("_first")))
-        pending = (rest.join(probe, "_pid", "left")
-                   .select("_pid", "_plat", "_plng", "_u",
-                           F.coalesce(F.col("_first"), F.col("_lvl")).alias("_lvl"))
-                   .checkpoint(eager=True))
-        # the emptiness test reads one row, it does not collect the data
-        if pending.isEmpty():
-            break
-    else:
-        if not pl.isEmpty():
-            raise ValueError("points farther than 1024 degrees from every place")
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select(F.col("_pid").alias(point_key), F.col("_sid").alias(place_key),
-                      F.col("_d").alias("distance2"))

@@ -252,7 +252,7 @@ SELECT point_id, place_id, distance2 FROM (
   FROM pts p, st s) t WHERE rn = 1""", ("st",))
 def q_nearest_place(v):
     pts = v["st"].sparkSession.sql(POINTS_SQL)
-    return D.nearest_place(pts, v["st"], cell=0.01)
+    return D.nearest_place(pts, v["st"])
 
 
 @query("attach_max_score", """
