@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +14,7 @@ from reviewops.functions import values as V
 from reviewops.functions.scores import fetch_limit
 from reviewops.operators.filters import eligible_places
 from reviewops.plans.registry import query
+from reviewops.session import ensure_checkpoint_dir
 from reviewops.sources import raw as RAW
 from reviewops.sources import rows as ROWS
 
@@ -37,6 +41,25 @@ def q_json_dataset(v):
                                F.col("location.lat").alias("lat"), F.col("location.lng").alias("lng"))
 
 
+def array_files(v) -> str:
+    """The raw reviews as a few JSON array files; a row a line, so that no task holds a file."""
+    spark = v["ev"].sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrays-{uuid.uuid4().hex[:12]}"
+    rows = v["ev"].select("seq", "raw_json", F.pmod(F.xxhash64("seq"), F.lit(4)).alias("file"))
+    order = Window.partitionBy("file").orderBy("seq")
+    line = F.concat(F.when(F.lag("seq").over(order).isNull(), "[").otherwise(","), "raw_json", F.when(F.lead("seq").over(order).isNull(), "]").otherwise(""))
+    rows.select("file", line.alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+@query("json_array_dataset", f"""
+SELECT {j('reviewId')} AS reviewId, {j('placeId')} AS placeId, {j('text')} AS text,
+  CAST({j('location.lng')} AS DOUBLE) AS lng, raw_json FROM ev""", ("ev",))
+def q_json_array_dataset(v):
+    rows = RAW.read_json_dataset(v["ev"].sparkSession, array_files(v), K.RAW_REVIEW)
+    return rows.select("reviewId", "placeId", "text", F.col("location.lng").alias("lng"), "raw_json")
+
+
 @query("land_raw", f"SELECT {j('reviewId')} AS reviewId, raw_json, ts AS scraped_at FROM ev", ("ev",))
 def q_land_raw(v):
     return RAW.land_raw(parsed_ev(v), "reviewId", "ts", raw="raw_json")

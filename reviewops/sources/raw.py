@@ -8,17 +8,19 @@ from pyspark.sql import types as T
 
 from reviewops.functions.text import col_
 from reviewops.functions.values import safe_timestamp
+from reviewops.sources.arrays import read_elements
 
 
 def read_json_dataset(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A1: files holding a JSON array of objects -> one row per object.
 
-    Read as whole-file text so a non-array document yields no rows and
-    non-object elements are dropped, then parsed with an explicit schema
-    (no inference pass over the data).
+    A file of any size is read by as many tasks as it has splits
+    (``sources.arrays``).  A non-array document yields no rows and non-object
+    elements are dropped; objects are parsed with an explicit schema (no
+    inference pass over the data).  ``pos`` orders the objects of a file.
     """
-    text = spark.read.option("wholetext", True).text(path)
-    return parse_json_array(text, "value", schema)
+    items = read_elements(spark, path)
+    return items.select("pos", F.from_json("text", schema).alias("_o"), F.col("text").alias("raw_json")).select("pos", "_o.*", "raw_json")
 
 
 def parse_json_array(df: DataFrame, col: str, schema: T.StructType) -> DataFrame:
