@@ -42,6 +42,10 @@ def min_text_len(df: DataFrame, text: str = "text", n: int = K.MIN_REVIEW_TEXT_L
     return df.filter(F.length(py_strip(F.coalesce(col_(text), F.lit("")))) >= n)
 
 
+#: Labels of the raw names of ids.
+MISSING = {"reviewId": "missing_review_id", "placeId": "missing_place_id"}
+
+
 def review_reason(ids=("review_id", "place_id"), stars="stars", text="review_text",
                   reply="owner_reply", generic=None):
     """C4 as a Column: the first failing rule, in the reference's order.
@@ -51,8 +55,8 @@ def review_reason(ids=("review_id", "place_id"), stars="stars", text="review_tex
     """
     expr = None
     for c in ids:
-        bad = F.coalesce(col_(c).cast("string"), F.lit("")) == ""
-        expr = F.when(bad, f"missing_{c}") if expr is None else expr.when(bad, f"missing_{c}")
+        bad, label = F.coalesce(col_(c).cast("string"), F.lit("")) == "", MISSING.get(c, f"missing_{c}")
+        expr = F.when(bad, label) if expr is None else expr.when(bad, label)
     s = safe_int(stars, 0, numbers=True)
     expr = expr.when(~s.isin(*K.LOW_STARS), "not_low_star_review")
     expr = expr.when(F.length(py_strip(F.coalesce(col_(text), F.lit("")))) < K.MIN_REVIEW_TEXT_LEN,

@@ -24,7 +24,7 @@ from reviewops.operators.setops import ingested_run_ids
 from reviewops.sources.rows import review_row
 from reviewops.sources.tables import stored
 
-DROPPED_AT_SOURCE = ("missing_reviewId", "missing_placeId", "not_low_star_review")
+DROPPED_AT_SOURCE = ("missing_review_id", "missing_place_id", "not_low_star_review")
 
 
 def classify_raw(raw: DataFrame, seq: str = "seq", templates=K.GENERIC_REPLY_TEMPLATES,
@@ -33,7 +33,7 @@ def classify_raw(raw: DataFrame, seq: str = "seq", templates=K.GENERIC_REPLY_TEM
     the first failing rule as ``reason`` and the number of raw rows it stands
     for as ``seen``.
 
-    Raw rows without an id are kept as one row with reason ``missing_reviewId``,
+    Raw rows without an id are kept as one row with reason ``missing_review_id``,
     so that the counters need no second look at the raw rows.
     ``detect_generic=False`` skips the similarity rule."""
     cols = raw.columns
@@ -54,11 +54,11 @@ def etl_stats(classified: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
 
     ``skipped`` = dedupe + invalid + non-low-star + filtered; raw rows without
     an id count as dedupe-skipped."""
-    r, present = F.col("reason"), F.col("reason") != "missing_reviewId"
+    r, present = F.col("reason"), F.col("reason") != "missing_review_id"
     c = classified.groupBy(*batch).agg(
         F.coalesce(F.sum("seen"), F.lit(0)).cast("long").alias("raw_count"),
         F.count_if(present).alias("_kept"),
-        F.count_if(r == "missing_placeId").alias("invalid_skipped"),
+        F.count_if(r == "missing_place_id").alias("invalid_skipped"),
         F.count_if(r == "not_low_star_review").alias("non_low_star_skipped"),
         F.count_if(r.isin("empty_review_text", "generic_pr_reply")).alias("filter_skipped"),
         F.count_if(~r.isin(*DROPPED_AT_SOURCE)).alias("source_count"),

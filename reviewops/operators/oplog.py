@@ -26,8 +26,8 @@ def log_rows(df: DataFrame, pipeline, status, run_id=None, dataset_id=None, item
     """A5: one execution-log row per input row.
 
     Arguments are literals or Columns of ``df``; ``request`` / ``response``
-    Columns of struct type are serialised to JSON text.  The id comes from
-    ``id_col`` or ``uuid()`` (a SERIAL has no scalable equivalent).
+    Columns of struct type are serialised to JSON text.  The id is a number:
+    ``id_col``, or 63 random bits (a SERIAL has no scalable equivalent).
     """
     def js(x):
         if isinstance(x, Column):
@@ -36,7 +36,7 @@ def log_rows(df: DataFrame, pipeline, status, run_id=None, dataset_id=None, item
             return F.to_json(x) if nested else x.cast("string")
         return _lit_or_col(x, "string")
     return df.select(
-        (F.col(id_col).cast("string") if id_col else F.expr("uuid()")).alias("id"),
+        (F.col(id_col).cast("long") if id_col else F.xxhash64(F.expr("uuid()")).bitwiseAND(F.lit((1 << 63) - 1))).alias("id"),
         _lit_or_col(pipeline, "string").alias("pipeline"), _lit_or_col(status, "string").alias("status"),
         F.coalesce(_lit_or_col(items, "int"), F.lit(0)).alias("items_count"),
         _lit_or_col(run_id, "string").alias("run_id"), _lit_or_col(dataset_id, "string").alias("dataset_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -131,35 +132,51 @@ def rank_split(df: DataFrame, board: str, podium: int = 3, rest: int = 27) -> Da
     return ranked.withColumn("tier", F.when(F.col("rank") <= podium, "podium").otherwise("list"))
 
 
+def _backwards(order: Sequence) -> list[Column]:
+    """Sort columns of the reversed order."""
+    out = []
+    for o in order:
+        if isinstance(o, Column):
+            raise ValueError("a clamped page takes names or (name, direction, nulls), not Columns")
+        o = o if isinstance(o, tuple) else (o,)
+        way, nulls = _direction(o)
+        out.append(getattr(F.col(o[0]), f"{'asc' if way == 'desc' else 'desc'}_{'nulls_last' if nulls == 'nulls_first' else 'nulls_first'}")())
+    return out
+
+
 def page(df: DataFrame, order: Sequence, page_no: int = 1, size: int = K.PAGE_SIZE_MAX,
-         max_size: int = K.PAGE_SIZE_MAX, after: Sequence | None = None, clamp_to_last: bool = False):
+         max_size: int | None = K.PAGE_SIZE_MAX, after: Sequence | None = None, clamp_to_last: bool = False):
     """one page and the total row count.
 
-    ``page_no`` >= 1, size clamped to ``1..max_size``.  With ``after`` (the
-    sort values of the last row seen, None for null) the page is taken by
-    keyset instead of offset, which stays cheap for deep pages.  With
-    ``clamp_to_last`` a page past the end shows the last page: rows are
-    numbered by the distributed global index (F10) and the start position is
-    a scalar subquery on the total, so nothing is collected.
+    ``page_no`` and ``size`` count from 1; a size over ``max_size`` (none, if
+    None) is cut to it with a warning.  With ``after`` (the sort values of the last row seen,
+    None for null) the page is taken by keyset instead of offset, which stays
+    cheap for deep pages.  With ``clamp_to_last`` a page past the end shows the
+    last page: it is read from the end of the order, as the first rows of the
+    reversed one, and as many of them as the last page has are kept.  Only rows
+    of pages are held, the table is neither numbered nor copied.
     Returns ``(page DF, total DF)``.
     """
-    size = max(1, min(int(size), max_size))
+    if max_size is not None and size > max_size:
+        warnings.warn(f"page size {size} cut to {max_size}", stacklevel=2)
+        size = max_size
+    size = max(1, int(size))
     page_no = max(1, int(page_no))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     cols = _order_cols(order)
     if after is not None:
         return df.filter(_past(order, after)).orderBy(*cols).limit(size), total
-    if clamp_to_last:
-        from reviewops.operators.batching import global_index
-        start = total.select(F.least(
-            F.lit((page_no - 1) * size).cast("long"),
-            F.greatest(F.lit(0).cast("long"),
-                       ((F.ceil(F.col("total") / F.lit(size)) - 1) * F.lit(size)).cast("long"))).alias("s"))
-        idx = global_index(df, cols)
-        s = start.scalar()
-        return (idx.filter((F.col("row_index") >= s) & (F.col("row_index") < s + F.lit(size)))
-                .orderBy("row_index").drop("row_index"), total)
-    return df.orderBy(*cols).offset((page_no - 1) * size).limit(size), total
+    here = df.orderBy(*cols).offset((page_no - 1) * size).limit(size)
+    if not clamp_to_last:
+        return here, total
+    rows = total.scalar()
+    last = df.orderBy(*_backwards(order)).limit(size)
+    # the page asked for begins past the end: the last page has the rest of the division, or a full page
+    some = F.when(rows % size == 0, F.lit(size)).otherwise(rows % size)
+    row = F.struct(*df.columns)
+    kept = last.agg(F.collect_list(row).alias("a")).select(F.inline(F.slice("a", F.lit(1), some.cast("int"))))
+    past = kept.filter(rows <= F.lit((page_no - 1) * size))
+    return here.unionByName(past).orderBy(*cols), total
 
 
 def last_page(total: int, size: int) -> int:
@@ -169,12 +186,15 @@ def last_page(total: int, size: int) -> int:
 
 def top_daily(reviews: DataFrame, analyses: DataFrame, now) -> DataFrame:
     """the one case scraped since yesterday's midnight with the highest
-    score sum (ties: review id)."""
+    score sum (ties: review id).  Its texts are those that were analysed, where
+    the analyses hold them."""
     midnight = F.date_trunc("day", now_col(now)).cast("timestamp_ntz")
     since = midnight - F.make_dt_interval(F.lit(1))
-    a = analyses.select("review_id", "review_score", "owner_score", "pr_reply", "review_summary")
+    told = {"review_text": "review_text", "owner_reply": "owner_text"}
+    texts = {name: F.col(c) for name, c in told.items() if c in analyses.columns}
+    a = analyses.select("review_id", "review_score", "owner_score", "pr_reply", "review_summary", *[c.alias(name) for name, c in texts.items()])
     r = reviews.filter(F.col("scraped_at") >= since).select(
-        "review_id", "place_id", "review_text", "owner_reply", "review_url", "scraped_at")
+        "review_id", "place_id", *[c for c in told if c not in texts], "review_url", "scraped_at")
     j = a.join(r, "review_id", "inner")
     return (j.orderBy((F.col("review_score") + F.col("owner_score")).desc_nulls_last(),
                       F.col("review_id").asc()).limit(1))
@@ -213,6 +233,9 @@ def latest_runs(log: DataFrame, n: int = 15) -> DataFrame:
                     F.date_format("started_at", "MM-dd HH:mm").alias("started")))
 
 
-def random_case(df: DataFrame, n: int = 1, seed: int = 7) -> DataFrame:
-    """``n`` random rows (seeded)."""
-    return df.orderBy(F.rand(seed)).limit(max(1, int(n)))
+def random_case(df: DataFrame, key: str, n: int = 1, seed: int = 7) -> DataFrame:
+    """``n`` random rows, those with the smallest keyed hash of ``key``.
+
+    The same seed gives the same rows however the table is partitioned, and
+    samples of parts merge into the sample of the whole (each task keeps n rows)."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(max(1, int(n)))

@@ -129,28 +129,8 @@ def q_finish_status(v):
                      X.status_message((F.col("event_id") % 3).cast("string"), "props", ":").alias("message"))
 
 
-POST_TEMPLATE = ("Today's fiercest exchange\nGuest: 「{review}...」\nOwner: 「{owner}...」\n"
-                 "Guest heat: {guest}\nOwner heat: {owner_score}\nSuggested reply: 「{reply}...」\n{url}")
-POST_FALLBACK = "No quarrel today."
-
-
-def daily_post_text(top, template: str = POST_TEMPLATE, fallback: str = POST_FALLBACK):
-    """The daily post from F7's single row; the fallback text when there
-    is no case.  Excerpts keep the first 100 characters."""
-    spark = top.sparkSession
-    cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, 100)
-    parts = template.replace("{review}", "%1$s").replace("{owner}", "%2$s").replace("{guest}", "%3$s") \
-        .replace("{owner_score}", "%4$s").replace("{reply}", "%5$s").replace("{url}", "%6$s")
-    text = F.format_string(parts, cut("review_text"), cut("owner_reply"), F.col("review_score").cast("string"),
-                           F.col("owner_score").cast("string"), cut("pr_reply"), F.coalesce("review_url", F.lit("")))
-    # the case (priority 1) or the fallback row (priority 0): no join needed
-    case = top.select(text.alias("text"), F.lit(1).alias("_prio"))
-    fallback_row = spark.range(1).select(F.lit(fallback).alias("text"), F.lit(0).alias("_prio"))
-    return case.unionByName(fallback_row).agg(F.max_by("text", "_prio").alias("text"))
-
-
 @query("daily_post_text", """
-, t AS (SELECT a.review_id, r.review_text, r.owner_reply, a.review_score, a.owner_score, a.pr_reply, r.review_url
+, t AS (SELECT a.review_id, concat('guest of ', a.review_id) AS review_text, concat('owner of ', a.review_id) AS owner_reply, a.review_score, a.owner_score, a.pr_reply, r.review_url
         FROM ai a JOIN rv r ON r.review_id = a.review_id WHERE r.scraped_at >= TIMESTAMP '1998-05-31 00:00:00'
         ORDER BY a.review_score + a.owner_score DESC, a.review_id LIMIT 1)
 SELECT coalesce((SELECT concat('Today''s fiercest exchange', chr(10), 'Guest: 「', substr(coalesce(review_text, ''), 1, 100),
@@ -159,8 +139,8 @@ SELECT coalesce((SELECT concat('Today''s fiercest exchange', chr(10), 'Guest: 
   'Suggested reply: 「', substr(coalesce(pr_reply, ''), 1, 100), '...」', chr(10), coalesce(review_url, '')) FROM t),
   'No quarrel today.') AS text""", ("ai", "rv"))
 def q_daily_post_text(v):
-    top = O.top_daily(v["rv"], v["ai"], NOW)
-    return daily_post_text(top)
+    ai = v["ai"].withColumns({"review_text": F.concat(F.lit("guest of "), "review_id"), "owner_text": F.concat(F.lit("owner of "), "review_id")})
+    return X.daily_post_text(O.top_daily(v["rv"], ai, NOW))
 
 # ------------------------------------------------------------ I upserts / state
 
@@ -290,7 +270,7 @@ def q_flag_preserving_merge(v):
 
 
 @query("append_log", """
-SELECT CAST(id AS VARCHAR) AS id, pipeline, 'success' AS status, items_count, run_id,
+SELECT id, pipeline, 'success' AS status, items_count, run_id,
   to_json({'actor': actor, 'items_count': items_count}) AS request_json, started_at, 0 AS retry_count FROM lg""",
        ("lg",))
 def q_append_log(v):

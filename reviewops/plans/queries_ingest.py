@@ -82,7 +82,7 @@ def classified_sql(raw: str, batch: str = "") -> str:
         WHERE coalesce({field('reviewId')}, '') <> '' GROUP BY ALL),
   f AS (SELECT {of}review_id, raw_json, {field('placeId')} AS place_id, coalesce(TRY_CAST({field('stars')} AS INT), 0) AS stars,
           {field('text')} AS body, {field('responseFromOwnerText')} AS reply, CAST({field('publishedAtDate')} AS TIMESTAMP) AS published FROM k),
-  c AS (SELECT *, CASE WHEN coalesce(place_id, '') = '' THEN 'missing_placeId' WHEN stars NOT IN (1, 2) THEN 'not_low_star_review'
+  c AS (SELECT *, CASE WHEN coalesce(place_id, '') = '' THEN 'missing_place_id' WHEN stars NOT IN (1, 2) THEN 'not_low_star_review'
           WHEN length({strip("coalesce(body, '')")}) < 2 THEN 'empty_review_text' WHEN NOT {reply} THEN 'needs_owner_recheck'
           WHEN reply = '{TEMPLATE}' THEN 'generic_pr_reply' ELSE 'ok' END AS reason,
           NOT ({reply} OR TIMESTAMP '{NOW}' > published + INTERVAL 10 DAY) AS owner_reply_recheck,
@@ -97,9 +97,9 @@ def stats_sql(batch: str = "") -> str:
     on = f"c.{batch} = g.{batch}" if batch else "true"
     return f"""
   n0 AS (SELECT {'g.' + batch + ', ' if batch else ''}any_value({same}) AS raw_count,
-      count(reason) FILTER (reason = 'missing_placeId') AS invalid_skipped, count(reason) FILTER (reason = 'not_low_star_review') AS non_low_star_skipped,
+      count(reason) FILTER (reason = 'missing_place_id') AS invalid_skipped, count(reason) FILTER (reason = 'not_low_star_review') AS non_low_star_skipped,
       count(reason) FILTER (reason IN ('empty_review_text', 'generic_pr_reply')) AS filter_skipped,
-      count(reason) FILTER (reason NOT IN ('missing_placeId', 'not_low_star_review')) AS source_count,
+      count(reason) FILTER (reason NOT IN ('missing_place_id', 'not_low_star_review')) AS source_count,
       count(reason) FILTER (reason IN ('ok', 'needs_owner_recheck')) AS review_count,
       count(DISTINCT CASE WHEN reason = 'generic_pr_reply' THEN place_id END) AS generic_pr_store_count, count(reason) AS kept
     FROM {keys} g LEFT JOIN c ON {on} {'GROUP BY g.' + batch if batch else ''}),
@@ -135,7 +135,7 @@ UNION ALL {log}"""
 
 
 ONE_BATCH = f""", {classified_sql(ALLOWED)}, {stats_sql()},
-  last_source AS (SELECT * FROM c WHERE reason NOT IN ('missing_placeId', 'not_low_star_review')),
+  last_source AS (SELECT * FROM c WHERE reason NOT IN ('missing_place_id', 'not_low_star_review')),
   last_review AS (SELECT * FROM c WHERE reason IN ('ok', 'needs_owner_recheck'))"""
 REVIEW_SQL = f"""
 SELECT {', '.join(REVIEW)} FROM last_review
@@ -169,7 +169,7 @@ RUNS_SQL = f"""
   {classified_sql(f"SELECT *, concat('ds', seq % 7) AS dataset_id FROM ({REPLACED}) WHERE dataset_id IN (SELECT dataset_id FROM run)", "dataset_id")},
   {stats_sql("dataset_id")},
   t AS (SELECT c.*, turn FROM c JOIN run USING (dataset_id)),
-  last_source AS (SELECT * FROM t WHERE reason NOT IN ('missing_placeId', 'not_low_star_review') QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY turn DESC) = 1),
+  last_source AS (SELECT * FROM t WHERE reason NOT IN ('missing_place_id', 'not_low_star_review') QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY turn DESC) = 1),
   last_review AS (SELECT * FROM t WHERE reason IN ('ok', 'needs_owner_recheck') QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY turn DESC) = 1)"""
 
 

@@ -361,9 +361,10 @@ def q_latest_runs(v):
     return O.latest_runs(v["lg"], 15)
 
 
-@query("random_case")
+@query("random_case", """
+SELECT place_id, title FROM st ORDER BY md5(concat('11:', place_id)), place_id LIMIT 1""", ("st",))
 def q_random_case(v):
-    return O.random_case(v["st"].select("place_id", "title"), 1, seed=11)
+    return O.random_case(v["st"].select("place_id", "title"), "place_id", 1, seed=11)
 
 
 @query("batches", """
@@ -375,7 +376,7 @@ SELECT CAST(floor((rn - 1) / 50) AS BIGINT) AS batch_index, list(place_id ORDER
 def q_batches(v):
     e = C.eligible_places(v["st"]).withColumn("lim", fetch_limit("one_star", "two_star"))
     return batches(e, [F.col("lim").desc(), F.col("place_id").asc()], 50, "place_id",
-                   {"max_reviews": F.max("lim")})
+                   {"max_reviews": F.max("lim")}, of=["lim"])
 
 
 @query("recheck_batches", f"""
@@ -391,6 +392,16 @@ def q_recheck_batches(v):
     return reviews.select("review_id", "place_id", "batch_index")
 
 
+@query("recheck_batch_places", f"""
+, p AS (SELECT place_id, CAST(floor((row_number() OVER (ORDER BY place_id) - 1) / 50) AS BIGINT) AS batch_index
+        FROM (SELECT DISTINCT r.place_id FROM rv r JOIN st s ON s.place_id = r.place_id
+              WHERE NOT s.blocked AND NOT s.skip_review_fetch AND r.owner_reply_recheck
+                AND r.next_check_at IS NOT NULL AND r.next_check_at <= TIMESTAMP '{NOW}') d)
+SELECT batch_index, list(place_id ORDER BY place_id) AS place_ids FROM p GROUP BY batch_index""", ("rv", "st"))
+def q_recheck_batch_places(v):
+    return recheck_batches(due_rechecks(v["rv"], v["st"], NOW), D.eligible(v["st"]))[0]
+
+
 @query("due_by_place", f"""
 , due AS (SELECT r.review_id, r.place_id FROM rv r JOIN st s ON s.place_id = r.place_id
           WHERE NOT s.blocked AND NOT s.skip_review_fetch AND r.owner_reply_recheck
@@ -404,11 +415,16 @@ def q_due_by_place(v):
 
 
 @query("table_counts", """
-SELECT 'store' AS "table", count(*) AS "rows" FROM st UNION ALL SELECT 'review', count(*) FROM rv
+SELECT 'store' AS "table", count(*) AS "rows" FROM st WHERE title IS NOT NULL UNION ALL SELECT 'store_source', count(*) FROM st
+UNION ALL SELECT 'review', count(*) FROM rv
+UNION ALL SELECT 'review_source', count(DISTINCT json_extract_string(raw_json, '$.reviewId')) FROM ev
 UNION ALL SELECT 'ai_analysis', count(*) FROM ai UNION ALL SELECT 'execution_log', count(*) FROM lg""",
-       ("st", "rv", "ai", "lg"))
+       ("st", "rv", "ai", "lg", "ev"))
 def q_table_counts(v):
-    return G.table_counts({"store": v["st"], "review": v["rv"], "ai_analysis": v["ai"], "execution_log": v["lg"]})
+    # the landed raw rows: places as they came, reviews one per id
+    landed = v["ev"].select(F.get_json_object("raw_json", "$.reviewId").alias("review_id")).filter("review_id IS NOT NULL").distinct()
+    return G.table_counts({"store": C.drop_null(v["st"]), "store_source": v["st"], "review": v["rv"], "review_source": landed,
+                           "ai_analysis": v["ai"], "execution_log": v["lg"]})
 
 
 @query("ingested_run_ids", "SELECT DISTINCT run_id FROM lg WHERE status = 'success' AND run_id IS NOT NULL", ("lg",))

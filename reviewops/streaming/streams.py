@@ -75,12 +75,7 @@ def ingest_tables(spark: SparkSession, root: str, review: DataFrame, places: Dat
     stats = T.StructType([T.StructField(c, T.LongType()) for c in (
         "batch", "raw_count", "invalid_skipped", "non_low_star_skipped", "filter_skipped", "source_count", "review_count",
         "generic_pr_store_count", "dedupe_skipped", "skipped")])
-    log = T.StructType([T.StructField(c, kind) for c, kind in (
-        ("id", T.StringType()), ("pipeline", T.StringType()), ("status", T.StringType()), ("items_count", T.IntegerType()),
-        ("run_id", T.StringType()), ("dataset_id", T.StringType()), ("actor_name", T.StringType()),
-        ("started_at", T.TimestampNTZType()), ("finished_at", T.TimestampNTZType()), ("request_json", T.StringType()),
-        ("response_json", T.StringType()), ("error_msg", T.StringType()), ("retry_count", T.IntegerType()))])
-    tables = Tables(spark, root, {"source": landed, "review": review_type, "place": place_type, "changed": changed, "stats": stats, "log": log},
+    tables = Tables(spark, root, {"source": landed, "review": review_type, "place": place_type, "changed": changed, "stats": stats, "log": K.EXECUTION_LOG},
                     INGEST_KEYS, buckets)
     if tables.manifest()["version"] == 0:
         tables.commit({"review": review, "place": places})

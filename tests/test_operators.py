@@ -134,7 +134,8 @@ def test_page_offset_and_keyset(spark):
             while more := O.page(odd, order, size=2, after=seen[-1])[0].collect():
                 seen += [tuple(r) for r in more]
             assert seen == whole and len(whole) == 6
-    capped, _ = O.page(df, ["k"], page_no=1, size=99)
+    with pytest.warns(UserWarning, match="cut to 3"):
+        capped, _ = O.page(df, ["k"], page_no=1, size=99)
     assert capped.count() == K.PAGE_SIZE_MAX
     assert O.last_page(10, 3) == 4
 
@@ -309,6 +310,51 @@ def test_page_clamps_to_last_and_missing_parents(spark):
     D.assert_no_missing(D.missing_parents(parent, child))
 
 
+def test_clamped_page_is_the_rest_and_keeps_no_copy(spark):
+    import itertools
+    rows_ = [(i, v) for i, v in enumerate([3, None, 1, 3, 2, None, 1])]
+    df = spark.createDataFrame(rows_, "k long, v int")
+    for way, nulls in itertools.product(("asc", "desc"), ("nulls_first", "nulls_last")):
+        order = [("v", way, nulls), "k"]
+        whole = [tuple(r) for r in df.orderBy(*O._order_cols(order)).collect()]
+        for size in (1, 2, 3, 7, 9):
+            pages = [whole[i:i + size] for i in range(0, len(whole), size)]
+            for n in (1, 2, 3, 50):
+                got, _ = O.page(df, order, n, size, max_size=None, clamp_to_last=True)
+                assert [tuple(r) for r in got.collect()] == pages[min(n, len(pages)) - 1]
+    assert O.page(df.filter("k < 0"), ["k"], 2, 3, clamp_to_last=True)[0].collect() == []
+    plan = O.page(spark.range(1000), ["id"], 300, 3, clamp_to_last=True)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2
+    with pytest.raises(ValueError, match="names"):
+        O.page(df, [F.col("k").desc()], 9, 3, clamp_to_last=True)
+
+
+def test_offsets_run_over_blocks(spark, monkeypatch):
+    from reviewops.operators import batching
+    monkeypatch.setattr(batching, "_BLOCK", 3)
+    counts = [(i, (i * 7) % 5) for i in range(40) if i % 6]
+    got = batching.running_offsets(spark.createDataFrame(counts, "_part long, _n long"), 40).collect()
+    assert {r["_part"]: r["_off"] for r in got} == {p: sum(n for q, n in counts if q < p) for p, _ in counts}
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 7).alias("lim"), F.lit("x" * 10).alias("wide"))
+    out = batching.batches(df, [F.col("lim").desc(), "k"], 30, "k", {"m": F.max("lim")}, partitions=17, of=["lim"]).orderBy("batch_index").collect()
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert [r["ks"] for r in out] == [want[i:i + 30] for i in range(0, 500, 30)] and [r["m"] for r in out][:3] == [6, 6, 6]
+    index = batching.global_index(df, ["k"], 17, keep=["k"])
+    assert index.columns == ["k", "row_index"] and "wide" not in index._jdf.queryExecution().toString()
+
+
+def test_random_case_does_not_depend_on_partitions(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"))
+    one = [r["k"] for r in O.random_case(df, "k", 5, seed=3).collect()]
+    assert one == [r["k"] for r in O.random_case(df.repartition(9), "k", 5, seed=3).collect()] != [r["k"] for r in O.random_case(df, "k", 5, seed=4).collect()]
+
+
+def test_log_fits_its_schema(spark):
+    from reviewops.operators.oplog import log_rows
+    good, bad = RAW.conform(log_rows(spark.range(3), "p", "success", started=F.current_timestamp()), K.EXECUTION_LOG)
+    assert good.count() == good.select("id").distinct().count() == 3 and bad.count() == 0
+
+
 def test_resume_picks_failed_rows_again(spark):
     from reviewops.operators.joins import resume_anti
     reviews = spark.createDataFrame([("a", "p", "t", "r"), ("b", "p", "t", "r"), ("c", "p", "t", "r")],
