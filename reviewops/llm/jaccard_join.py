@@ -147,14 +147,14 @@ def _similar(k: int, percent: int):
 
 
 def _runs(batches):
-    """Rows sorted by (token, n, node): those of a run of two or more, with the run's first node as leader.
+    """Rows (token, n, node, pos) sorted by the first three: those of a run of two or more, with the run's first node as leader.
 
     A run may go on in the next partition, so a partition's first and last
     runs are given whole whatever their length.
     """
     import pyarrow as pa
 
-    def given(token, n, node, first, last):
+    def given(token, n, node, pos, first, last):
         start = np.concatenate(([True], token[1:] != token[:-1]))
         run = np.cumsum(start) - 1
         keep = np.bincount(run)[run] > 1
@@ -163,13 +163,13 @@ def _runs(batches):
         if last:
             keep |= run == run[-1]
         leader = node[np.flatnonzero(start)][run]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, leader)], names=["token", "node", "n", "leader"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, pos, leader)], names=["token", "node", "n", "pos", "leader"])
 
     left, first = None, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n", "node")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n", "node", "pos")]
         cols = [np.concatenate(x) for x in zip(left, cols)] if left else cols
         cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
         if cut:
@@ -270,10 +270,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     classes = written(same.select("key", F.col("m.doc_id").alias("class_id"), F.col("m.rk").alias("rk"), "n", "prefix", *BITS)
                       .withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    posts = classes.select(F.explode("prefix").alias("token"), "n", "node")
+    posts = classes.select(F.posexplode("prefix").alias("pos", "token"), "n", "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = written(posts.repartitionByRange(parts, "token", "n", "node").sortWithinPartitions("token", "n", "node")
-                   .mapInArrow(_runs, "token long, node long, n long, leader long"), "runs")
+                   .mapInArrow(_runs, "token long, node long, n long, pos int, leader long"), "runs")
 
     star = runs.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = written(_bounded(star, classes, percent), "star")
@@ -319,8 +319,8 @@ def _labelled(nodes: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def _shared(cells: DataFrame, group: DataFrame) -> DataFrame:
-    """(token, node, n, label) of the tokens that more than one group holds."""
-    cells = written(_labelled(cells.select("token", "node", "n"), group), "cells")
+    """(token, node, n, pos, label) of the tokens that more than one group holds."""
+    cells = written(_labelled(cells.select("token", "node", "n", "pos"), group), "cells")
     shared = cells.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     return written(cells.join(shared, "token"), "shared")
 
@@ -347,12 +347,18 @@ def _unmet(pairs: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _sharing(cells: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, g): documents and other groups that share a column and that images folded to ``words`` words cannot rule out."""
+    """(a, g): documents and other groups that share a column and that images folded to ``words`` words cannot rule out.
+
+    Nor the place of the column: prefixes have one order, so what two sets share begins with some column, and from
+    there on neither has more hashes than are left in it.  A column that leaves too few to link is not the first they
+    share, or they do not link.
+    """
     fold = [F.expr(" | ".join(BITS[j::words])).alias(f"f{j}") for j in range(words)]
     cells = cells.join(classes.select("node", *fold), "node")
-    matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"), *[F.bit_or(f"f{j}").alias(f"u{j}") for j in range(words)])
+    matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.col("n") - F.col("pos")).alias("left"), *[F.bit_or(f"f{j}").alias(f"u{j}") for j in range(words)])
     m = matrix.withColumnRenamed("token", "t").withColumnRenamed("label", "g")
     most = F.col("n") - sum((F.bit_count(F.col(f"f{j}").bitwiseAND(F.bitwise_not(f"u{j}"))) for j in range(words)), F.lit(0))
+    most = F.least(most, F.col("n") - F.col("pos"), "left")
     # each pair of groups once: the document's group is the larger label
     asked = cells.join(m, (F.col("token") == F.col("t")) & (F.col("label") > F.col("g"))
                        & (F.col("large") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("small") * percent)
