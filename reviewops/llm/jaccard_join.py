@@ -263,6 +263,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     schema = f"doc_id {types['doc_id']}, rk binary, key binary, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
     often = docs.sparkSession.sparkContext.broadcast(frequent(rows.select("_t"), k))
     sets = written(rows.mapInArrow(_signatures(k, percent, often), schema), "sets")
+    often.destroy()
 
     # one class per set; ids in the order of the stored files, so they stay as they are
     same = sets.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("m"),
