@@ -234,6 +234,8 @@ def labels(links: DataFrame) -> DataFrame:
     Each round every node goes to its smallest neighbour's smallest neighbour
     (or itself), and links are drawn between where their ends went; those
     inside one node go, so links vanish fast.  A stored table ends each round.
+    Its joins are merge joins at any size: the dozens of broadcasts of the later
+    rounds' small tables would all be built in the driver.
     """
     label, edges = None, links.select("a", "b").filter("a != b").distinct()
     while True:
@@ -242,13 +244,13 @@ def labels(links: DataFrame) -> DataFrame:
             return label
         up = edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up"))
         top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        up = written(up.join(top, "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up")
+        up = written(up.join(top.hint("merge"), "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up")
         if label is None:
             label = up.select(F.col("from").alias("node"), F.col("to").alias("label"))
         else:
-            on = label.join(up, label["label"] == up["from"], "left")
+            on = label.join(up.hint("merge"), label["label"] == up["from"], "left")
             label = written(on.select("node", F.coalesce("to", "label").alias("label")), "label")
-        at = lambda c: up.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}"))
+        at = lambda c: up.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}")).hint("merge")
         edges = edges.filter("a < b").join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a != b")
 
 
@@ -335,15 +337,15 @@ def _some(asked: DataFrame, members: DataFrame, turn: int) -> DataFrame:
 
 def _apart(asked: DataFrame, group: DataFrame) -> DataFrame:
     """Rows whose document and group (named by one of its members) are in different components."""
-    la = group.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lg = group.select(F.col("node").alias("g"), F.col("label").alias("lg"))
+    la = group.select(F.col("node").alias("a"), F.col("label").alias("la")).hint("merge")
+    lg = group.select(F.col("node").alias("g"), F.col("label").alias("lg")).hint("merge")
     both = asked.join(la, "a", "left").join(lg, "g", "left")
     return both.filter(F.coalesce("la", "a") != F.coalesce("lg", "g")).select("a", "g")
 
 
 def _unmet(pairs: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs that have not been compared yet."""
-    told = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    told = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).hint("merge")
     return pairs.join(told, (F.least("a", "b") == told["lo"]) & (F.greatest("a", "b") == told["hi"]), "left_anti").select("a", "b")
 
 
