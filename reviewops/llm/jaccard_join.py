@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewops.llm.common import mix64, row_key, text_of, written
+from reviewops.llm.common import forgotten, mix64, row_key, text_of, written
 from reviewops.llm.shingles import shingle_sets
 
 WORDS, PERCENT = 4, 85
@@ -285,9 +285,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     needed = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     texts = _texts(rows, needed.join(named, "node"))
     links = written(_verified(star, texts, k, percent), "links")
+    forgotten(texts)
     group = labels(links)
 
-    asked = written(_qualified(_shared(runs, group), classes, group, percent), "asked")
+    shared = _shared(runs, group)
+    forgotten(runs)
+    asked = written(_qualified(shared, classes, group, percent), "asked")
+    forgotten(shared)
     if asked.limit(1).count():
         inside = _labelled(classes.select("node", "n", *BITS), group).withColumnRenamed("label", "g")
         inside = inside.join(asked.select("g").distinct(), "g", "left_semi")
@@ -304,7 +308,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             left = written(_apart(asked, group), "asked")
             most, asked = 2 * left.count() <= asked.count() > 0, left
         opened = written(_unmet(_members(asked, members, images, percent), met), "opened")
-        links = links.unionByName(_verified(opened, texts, k, percent))
+        links = written(links.unionByName(_verified(opened, texts, k, percent)), "links")
+        forgotten(texts)
+        forgotten(images)
         group = labels(links)
 
     named = classes.select("key", "node", "class_id").join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -325,7 +331,9 @@ def _shared(cells: DataFrame, group: DataFrame) -> DataFrame:
     """(token, node, n, pos, label) of the tokens that more than one group holds."""
     cells = written(_labelled(cells.select("token", "node", "n", "pos"), group), "cells")
     shared = cells.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    return written(cells.join(shared, "token"), "shared")
+    shared = written(cells.join(shared, "token"), "shared")
+    forgotten(cells)
+    return shared
 
 
 def _some(asked: DataFrame, members: DataFrame, turn: int) -> DataFrame:
