@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id.  Per source a budget of words is
+Every document gets a 60-bit hash of its id, its text and a repeat number.  Per source a budget of words is
 met by one threshold: all documents hashed below it are taken.  The threshold
 is found from a histogram of words by hash bucket (10 bits), and only the
 bucket where the budget ends is looked into again with the next 10 bits, until
@@ -8,8 +8,9 @@ the hash is used up.  No rows are sorted, and thresholds of a smaller budget
 are nested in those of a larger one.
 
 Null sources are a source of their own and come last; null texts have size 0.
-Documents with the same id share one hash and are taken together.  Empty
-tables give empty results.  Only the columns named in the signature are read.
+Rows with the same id, source and text are counted and dealt out again with
+numbers 0, 1, ..., so each of them is taken or left by itself whatever share of
+a source one id holds.  Empty tables give empty results.  Only the columns named in the signature are read.
 """
 
 from __future__ import annotations
@@ -22,14 +23,30 @@ from reviewops.llm.common import text_of, word_count, written
 BITS, LEVELS = 10, 6
 #: A source's rows are dealt over this many join keys, so a hot source is no hot task.
 SALTS = 64
+#: Equal rows are dealt out again in blocks of this many.
+BLOCK = 4096
 
 
-def unit_hash(doc_id: Column, salt: str) -> Column:
-    """60 bits of md5 over salt and id, as a long."""
-    key = F.concat(F.lit(salt + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def unit_hash(doc_id: Column, text_md5: Column, number: Column, salt: str) -> Column:
+    """60 bits of md5 over salt, id, the text's md5 and the repeat number, as a long."""
+    key = F.concat_ws(":", F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit("null")), text_md5, number.cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def numbered(rows: DataFrame, salt: str) -> DataFrame:
+    """doc_id, source, size, hash for each row of (doc_id, source, size, text_md5); equal rows get numbers of their own.
+
+    Equal rows are counted, so a row that holds a third of the table is one
+    row per task in the shuffle, and are spread again by blocks of numbers.
+    """
+    same = rows.groupBy("doc_id", "source", "size", "text_md5").agg(F.count("*").alias("n"))
+    once = same.filter("n = 1").withColumn("number", F.lit(0).cast("long")).drop("n")
+    more = (same.filter("n > 1").withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
+            .repartition(F.col("text_md5"), F.col("block"))
+            .withColumn("number", F.explode(F.expr(f"sequence(block * {BLOCK}, least(n, (block + 1) * {BLOCK}) - 1)"))).drop("n", "block"))
+    return once.unionByName(more).select("doc_id", "source", "size", unit_hash(F.col("doc_id"), F.col("text_md5"), F.col("number"), salt).alias("hash"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """(source, source_size) -> adds ``target`` (double).
 
@@ -65,8 +82,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     those under the threshold of the rest once more.  ``copies`` is at most
     ``cap``, ``taken`` = copies * size.
     """
-    base = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                               word_count(text_of(text)).alias("size"), unit_hash(F.col(doc_id), salt).alias("hash")), "mix")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                       word_count(text_of(text)).alias("size"), F.md5(text_of(text)).alias("text_md5"))
+    base = written(numbered(rows, salt), "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     size = F.col("source_size").cast("double")
     whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")

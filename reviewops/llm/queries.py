@@ -93,7 +93,8 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':'
+           || CAST(row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS VARCHAR)), 1, 15) AS BIGINT) AS hash
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
