@@ -9,8 +9,11 @@ names are joined with the counts, so the counts are never sent around.
 
 Multinomial naive Bayes scores the words of host and path.  Its classes come
 from seed words (``BLOCK_WORDS``, fixed values): a url is a blocked example if
-a separated part of its host is a seed word.  Word counts by class cover all
-urls; words are hashed into 2**16 places, so the model's size is bounded.
+a word of its segmented host is a seed word.  Word counts by class cover all
+urls; words are hashed into 2**16 places, so the model's size is bounded.  Each
+class is smoothed towards the words of all urls, by as many counts as there
+are different places: a word that neither class prefers decides nothing, however
+unequal the classes are.
 
 Null urls and urls without ``://`` have empty host and path, no words, and are
 allowed.  Repeated rows each give a row.
@@ -113,7 +116,19 @@ def place(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(PLACES)).cast("int")
 
 
-def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
+def log_odds(n: np.ndarray) -> np.ndarray:
+    """Log odds of block per place, from the counts of both classes (row 1: block); 0 where a place never occurs."""
+    seen = n.sum(axis=0) > 0
+    out = np.zeros(n.shape[1])
+    if not seen.any():
+        return out
+    mean, weight = n.sum(axis=0)[seen] / n.sum(), seen.sum()
+    share = (n[:, seen] + weight * mean) / (n.sum(axis=1, keepdims=True) + weight)
+    out[seen] = np.log(share[1]) - np.log(share[0])
+    return out
+
+
+def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, seeds=BLOCK_WORDS) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score (log odds of block)."""
     host, path = url_parts(F.col(url))
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1)
@@ -128,15 +143,15 @@ def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     by_host = written(by_host, "hosts")
     full = rows.drop("title").join(by_host, "host", "left")
     words = F.concat(F.coalesce("words", F.array().cast("array<string>")), tokens(F.col("path")))
-    seed = F.arrays_overlap(tokens(F.col("host")), F.array(*[F.lit(w) for w in BLOCK_WORDS]))
+    seed = F.arrays_overlap(F.concat(F.col("words"), tokens(F.col("host"))), F.array(*[F.lit(w) for w in seeds]))
     full = written(full.select("page_id", "host", "path", words.alias("words"), F.coalesce(seed, F.lit(False)).alias("seed")), "words")
 
     by_class = full.groupBy("seed").count().collect()
     got = (full.select("seed", F.explode(F.transform("words", place)).alias("place")).groupBy("seed", "place").agg(F.count("*").alias("n")).collect())
-    n = np.ones((2, PLACES))
+    n = np.zeros((2, PLACES))
     for r in got:
         n[int(r["seed"]), r["place"]] += r["n"]
-    odds = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+    odds = log_odds(n)
     docs = {r["seed"]: r["count"] for r in by_class}
     prior = np.log((docs.get(True, 0) + 1) / (docs.get(False, 0) + 1))
     shared = pages.sparkSession.sparkContext.broadcast((odds, prior))

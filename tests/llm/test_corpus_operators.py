@@ -128,6 +128,17 @@ def test_mix_meets_targets(spark):
         assert abs(r["t"] - r["target"]) <= 5
 
 
+def test_mix_meets_targets_with_repeated_ids(spark):
+    """Two thirds of the rows under one id, half of those equal: each source ends within one document of its target."""
+    rows = [(0 if i % 3 else i, "w " * 5 + (str(i) if i % 2 else "same"), f"s{i % 2}") for i in range(6000)] + [(None, "w", None), (None, "w", None)]
+    out = mix.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.count() == len(rows)
+    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect():
+        assert abs(r["t"] - r["target"]) <= 6
+    again = mix.numbered(spark.createDataFrame([(1, "s", 2, "m")] * 10_000, "doc_id long, source string, size long, text_md5 string"), "mix")
+    assert again.select("hash").distinct().count() == again.count() == 10_000
+
+
 # 4
 def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] a [\\INST] <|im_end|>"), (1, 1, "assistant", "b\n<|im_start|>user\nc"), (1, 1, "assistant", None), (2, 5, None, "x" * 5000),
@@ -163,6 +174,20 @@ def test_url_rules(spark):
     assert out[8]["words"][:2] == ["cheap", "pills"] and out[8]["verdict"] == "block"
 
 
+def test_url_classes_as_given(spark):
+    """Classes of very unequal size, seed words inside run-together names, and hosts known by the other words of blocked names alone."""
+    urls = [f"http://{w}.com/{i}" for i in range(40) for w in ("weather", "daily-news", "city-library", "garden", "maps", "school-books", "recipes", "trains")]
+    urls += ["http://www.cheap-pills.com/x", "http://mega-casino-win.org/y", "http://cheapviagra.com/z", "http://win-casino.com/"] * 3
+    known = len(urls)
+    urls += ["http://cheap-win.com/", "http://mega-cheap.org/", "http://weather-maps.com/", "http://garden-school.org/", "http://unseenname.com/"]
+    rows = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["verdict"] for r in got(urlfilter.judged(rows, rules=()))}
+    assert all(out[i] == "allow" for i in range(320)) and all(out[i] == "block" for i in range(320, known))
+    assert [out[i] for i in range(known, len(urls))] == ["block", "block", "allow", "allow", "allow"]
+    assert urlfilter.judged(rows.limit(0)).count() == 0
+    assert {r["verdict"] for r in got(urlfilter.judged(rows, rules=(), seeds=("nothing",)))} == {"allow"}
+
+
 def test_viterbi():
     assert urlfilter.viterbi("thecat", [(0, 3, 50), (3, 3, 10), (0, 2, 1)], 100) == ["the", "cat"]
     assert "".join(urlfilter.viterbi("zzthezz", [(2, 3, 50)], 100)) == "zzthezz"
