@@ -32,7 +32,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Words that mark a name as spam, adult, gambling, malware or advertising (fixed values).
 BLOCK_WORDS = ("spam", "pills", "viagra", "casino", "bets", "betting", "poker", "gambling", "adult", "porn", "xxx", "sex", "escort",
                "ads", "adserver", "track", "tracker", "malware", "phishing", "warez", "crack", "torrent", "loans", "replica")
-PLACES, LONGEST, SHARED = 1 << 16, 20, 10
+PLACES, LONGEST, SHARED, PIECE = 1 << 16, 20, 10, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,9 +96,12 @@ def viterbi(name: str, words: list[tuple[int, int, int]], total: int) -> list[st
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) for distinct names."""
     total, = counts.agg(F.sum("n")).first()
-    subs = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("s")).select(
-        "name", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("s") + 1))).alias("len"))
-    subs = subs.select("name", "s", "len", F.substring("name", F.col("s"), F.col("len")).alias("word"))
+    # long names are cut into pieces first: a substring is found by counting characters from the start
+    pieces = names.filter("name != ''").select("name", F.explode(F.sequence(F.lit(0), F.length("name") - 1, F.lit(PIECE))).alias("from"))
+    pieces = pieces.select("name", "from", F.substring("name", F.col("from") + 1, F.lit(PIECE + LONGEST - 1)).alias("piece"))
+    subs = pieces.select("name", "from", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("s"))
+    subs = subs.select("name", "from", "piece", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("piece") - F.col("s") + 1))).alias("len"))
+    subs = subs.select("name", (F.col("from") + F.col("s")).alias("s"), "len", F.substring("piece", F.col("s"), F.col("len")).alias("word"))
     held = subs.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct((F.col("s") - 1).alias("s"), "len", "n")).alias("held"))
 
     def split(batches):
