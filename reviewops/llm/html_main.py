@@ -14,7 +14,9 @@ not become a template.  Hosts are split by subtree and page before counting,
 so a hot host is no hot task.
 
 Null html gives an empty text; markup that is cut off or badly nested is read
-as far as it goes.  Repeated rows each give a row.
+as far as it goes: from the first tag that never ends (its quotes or bracket
+stay open) on, tags end at the next bracket.  Time is linear in the page.
+Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,14 @@ from reviewops.llm.common import row_key, written
 #: A subtree is template if it is on MIN_PAGES pages of the host and on MIN_SHARE of them, or on MANY_PAGES whatever the size of the host.
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.1, 50
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.S)
+#: The same after a tag that never ends: tags hold no brackets, whatever their quotes say.
+PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]+|<", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z0-9]+")
+#: A tag's start, which is text where the tag never ends.
+STARTS = re.compile(r"</?[a-zA-Z]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -51,11 +58,27 @@ MARKED = frozenset("ad ads advert adverts advertisement advertisements advertisi
                    "consent gdpr notice notices alert sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer "
                    "comment comments respond disqus share sharing social related recommended newsletter subscribe signup popup modal "
                    "overlay pagination pager toolbar complementary contentinfo search login".split())
+#: Words that say nothing beside a mark: ``ad-slot`` and ``site-footer`` are marks, ``related-work`` and ``search-results`` are not.
+NEUTRAL = frozenset("a an and area article articles aside bar block blocks body bottom box button buttons center column container content "
+                    "desktop entry fixed float footer form global group header heading holder icon icons inline inner item items js large layout "
+                    "left link links list main media message middle mobile module my outer page panel post posts primary right row "
+                    "secondary section sections site slot small social sticky stories story strip text the thread title top unit widget wrap wrapper zone".split())
 
 #: Marks of lists of other texts, which may be articles themselves.
 LISTED = frozenset("comment comments respond disqus related recommended sidebar sidebars".split())
 
 
+def marked_words(attrs: str) -> frozenset:
+    """Words of class, id and role values: of a joined name (``ad-slot``) only if each part is a mark, neutral or holds a digit."""
+    out: set[str] = set()
+    for m in ATTR.finditer(attrs):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = WORDS.findall(name.replace("sign-up", "signup"))
+            if all(p in MARKED or p in NEUTRAL or not p.isalpha() for p in parts):
+                out.update(parts)
+    return frozenset(out)
+
+
 class Page:
     """Elements (parent, tag, marks, subtree hash) and text pieces of a page in order; without hashes where no template is known."""
 
@@ -66,21 +89,23 @@ class Page:
         self.inner: list[list[bytes]] = [[]]
         self.hash: list[bytes] = [b""]
         self.stack = [0]
+        self.opened: Counter[str] = Counter({"#page": 1})    # open elements by tag
         self._read(html)
         while self.stack:
             self._pop()
 
     def _open(self, tag: str, attrs: str) -> None:
-        marks = frozenset(w for m in ATTR.finditer(attrs) for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower())) if attrs else frozenset()
         self.parent.append(self.stack[-1])
         self.tag.append(tag)
-        self.marks.append(marks)
+        self.marks.append(marked_words(attrs) if attrs else frozenset())
+        self.opened[tag] += 1
         self.inner.append([])
         self.hash.append(b"")
         self.stack.append(len(self.tag) - 1)
 
     def _pop(self) -> None:
         e = self.stack.pop()
+        self.opened[self.tag[e]] -= 1
         if not self.hashed:
             return
         self.hash[e] = hashlib.blake2b(b"\0".join([self.tag[e].encode(), *self.inner[e]]), digest_size=8).digest()
@@ -89,6 +114,8 @@ class Page:
 
     def _end(self, tags: set[str], scope: frozenset = frozenset()) -> None:
         """Close the nearest open element among ``tags``, unless one of ``scope`` is nearer."""
+        if not any(self.opened[t] for t in tags):
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             t = self.tag[self.stack[at]]
             if t in tags:
@@ -105,8 +132,11 @@ class Page:
             self.inner[self.stack[-1]].append(flat.encode("utf-8", "surrogatepass"))
 
     def _read(self, html: str) -> None:
-        at = 0
-        while m := TOKEN.match(html, at):
+        at, token = 0, TOKEN
+        while m := token.match(html, at):
+            if token is TOKEN and m[0] == "<" and STARTS.match(html, at):
+                token = PLAIN
+                continue
             at = m.end()
             tag = m[2]
             if not tag:
@@ -134,7 +164,7 @@ class Page:
             if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
                 self._pop()
             elif tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                close = re.compile(rf"</{re.escape(tag)}\b[^<>]*>?", re.I).search(html, at)
                 inside = html[at:close.start() if close else len(html)]
                 self._text(inside)
                 at = close.end() if close else len(html)

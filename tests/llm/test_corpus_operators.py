@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import textwrap
+import time
 from collections import defaultdict
 
 import duckdb
@@ -80,6 +81,33 @@ def test_html_recurring_passage_in_article_stays(spark):
     assert {r["text"] for r in got(html_main.main_text(pages))} == {f"Shared\n{i}" for i in range(9)}
 
 
+def test_page_marks():
+    """A joined name is a mark only if nothing else is said in it."""
+    art = "<body><article><p>S</p>{}<p>E</p></article></body>"
+    for kept in ('<section id="related-work"><p>K</p></section>', '<p id="social-impact">K</p>', '<div class="ad-hoc">K</div>', '<p class="search-results">K</p>'):
+        assert html_main.Page(art.format(kept)).text() == "S\nK\nE"
+    for gone in ('<div class="sign-up-box">D</div>', '<div class="ad-banner">D</div>', '<div class="cookie_notice">D</div>', '<ul class="x comment-list">D</ul>',
+                 '<div class="related-posts">D</div>', '<div id="ad-42">D</div>', '<div class="sidebar">D</div>'):
+        assert html_main.Page(art.format(gone)).text() == "S\nE"
+
+
+def test_page_in_linear_time():
+    """Broken markup is text and costs no second look: these took minutes to hours."""
+    began = time.monotonic()
+    for broken in ("<a " * 300_000, '<a "' * 250_001, "<a<" * 300_000, "<script>" + "</script " * 100_000, "<b>" * 100_000 + "</x>" * 100_000, "<p>" + "<b><h1>" * 100_000):
+        html_main.Page("<p>text</p>" + broken).text()
+    assert time.monotonic() - began < 30
+    assert html_main.Page('<p>a</p><i title="x>b</i><p class="ad">c</p><p>d</p>').text() == "a\nb\nd"
+    assert html_main.Page('<p title="1 > 2">a</p>x < y').text() == "a\nx < y"
+
+
+def test_long_host(spark):
+    rows = spark.createDataFrame([(1, "http://" + "cheappills" * 3000 + ".com/", None), (2, "http://cheap-pills.com/", None)], "page_id long, url string, html string")
+    began = time.monotonic()
+    out = {r["page_id"]: r for r in got(urlfilter.judged(rows))}
+    assert out[1]["words"][:4] == ["cheap", "pills", "cheap", "pills"] and len(out[1]["words"]) == 6001 and time.monotonic() - began < 60
+
+
 # 2
 def plain_distance(p, t):
     row = list(range(len(t) + 1))
