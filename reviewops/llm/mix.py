@@ -39,7 +39,7 @@ def numbered(rows: DataFrame, salt: str) -> DataFrame:
     Equal rows are counted, so a row that holds a third of the table is one
     row per task in the shuffle, and are spread again by blocks of numbers.
     """
-    same = rows.groupBy("doc_id", "source", "size", "text_md5").agg(F.count("*").alias("n"))
+    same = written(rows.groupBy("doc_id", "source", "size", "text_md5").agg(F.count("*").alias("n")), "same")
     once = same.filter("n = 1").withColumn("number", F.lit(0).cast("long")).drop("n")
     more = (same.filter("n > 1").withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
             .repartition(F.col("text_md5"), F.col("block"))
