@@ -1,5 +1,5 @@
-"""Owner-reply recheck: due rows, batching inputs and state updates
-(C9, D12, I5; I4 is ``functions.scores.initial_recheck``)."""
+"""Owner-reply recheck: due rows, batching inputs, state updates and the whole
+run (C9, D12, I5; I4 is ``functions.scores.initial_recheck``)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from reviewops import schemas as K
 from reviewops.functions.text import py_nonblank
 from reviewops.functions.values import now_col
+from reviewops.operators.ingest import IngestResult, ingest_delta
 from reviewops.operators.joins import eligible
+from reviewops.operators.merge import mark_skip, merge_upsert
+from reviewops.operators.oplog import log_rows
 from reviewops.operators.ordering import last_wins
+from reviewops.sources.tables import stored
 
 
 def due_rechecks(reviews: DataFrame, places: DataFrame, now) -> DataFrame:
@@ -55,10 +59,44 @@ def advance_recheck(due: DataFrame, fresh: DataFrame, generic: DataFrame, now,
                     F.when(~stop, n + F.make_dt_interval(F.lit(after_days))).alias("next_check_at"))
 
 
+STATE = ("owner_reply_recheck", "owner_reply_recheck_at", "next_check_at")
+
+
 def apply_recheck(reviews: DataFrame, updates: DataFrame) -> DataFrame:
-    """Write I5's three columns into the review table (update on match only)."""
-    from reviewops.operators.merge import merge_columns
-    cols = ["owner_reply_recheck", "owner_reply_recheck_at", "next_check_at"]
-    matched = updates.join(reviews.select("review_id"), "review_id", "left_semi")
-    src = matched.join(reviews.drop(*cols), "review_id")
-    return merge_columns(reviews, src.select(*reviews.columns), ["review_id"], cols)
+    """Write I5's three columns into the review table (update on match only).
+
+    One left join; of a review that ``updates`` repeats, the latest state counts.
+    """
+    new = updates.groupBy("review_id").agg(F.max(F.struct("owner_reply_recheck_at", "owner_reply_recheck", "next_check_at")).alias("_u"))
+    j = reviews.join(new, "review_id", "left")
+    return j.select(*[F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) if c in STATE else F.col(c)
+                      for c in reviews.columns])
+
+
+def recheck_ingest(raw: DataFrame, state: DataFrame, places: DataFrame, now, due: DataFrame | None = None, seq: str = "seq",
+                   pipeline: str = "review_daily", run_id: str | None = None, landing: DataFrame | None = None,
+                   templates=K.GENERIC_REPLY_TEMPLATES, detect_generic: bool = True) -> IngestResult:
+    """Recheck run: ingest what was fetched for the due places (I8), advance
+    the due reviews (I5), write their states back, log.
+
+    ``due`` are the reviews the fetch was made for (None: all due at ``now``,
+    C9).  Raw rows of other places are left out.  The states go over what the
+    ingest itself set for a due review.  The log row's response tells the
+    counters and ``recheck_rows_updated``.
+    """
+    due = due_rechecks(state, places, now) if due is None else due
+    wanted = due.select(F.col("place_id").alias("placeId")).distinct()
+    raw = raw.join(wanted, "placeId", "left_semi")
+    d = ingest_delta(raw, now, None, seq, pipeline, run_id, templates, detect_generic)
+    updates = stored(advance_recheck(due, raw, d.generic, now, seq), "recheck")
+    merged = merge_upsert(state, d.review.select(*state.columns), ["review_id"], ["scraped_at"])
+    source = d.source if landing is None else merge_upsert(landing, d.source, ["review_id"], ["scraped_at"])
+    new_places, changed = mark_skip(places, d.generic)
+
+    done = updates.join(state.select("review_id"), "review_id", "left_semi").agg(F.count(F.lit(1)).alias("recheck_rows_updated"))
+    told = d.stats.unionByName(done, allowMissingColumns=True)
+    told = told.agg(*[F.max(c).alias(c) for c in told.columns])
+    n = now_col(now)
+    log = log_rows(told, pipeline, "success", run_id=run_id, items=F.col("raw_count"), started=n, finished=n,
+                   response=F.struct(*told.columns))
+    return IngestResult(source, apply_recheck(merged, updates), new_places, changed, told, log)

@@ -17,6 +17,7 @@ from reviewops import schemas as K
 from reviewops.bindings import NOW
 from reviewops.operators import joins as D
 from reviewops.operators.ingest import classify_raw, etl_stats, ingest_batch, salvage_ingest
+from reviewops.operators.recheck import recheck_ingest
 from reviewops.plans.queries_streams import stream_view
 from reviewops.plans.registry import query
 from reviewops.plans.sqltext import py_nonblank, strip
@@ -219,3 +220,40 @@ def q_stream_ingest(v):
 def q_stream_ingest_outputs(v):
     t = streamed(v)
     return outputs(*[t.read(x).drop("batch") for x in ("source", "review", "place", "changed", "stats", "log")], "batch")
+
+
+RECHECK = f""", due AS (SELECT r.review_id, r.place_id, r.published_at FROM rv r JOIN st ON st.place_id = r.place_id
+    WHERE NOT st.blocked AND NOT st.skip_review_fetch AND r.owner_reply_recheck AND r.next_check_at <= TIMESTAMP '{NOW}'),
+  {classified_sql(f"SELECT * FROM ({REPLACED}) WHERE json_extract_string(raw_json, '$.placeId') IN (SELECT place_id FROM due)")}, {stats_sql()},
+  last_review AS (SELECT * FROM c WHERE reason IN ('ok', 'needs_owner_recheck')),
+  fresh AS (SELECT json_extract_string(raw_json, '$.reviewId') AS review_id,
+      arg_max(coalesce(json_extract_string(raw_json, '$.responseFromOwnerText'), ''), seq) AS reply FROM raw GROUP BY 1),
+  u AS (SELECT due.review_id, due.place_id IN (SELECT place_id FROM c WHERE reason = 'generic_pr_reply') OR {py_nonblank("coalesce(fresh.reply, '')")}
+      OR TIMESTAMP '{NOW}' > coalesce(due.published_at, TIMESTAMP '{NOW}') + INTERVAL 10 DAY AS stop
+    FROM due LEFT JOIN fresh ON fresh.review_id = due.review_id)"""
+RECHECK_REVIEW = ("review_id", "place_id", "stars", "owner_reply_recheck", "owner_reply_recheck_at", "next_check_at")
+
+
+def recheck_result(v):
+    places = v["st"].select("place_id", "blocked", "skip_review_fetch")
+    return recheck_ingest(raw_reviews(v["ev"]), state(v), places, NOW)
+
+
+@query("recheck_ingest", f"""{RECHECK},
+  t AS ({REVIEW_SQL})
+SELECT t.review_id, t.place_id, t.stars, CASE WHEN u.stop IS NULL THEN t.owner_reply_recheck ELSE NOT u.stop END AS owner_reply_recheck,
+  CASE WHEN u.stop IS NOT NULL THEN TIMESTAMP '{NOW}' END AS owner_reply_recheck_at,
+  CASE WHEN u.stop IS NULL THEN t.next_check_at WHEN NOT u.stop THEN TIMESTAMP '{NOW}' + INTERVAL 2 DAY END AS next_check_at
+FROM t LEFT JOIN u ON u.review_id = t.review_id""", ("ev", "st", "rv"))
+def q_recheck_ingest(v):
+    return recheck_result(v).review.select(*RECHECK_REVIEW)
+
+
+@query("recheck_log", f"""{RECHECK}
+SELECT 'review_daily' AS pipeline, 'success' AS status, CAST(raw_count AS INT) AS items_count, generic_pr_store_count, skipped,
+  (SELECT count(*) FROM u) AS recheck_rows_updated FROM n""", ("ev", "st", "rv"))
+def q_recheck_log(v):
+    log = recheck_result(v).log
+    told = lambda c: F.get_json_object("response_json", f"$.{c}").cast("long").alias(c)
+    return log.select("pipeline", "status", F.col("items_count").cast("int").alias("items_count"), told("generic_pr_store_count"), told("skipped"),
+                      told("recheck_rows_updated"))

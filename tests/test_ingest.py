@@ -12,6 +12,7 @@ from reviewops import schemas as K
 from reviewops.bindings import NOW, views
 from reviewops.operators.ingest import classify_raw, etl_stats, ingest_batch, salvage_ingest
 from reviewops.operators.merge import merge_upsert
+from reviewops.operators.recheck import apply_recheck, recheck_ingest
 from reviewops.plans import queries_ingest as Q
 from reviewops.sources.raw import parse_json_column
 from reviewops.sources.tables import Tables
@@ -177,3 +178,37 @@ def test_salvage_run_after_run(spark):
     assert json.loads(res.log.filter("run_id = 'r1'").first()["response_json"]) == {"dataset_id": "d1", "item_count": 2, "run_status": "SUCCEEDED"}
     again = salvage_ingest(runs, raw(spark, items), res.review, res.places, NOW, log=log.unionByName(res.log.select("status", "run_id")))
     assert again.stats.count() == again.log.count() == again.source.count() == 0 and again.review.count() == 2
+
+
+# ------------------------------------------------------------------ recheck run
+
+
+def test_recheck_ingest(spark):
+    """A reply, a generic place and old age stop a review; others come again in two days; reviews that are not due stay."""
+    now, young, old = datetime(1998, 6, 1), datetime(1998, 5, 30), datetime(1998, 5, 1)
+    have = [("answered", "P1", young, True, now), ("silent", "P1", young, True, now), ("old", "P1", old, True, now), ("undated", "P1", None, True, now),
+            ("not due", "P1", young, True, datetime(1998, 6, 2)), ("of generic", "P2", young, True, now), ("blocked", "P3", young, True, now),
+            ("stopped", "P1", young, False, None)]
+    state = spark.createDataFrame([(r, p, t, f, n) for r, p, t, f, n in have],
+                                  "review_id string, place_id string, published_at timestamp_ntz, owner_reply_recheck boolean, next_check_at timestamp_ntz")
+    state = state.select(*[F.col(f.name) if f.name in state.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in K.REVIEW])
+    place = spark.createDataFrame([("P1", False, False), ("P2", False, False), ("P3", True, False)], "place_id string, blocked boolean, skip_review_fetch boolean")
+    items = raw(spark, [(1, "answered", "P1", 1, None, "text"), (2, "answered", "P1", 1, "thanks for it", "text"), (3, "silent", "P1", 1, " ", "text"),
+                        (4, "new", "P2", 1, TEMPLATE, "text"), (5, "elsewhere", "P9", 1, None, "text"), (6, "found", "P1", 2, None, "text")])
+    out = recheck_ingest(items, state, place, now)
+    got = {r["review_id"]: (r["owner_reply_recheck"], r["next_check_at"]) for r in out.review.collect()}
+    again = (True, datetime(1998, 6, 3))
+    assert got == {"answered": (False, None), "silent": again, "old": (False, None), "undated": again, "not due": (True, datetime(1998, 6, 2)),
+                   "of generic": (False, None), "blocked": (True, now), "stopped": (False, None), "found": again}
+    assert {r["place_id"] for r in out.places.filter("skip_review_fetch").collect()} == {"P2"} and out.changed.count() == 1
+    log = out.log.collect()[0]
+    assert log["items_count"] == 5 and json.loads(log["response_json"])["recheck_rows_updated"] == 5
+    none = recheck_ingest(items.limit(0), state.limit(0), place, now)
+    assert none.review.count() == 0 and json.loads(none.log.collect()[0]["response_json"])["recheck_rows_updated"] == 0
+
+
+def test_apply_recheck_takes_the_latest_state(spark):
+    table = spark.createDataFrame([("a", True, None, None), ("b", True, None, None)],
+                                  "review_id string, owner_reply_recheck boolean, owner_reply_recheck_at timestamp_ntz, next_check_at timestamp_ntz")
+    ups = spark.createDataFrame([("a", True, datetime(1998, 6, 1), datetime(1998, 6, 3)), ("a", False, datetime(1998, 6, 3), None), ("x", False, None, None)], table.schema)
+    assert sorted((r["review_id"], r["owner_reply_recheck"]) for r in apply_recheck(table, ups).collect()) == [("a", False), ("b", True)]
