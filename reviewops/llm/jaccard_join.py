@@ -183,6 +183,13 @@ def _runs(batches):
         yield given(*left, first, True)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A merge join at any size: a run has dozens of joins of tables that grow with the corpus, and the broadcasts of the
+    small ones would all be built and held in the driver.  Joins that spare a shuffle of texts are left to the planner.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
@@ -194,7 +201,7 @@ def _outside(of: str, other: str) -> Column:
 
 def _images(pairs: DataFrame, classes: DataFrame, on: str, prefix: str) -> DataFrame:
     side = classes.select(F.col("node").alias(on), F.col("n").alias(f"{prefix}n"), *[F.col(b).alias(f"{prefix}{b}") for b in BITS])
-    return pairs.join(side, on)
+    return _merged(pairs, side, on)
 
 
 def _room(percent: int) -> Column:
@@ -211,13 +218,13 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _members(asked: DataFrame, members: DataFrame, images: DataFrame, percent: int) -> DataFrame:
     """(a, b): the members of opened groups that each document may link with; the bound is part of the join, so no others come out of it."""
     x, y = _images(asked, images, "a", "x"), _images(members.withColumnRenamed("g", "yg"), images, "b", "y")
-    return x.join(y, (F.col("g") == F.col("yg")) & _room(percent)).select("a", "b")
+    return _merged(x, y, (F.col("g") == F.col("yg")) & _room(percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that link, found from their whole texts (one text per class)."""
     side = lambda on, t: texts.select(F.col("node").alias(on), F.col("_t").alias(t))
-    both = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = _merged(_merged(pairs, side("a", "ta"), "a"), side("b", "tb"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_similar(k, percent), "a long, b long")
 
 
@@ -234,24 +241,22 @@ def labels(links: DataFrame) -> DataFrame:
     Each round every node goes to its smallest neighbour's smallest neighbour
     (or itself), and links are drawn between where their ends went; those
     inside one node go, so links vanish fast.  A stored table ends each round.
-    Its joins are merge joins at any size: the dozens of broadcasts of the later
-    rounds' small tables would all be built in the driver.
     """
     label, edges = None, links.select("a", "b").filter("a != b").distinct()
     while True:
         edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-        if label is not None and not edges.limit(1).count():
+        if label is not None and edges.isEmpty():
             return label
         up = edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up"))
         top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        up = written(up.join(top.hint("merge"), "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up")
+        up = written(_merged(up, top, "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up")
         if label is None:
             label = up.select(F.col("from").alias("node"), F.col("to").alias("label"))
         else:
-            on = label.join(up.hint("merge"), label["label"] == up["from"], "left")
+            on = _merged(label, up, label["label"] == up["from"], "left")
             label = written(on.select("node", F.coalesce("to", "label").alias("label")), "label")
-        at = lambda c: up.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}")).hint("merge")
-        edges = edges.filter("a < b").join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a != b")
+        at = lambda c: up.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}"))
+        edges = _merged(_merged(edges.filter("a < b"), at("a"), "a"), at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a != b")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -281,9 +286,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     star = runs.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = written(_bounded(star, classes, percent), "star")
     repeated = sets.groupBy("rk").count().filter("count > 1").select("rk", F.lit(True).alias("again"))
-    named = written(classes.select("node", "rk").join(repeated, "rk", "left").withColumn("again", F.coalesce("again", F.lit(False))), "named")
+    named = written(_merged(classes.select("node", "rk"), repeated, "rk", "left").withColumn("again", F.coalesce("again", F.lit(False))), "named")
     needed = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    texts = _texts(rows, needed.join(named, "node"))
+    texts = _texts(rows, _merged(needed, named, "node"))
     links = written(_verified(star, texts, k, percent), "links")
     forgotten(texts)
     group = labels(links)
@@ -292,13 +297,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     forgotten(runs)
     asked = written(_qualified(shared, classes, group, percent), "asked")
     forgotten(shared)
-    if asked.limit(1).count():
+    if not asked.isEmpty():
         inside = _labelled(classes.select("node", "n", *BITS), group).withColumnRenamed("label", "g")
-        inside = inside.join(asked.select("g").distinct(), "g", "left_semi")
+        inside = _merged(inside, asked.select("g").distinct(), "g", "left_semi")
         involved = asked.select(F.col("a").alias("node")).union(inside.select("node")).distinct()
-        texts = _texts(rows, involved.join(named, "node"))
+        texts = _texts(rows, _merged(involved, named, "node"))
         members = written(inside.select("g", F.col("node").alias("b")), "members")
-        images = written(classes.select("node", "n", *BITS).join(involved, "node", "left_semi"), "images")
+        images = written(_merged(classes.select("node", "n", *BITS), involved, "node", "left_semi"), "images")
         met, turn, most = star, 0, True
         while most:      # a few members of each group first, for one link spares the rest; as long as that settles half
             pairs = written(_unmet(_bounded(_some(asked, members, turn), images, percent), met), "some")
@@ -313,10 +318,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
         forgotten(images)
         group = labels(links)
 
-    named = classes.select("key", "node", "class_id").join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = _labelled(classes.select("key", "node", "class_id"), group)
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(smallest, "label").select("key", "class_id", "component_id", "label")
-    out = sets.select("doc_id", "rk", "key", "n").join(named, "key")
+    named = _merged(named, smallest, "label").select("key", "class_id", "component_id", "label")
+    out = _merged(sets.select("doc_id", "rk", "key", "n"), named, "key")
     alone = F.col("n") == 0
     return out.select("doc_id", "rk", F.col("n").alias("n_shingles"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -324,14 +329,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
 
 
 def _labelled(nodes: DataFrame, group: DataFrame) -> DataFrame:
-    return nodes.join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return _merged(nodes, group, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _shared(cells: DataFrame, group: DataFrame) -> DataFrame:
     """(token, node, n, pos, label) of the tokens that more than one group holds."""
     cells = written(_labelled(cells.select("token", "node", "n", "pos"), group), "cells")
     shared = cells.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    shared = written(cells.join(shared, "token"), "shared")
+    shared = written(_merged(cells, shared, "token"), "shared")
     forgotten(cells)
     return shared
 
@@ -340,21 +345,21 @@ def _some(asked: DataFrame, members: DataFrame, turn: int) -> DataFrame:
     """(a, b): each opened group's documents asked for, with up to four members; other ones each turn."""
     lot = F.pmod(F.xxhash64("b", F.lit(turn)), F.lit(4))
     few = members.groupBy("g", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("o"), "b")).alias("m"))
-    return asked.join(few, "g").select("a", F.col("m.b").alias("b"))
+    return _merged(asked, few, "g").select("a", F.col("m.b").alias("b"))
 
 
 def _apart(asked: DataFrame, group: DataFrame) -> DataFrame:
     """Rows whose document and group (named by one of its members) are in different components."""
-    la = group.select(F.col("node").alias("a"), F.col("label").alias("la")).hint("merge")
-    lg = group.select(F.col("node").alias("g"), F.col("label").alias("lg")).hint("merge")
-    both = asked.join(la, "a", "left").join(lg, "g", "left")
+    la = group.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lg = group.select(F.col("node").alias("g"), F.col("label").alias("lg"))
+    both = _merged(_merged(asked, la, "a", "left"), lg, "g", "left")
     return both.filter(F.coalesce("la", "a") != F.coalesce("lg", "g")).select("a", "g")
 
 
 def _unmet(pairs: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs that have not been compared yet."""
-    told = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).hint("merge")
-    return pairs.join(told, (F.least("a", "b") == told["lo"]) & (F.greatest("a", "b") == told["hi"]), "left_anti").select("a", "b")
+    told = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return _merged(pairs, told, (F.least("a", "b") == told["lo"]) & (F.greatest("a", "b") == told["hi"]), "left_anti").select("a", "b")
 
 
 def _sharing(cells: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -365,13 +370,13 @@ def _sharing(cells: DataFrame, classes: DataFrame, words: int, percent: int) ->
     share, or they do not link.
     """
     fold = [F.expr(" | ".join(BITS[j::words])).alias(f"f{j}") for j in range(words)]
-    cells = cells.join(classes.select("node", *fold), "node")
+    cells = _merged(cells, classes.select("node", *fold), "node")
     matrix = cells.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.col("n") - F.col("pos")).alias("left"), *[F.bit_or(f"f{j}").alias(f"u{j}") for j in range(words)])
     m = matrix.withColumnRenamed("token", "t").withColumnRenamed("label", "g")
     most = F.col("n") - sum((F.bit_count(F.col(f"f{j}").bitwiseAND(F.bitwise_not(f"u{j}"))) for j in range(words)), F.lit(0))
     most = F.least(most, F.col("n") - F.col("pos"), "left")
     # each pair of groups once: the document's group is the larger label
-    asked = cells.join(m, (F.col("token") == F.col("t")) & (F.col("label") > F.col("g"))
+    asked = _merged(cells, m, (F.col("token") == F.col("t")) & (F.col("label") > F.col("g"))
                        & (F.col("large") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("small") * percent)
                        & (most * (100 + percent) * 100 >= (F.col("n") * 100 + F.greatest(F.col("small") * 100, F.col("n") * percent)) * percent))
     return asked.select(F.col("node").alias("a"), "g")
@@ -388,9 +393,9 @@ def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent:
     asked = _sharing(cells.join(wide, "token", "left_anti"), classes, FOLD, percent)
     asked = asked.unionByName(_sharing(cells.join(wide, "token", "left_semi"), classes, IMAGE, percent)).distinct()
     # the union of a group's sets as bits
-    inside = _labelled(classes.select("node", "n", *BITS), group).join(cells.select("label").distinct(), "label", "left_semi")
+    inside = _merged(_labelled(classes.select("node", "n", *BITS), group), cells.select("label").distinct(), "label", "left_semi")
     unions = inside.groupBy(F.col("label").alias("g")).agg(F.min("n").alias("small"), *[F.bit_or(b).alias(f"u{b}") for b in BITS])
-    q = _images(asked, classes, "a", "x").join(unions, "g")
+    q = _merged(_images(asked, classes, "a", "x"), unions, "g")
     most = F.col("xn") - _outside("xb", "ub")
     least = F.greatest(F.col("small") * 100, F.col("xn") * percent)       # a fitting member's size, times 100
     return q.filter(most * (100 + percent) * 100 >= (F.col("xn") * 100 + least) * percent).select("a", "g")
