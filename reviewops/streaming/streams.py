@@ -155,90 +155,95 @@ def _ms(dt: datetime) -> int:
     return (dt.astimezone(timezone.utc) - _EPOCH) // _ONE_MS
 
 
-def _ts(ms: int | None) -> datetime | None:
-    return None if ms is None else _EPOCH + timedelta(milliseconds=ms)
+RECHECK_STATE = T.StructType([
+    T.StructField("review_id", T.StringType()), T.StructField("published_ms", T.LongType()),
+    T.StructField("next_ms", T.LongType()), T.StructField("last_ms", T.LongType()),
+    T.StructField("stopped", T.BooleanType()),
+])
+
+
+def _recheck_expiry(published_ms: int) -> int:
+    return published_ms + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1
+
+
+def _recheck_wake(state: tuple) -> int:
+    """When a review next needs care: a check, its expiry, or, once stopped, to
+    be forgotten because no check could follow."""
+    published, nxt, last, stopped = state
+    expiry = _recheck_expiry(published)
+    return max(expiry, last + 1) if stopped else min(nxt, expiry)
 
 
 def _recheck_processor():
     from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    def out(rid, event, active, at_ms, next_ms):
-        return Row(review_id=rid, event=event, owner_reply_recheck=active, at=_ts(at_ms),
-                   next_check_at=_ts(next_ms))
-
     class RecheckProcessor(StatefulProcessor):
-        """Keyed by review: next check as an event-time timer, expiry 10 days
-        after publication as a second timer."""
+        """Keyed by bucket of reviews.  The state is a list with a row per live
+        review, read and written at once, so a call to the state store serves
+        all reviews of a bucket; one event-time timer stands at the earliest
+        time one of them needs care."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.state = handle.getValueState(
-                "recheck", T.StructType([T.StructField("published_ms", T.LongType()),
-                                         T.StructField("next_ms", T.LongType()),
-                                         T.StructField("last_ms", T.LongType()),
-                                         T.StructField("stopped", T.BooleanType())]))
+            self.reviews = handle.getListState("reviews", RECHECK_STATE)
+
+        def kept(self) -> dict:
+            return {r[0]: tuple(r[1:]) for r in self.reviews.get()}
+
+        def store(self, kept: dict) -> int | None:
+            """Writes the reviews; the time of the bucket's timer."""
+            if not kept:
+                self.reviews.clear()
+                return None
+            self.reviews.put([(rid, *state) for rid, state in kept.items()])
+            return min(map(_recheck_wake, kept.values()))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
             # observations count in event time: one older than the last is
             # late news, and none revives a row that was replied or expired
-            rid = key[0]
-            obs = sorted(((_ms(r.event_time), r.published_at, r.owner_reply) for r in rows),
-                         key=lambda t: t[0])
-            known = self.state.get() if self.state.exists() else None
-            seen, stopped = (known[2], known[3]) if known else (None, False)
-            last = None
-            for at, published, reply in obs:
-                if stopped or (seen is not None and at < seen):
-                    continue
-                pub = _ms(published) if published is not None else None
-                event, active, nxt = recheck_step(pub, reply, at)
-                last = (active, pub if pub is not None else at, nxt)
-                seen, stopped = at, not active
-                yield out(rid, event, active, at, nxt)
-            if last is None:
+            kept, found, news = self.kept(), {}, False
+            timer = min(map(_recheck_wake, kept.values()), default=None)
+            for r in rows:
+                found.setdefault(r.review_id, []).append((r.at_ms, r.published_ms, r.owner_reply))
+            for rid, obs in found.items():
+                known = kept.get(rid)
+                seen, stopped = (known[2], known[3]) if known else (None, False)
+                for at, pub, reply in sorted(obs, key=lambda t: t[0]):
+                    if stopped or (seen is not None and at < seen):
+                        continue
+                    event, active, nxt = recheck_step(pub, reply, at)
+                    seen, stopped, news = at, not active, True
+                    kept[rid] = (pub if pub is not None else at, nxt, at, stopped)
+                    yield Row(review_id=rid, event=event, owner_reply_recheck=active, at=at, next_check_at=nxt)
+            if not news:
                 return
-            if known:                        # timers left by an earlier batch
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-            active, p, nxt = last
-            expiry = p + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1
-            self.state.update((p, nxt, seen, not active))
-            if active:
-                self.handle.registerTimer(nxt)
-                self.handle.registerTimer(expiry)
-            else:                            # the stop is forgotten once no check could follow
-                self.handle.registerTimer(max(expiry, seen + 1))
+            wake = self.store(kept)
+            if wake != timer:
+                if timer is not None:        # left by an earlier batch
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(wake)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-            rid = key[0]
-            fired = expiredTimerInfo.getExpiryTimeInMs()
-            st = self.state.get()
-            if st is None:
-                return
-            pub, nxt, last, stopped = st
-            if stopped:
-                self.state.clear()
-                return
-            expiry = pub + K.RECHECK_MAX_AGE_DAYS * _DAY_MS + 1
-            if fired >= expiry:
-                # timers fire in time order: of the two registered ones, only
-                # a later one can still be pending
-                for t in {nxt, expiry}:
-                    if t > fired:
-                        self.handle.deleteTimer(t)
-                self.state.clear()
-                yield out(rid, "expired", False, fired, None)
-            elif fired == nxt:
-                # a check without news is due again after the same wait, until the row expires;
-                # those the watermark has passed already come at once
-                step, mark = K.RECHECK_AFTER_DAYS * _DAY_MS, timerValues.getCurrentWatermarkInMs()
-                while fired <= mark and fired < expiry:
-                    yield out(rid, "due", True, fired, fired + step)
-                    fired += step
-                self.state.update((pub, fired, last, False))
-                if fired < expiry:
-                    self.handle.registerTimer(fired)
+            # all that the watermark has passed comes at once, in time order per review
+            mark, step, kept = timerValues.getCurrentWatermarkInMs(), K.RECHECK_AFTER_DAYS * _DAY_MS, self.kept()
+            for rid, state in list(kept.items()):
+                if _recheck_wake(state) > mark:
+                    continue
+                pub, nxt, last, stopped = state
+                expiry = _recheck_expiry(pub)
+                # a check without news is due again after the same wait, until the row expires
+                while not stopped and nxt <= mark and nxt < expiry:
+                    yield Row(review_id=rid, event="due", owner_reply_recheck=True, at=nxt, next_check_at=nxt + step)
+                    nxt += step
+                kept[rid] = (pub, nxt, last, stopped)
+                if stopped or expiry <= mark:
+                    del kept[rid]
+                    if not stopped:
+                        yield Row(review_id=rid, event="expired", owner_reply_recheck=False, at=expiry, next_check_at=None)
+            wake = self.store(kept)
+            if wake is not None:
+                self.handle.registerTimer(wake)
 
         def close(self) -> None:
             pass
@@ -247,21 +252,30 @@ def _recheck_processor():
 
 
 def stream_recheck(stream: DataFrame, key: str = "review_id", ts: str = "event_time",
-                   delay: str = "1 day") -> DataFrame:
+                   delay: str = "1 day", buckets: int = 1 << 14) -> DataFrame:
     """I4/I5 as keyed state with event-time timers.
 
     Input rows: ``review_id, published_at, owner_reply, event_time``.  Output
     (append): one row per transition: ``scheduled`` / ``replied`` /
     ``expired`` on observations, ``due`` when a next-check timer fires, and
     ``expired`` when the 10-day limit passes without a reply.
+
+    Reviews are dealt to ``buckets`` state keys by hash; a batch reads and
+    writes the buckets it has rows or timers for.  The number stays as it is
+    for the life of a checkpoint.
     """
-    s = stream.select(F.col(key).alias("review_id"), as_event_time("published_at").alias("published_at"),
+    s = stream.select(F.col(key).alias("review_id"), F.unix_millis(as_event_time("published_at")).alias("published_ms"),
                       F.col("owner_reply").cast("string").alias("owner_reply"),
                       as_event_time(ts).alias("event_time"))
-    s = s.withWatermark("event_time", delay)
-    return s.groupBy("review_id").transformWithState(
-        statefulProcessor=_recheck_processor(), outputStructType=RECHECK_OUT,
+    s = s.withWatermark("event_time", delay).withColumn("at_ms", F.unix_millis("event_time"))
+    s = s.withColumn("bucket", F.pmod(F.xxhash64("review_id"), F.lit(buckets)))
+    millis = T.StructType([T.StructField(f.name, T.LongType() if f.name in ("at", "next_check_at") else f.dataType)
+                           for f in RECHECK_OUT])
+    out = s.groupBy("bucket").transformWithState(
+        statefulProcessor=_recheck_processor(), outputStructType=millis,
         outputMode="Append", timeMode="EventTime")
+    return out.select(*[F.timestamp_millis(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else f.name
+                        for f in RECHECK_OUT])
 
 # --------------------------------------------------------------------- J4
 

@@ -110,3 +110,82 @@ def test_stream_recheck_matches_brute_force(spark):
     assert got == expected
     assert {e for _, e, *_ in expected} == {"replied", "expired", "scheduled", "due"}
 
+
+
+class _Store:
+    """A bucket's state: a list and timers, which count the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.discard(t)
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_stream_recheck_calls_the_state_store_by_bucket_not_by_review():
+    from pyspark.sql import Row
+    store, processor = _Store(), J._recheck_processor()
+    processor.init(store)
+    rows = [Row(review_id=f"r{i}", published_ms=0, owner_reply=None, at_ms=DAY) for i in range(1000)]
+    assert len(list(processor.handleInputRows((0,), iter(rows), _Mark(0)))) == 1000
+    assert store.calls <= 4 and store.timers == {3 * DAY}
+    # one is replied, one has late news, the rest goes on
+    news = [Row(review_id="r1", published_ms=0, owner_reply="thanks", at_ms=2 * DAY),
+            Row(review_id="r2", published_ms=0, owner_reply="thanks", at_ms=DAY - 1)]
+    assert [(r.review_id, r.event) for r in processor.handleInputRows((0,), iter(news), _Mark(0))] == [("r1", "replied")]
+    due = list(processor.handleExpiredTimer((0,), _Mark(5 * DAY), None))
+    assert Counter((r.event, r.at) for r in due) == {("due", 3 * DAY): 999, ("due", 5 * DAY): 999}
+    store.timers.discard(3 * DAY)                # Spark drops the timer that fired
+    assert store.timers == {7 * DAY}
+    ended = list(processor.handleExpiredTimer((0,), _Mark(30 * DAY), None))
+    assert Counter(r.event for r in ended) == {"due": 1998, "expired": 999} and store.rows == []
+    assert store.calls <= 13
+
+
+def test_stream_recheck_is_the_same_for_any_number_of_buckets(spark):
+    schema = "review_id string, published_at timestamp_ntz, owner_reply string, event_time timestamp_ntz"
+    day = lambda d: datetime(2026, 7, d)
+    first = [("a", day(1), None, day(2)), ("a", day(1), None, day(3)), ("b", day(1), None, day(2)), (None, day(1), " ", day(2)), ("c", None, "x", day(2))]
+    later = [("a", day(1), "thanks", day(4)), ("b", day(1), "old news", day(1)), ("c", None, None, day(4)), ("d", day(1), None, day(20))]
+    got = []
+    for buckets in (1, 1 << 14):
+        d = tempfile.mkdtemp(prefix="reviewops-test-")
+        for i, rows in enumerate((first, later)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{d}/t.parquet")
+        s = J.table_stream(spark, d, "t", max_files=1)
+        out = J.run_to_table(J.stream_recheck(s, buckets=buckets), name="t-recheck")
+        assert out.schema == J.RECHECK_OUT
+        got.append(Counter((r["review_id"], r["event"], r["at"].day, r["next_check_at"] and r["next_check_at"].day) for r in out.collect()))
+    assert got[0] == got[1]
+    assert got[0][("a", "replied", 4, None)] == 1 and ("a", "due", 5, 7) not in got[0]
+    assert {k[1:] for k in got[0] if k[0] == "b"} >= {("scheduled", 2, 4), ("due", 4, 6), ("due", 10, 12), ("expired", 11, None)}
+    assert {k[1:] for k in got[0] if k[0] is None} == {k[1:] for k in got[0] if k[0] == "b"}
+    assert [k[1] for k in got[0] if k[0] == "c"] == ["replied"]
