@@ -297,12 +297,18 @@ def stream_backlog(started: DataFrame, success: DataFrame, within: str = "1 hour
 
     A stream-stream left outer join with watermarks on both sides and a time
     bound, so state is dropped once a start can no longer be matched; the
-    unmatched starts are emitted then."""
+    unmatched starts are emitted then.  Beside the run id the rows meet by
+    slot of event time, ``within`` long: a start's success lies in the same
+    slot or the next, so a row is held against those near it in time and not
+    against all that a long-lived run id ever had."""
+    width = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {within}"))
+    slot = lambda c: F.floor(F.unix_micros(c) / width)
     a = (started.select(F.col(key).alias("a_run"), "pipeline", as_event_time(ts).alias("a_ts"))
-         .withWatermark("a_ts", delay))
+         .withWatermark("a_ts", delay).withColumn("a_slot", slot("a_ts")))
     b = (success.select(F.col(key).alias("b_run"), as_event_time(ts).alias("b_ts"))
-         .withWatermark("b_ts", delay))
-    cond = ((F.col("a_run") == F.col("b_run")) & (F.col("b_ts") >= F.col("a_ts"))
+         .withWatermark("b_ts", delay)
+         .select("b_run", "b_ts", F.explode(F.array(slot("b_ts"), slot("b_ts") - 1)).alias("b_slot")))
+    cond = ((F.col("a_run") == F.col("b_run")) & (F.col("a_slot") == F.col("b_slot")) & (F.col("b_ts") >= F.col("a_ts"))
             & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {within}")))
     j = a.join(b, cond, "left_outer")
     return j.filter(F.col("b_run").isNull()).select(

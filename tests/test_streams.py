@@ -189,3 +189,23 @@ def test_stream_recheck_is_the_same_for_any_number_of_buckets(spark):
     assert {k[1:] for k in got[0] if k[0] == "b"} >= {("scheduled", 2, 4), ("due", 4, 6), ("due", 10, 12), ("expired", 11, None)}
     assert {k[1:] for k in got[0] if k[0] is None} == {k[1:] for k in got[0] if k[0] == "b"}
     assert [k[1] for k in got[0] if k[0] == "c"] == ["replied"]
+
+
+def test_stream_backlog_holds_a_row_against_those_near_it_in_time(spark):
+    schema = "run_id string, pipeline string, status string, started_at timestamp_ntz"
+    at = lambda m: datetime(2026, 7, 1 + m // 1440, m // 60 % 24, m % 60)
+    # one run id for all: starts every 90 minutes; successes at the bounds, just beyond them and before the start
+    starts = [(90 * i, ("review_daily", "store")[i % 2]) for i in range(64)]
+    after = [(0, 60, 61, -1, 30)[i % 5] for i in range(64)]
+    rows = [("r", p, "started", at(m)) for m, p in starts]
+    rows += [("r", "x", "success", at(m + a)) for (m, _), a in zip(starts, after, strict=True) if m + a >= 0]
+    rows += [("r", "x", "success", at(30))] * 3 + [("r", "store", "started", at(90))] + [("end", "x", s, at(12000)) for s in ("started", "success")]
+    d = _write(spark, rows, schema)
+    s = J.table_stream(spark, d, "t")
+    backlog = J.stream_backlog(s.filter("status = 'started'"), s.filter("status = 'success'"))
+    out = J.run_to_table(backlog, name="t-backlog")
+    done = [r[3] for r in rows if r[2] == "success"]
+    want = Counter((r[1], r[3]) for r in rows if r[2] == "started" and not any(0 <= (x - r[3]).total_seconds() <= 3600 for x in done))
+    assert Counter((r["pipeline"], r["started_at"]) for r in out.collect()) == want and len(want) > 20
+    keys = backlog._jdf.queryExecution().analyzed().toString()
+    assert "a_slot" in keys and "b_slot" in keys
