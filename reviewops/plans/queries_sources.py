@@ -41,11 +41,19 @@ def q_json_dataset(v):
                                F.col("location.lat").alias("lat"), F.col("location.lng").alias("lng"))
 
 
-def array_files(v) -> str:
-    """The raw reviews as a few JSON array files; a row a line, so that no task holds a file."""
+#: Rows of one JSON array file, some 180 MB.
+ROWS_A_FILE = 1 << 19
+
+
+def array_files(v, rows_a_file: int = ROWS_A_FILE) -> str:
+    """The raw reviews as JSON array files of some ``rows_a_file`` rows, four at least; a row a line, so that no task holds a file.
+
+    The number of files grows with the rows, and a task writes few of them: what it sorts has a bound.
+    """
     spark = v["ev"].sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrays-{uuid.uuid4().hex[:12]}"
-    rows = v["ev"].select("seq", "raw_json", F.pmod(F.xxhash64("seq"), F.lit(4)).alias("file"))
+    files = max(4, -(-v["ev"].count() // rows_a_file))
+    rows = v["ev"].select("seq", "raw_json", F.pmod(F.xxhash64("seq"), F.lit(files)).alias("file")).repartition(4 * files, "file")
     order = Window.partitionBy("file").orderBy("seq")
     line = F.concat(F.when(F.lag("seq").over(order).isNull(), "[").otherwise(","), "raw_json", F.when(F.lead("seq").over(order).isNull(), "]").otherwise(""))
     rows.select("file", line.alias("value")).write.partitionBy("file").text(path)

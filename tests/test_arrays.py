@@ -73,3 +73,18 @@ def test_structure_counts_escapes():
     step, inside = arrays.structure(np.frombuffer(text, np.uint8), False)
     assert not inside and [(i, int(s)) for i, s in enumerate(step) if s] == [(0, 1), (18, 1), (20, -1), (21, -1)]
     assert arrays.structure(np.frombuffer(b'x"{', np.uint8), True)[0].tolist() == [0, 0, 1]
+
+
+def test_array_files_grow_in_number_with_the_rows(spark):
+    from collections import Counter
+
+    from reviewops.plans.queries_sources import array_files
+    schema = "seq long, raw_json string"
+    ev = spark.createDataFrame([(i // 2, json.dumps({"id": i})) for i in range(3000)], schema).repartition(3)
+    for rows_a_file, least in ((100, 25), (1 << 19, 4)):
+        path = array_files({"ev": ev}, rows_a_file)
+        found = arrays.read_elements(spark, path).select("file", "text").collect()
+        assert Counter(json.loads(r["text"])["id"] for r in found) == Counter(range(3000))
+        sizes = Counter(r["file"] for r in found)
+        assert len(sizes) >= least and (rows_a_file > 100 or max(sizes.values()) < 250)
+    assert arrays.read_elements(spark, array_files({"ev": ev.limit(0)})).count() == 0
