@@ -12,6 +12,8 @@ from reviewops.session import ensure_checkpoint_dir
 
 #: Separators of words: ASCII space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that a job's shuffle files go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,17 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     lost executor loses nothing.  Parquet keeps column pruning and gives the
     planner the true size.  Rows of some megabytes are better kept to a few per
     file (0: any number).  Hadoop removes the folder when the application ends.
+    The shuffle files of the job go when it ends, as the stored table is all
+    that is read of it; they would stay until the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    was = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
