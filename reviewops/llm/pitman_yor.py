@@ -5,10 +5,9 @@ context.  All context restaurants share one parent, the restaurant of single
 words, whose parent is the uniform distribution over the V words of the
 training texts and one for all others.
 
-* Contexts: the word before, by the hash of its last three bytes, so short
-  words mostly have a restaurant of their own and long ones share it with words
-  of the same ending; the start of a text has one more.  There are CLASSES + 1
-  restaurants, whatever the size of the corpus.
+* Contexts: the word before; each word that comes before another has a
+  restaurant of its own, and the start of a text has one more.  Contexts are
+  named by 63 bits of a hash of the word, the start by 0.
 * Seating: c customers eat a word in a context.  They sit down one by one, at a
   new table with probability a / (a + i - d t), where a is (strength + d T)
   times the parent's probability of the word, i and t the customers and tables
@@ -20,9 +19,10 @@ training texts and one for all others.
   away and seats them again, given the tables of all others after the last
   sweep.  Given the restaurants' numbers of tables the words are independent, so
   a sweep is one pass over a table that holds each word with its contexts,
-  customers and tables in one place, and only the numbers of tables (one for
-  each restaurant) are added up between sweeps.  Draws are hashes of word,
-  context and sweep: reruns agree.
+  customers and tables in one place.  Between sweeps the tables are added up by
+  context (``told``): buckets send what they hold of a context to its home, a
+  range of hashes, and get the restaurant's number of tables back.  Draws are
+  hashes of word, context and sweep: reruns agree.
 * Scores: after BURN_IN sweeps the predictive probabilities of SAMPLES sweeps
   are averaged.  They sum to 1 over the V words and the one for unknown words.
 
@@ -30,10 +30,16 @@ Words are dealt to buckets by hash, one for each BUCKET bytes of text, and a
 bucket's words, counts and tables are packed into arrays that NumPy works on.
 Tasks give their counts per bucket, each word once; buckets are put together a
 few (FAN) tasks at a time, so a word in every text brings no more to a merge
-than one in few.  Texts are scored where they lie for words of at least
-1 / FREQUENT of the training tokens, of which there are at most FREQUENT: their
-probabilities in every context are broadcast as one matrix.  Rarer words, with
-context and row, go to their buckets, and the sums come back by row.
+than one in few.  Words of at least 1 / SPREAD of the tokens, of which there are
+at most SPREAD, have too many contexts for one bucket: theirs are dealt by word
+and context, and their totals, SPREAD numbers, are added up for all.  Which
+words these are is estimated on about SAMPLE bytes of text; any choice gives the
+same result.
+
+Texts are scored where the words are: their words, with context and row, go to
+the buckets, and the sums come back by row.  A bucket knows the restaurants
+that hold a word of its own; for other contexts, all of them rare, the parent's
+probabilities go on to the home of the context.
 
 Null texts count as empty: they have one token, the end.  Every row is a text
 of its own, rows with the same id and repeated rows too; null ids count as
@@ -44,21 +50,22 @@ looked at.
 
 from __future__ import annotations
 
-import zlib
 from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewops.llm.common import forgotten, mix64, text_of, written
+from reviewops.llm.common import WORD_CHARS, forgotten, mix64, text_of, written
 from reviewops.llm.words import Numbering, numbered, runs, slices
 
-CLASSES, FREQUENT, BUCKET, FAN = 512, 1 << 15, 1 << 22, 64
+SPREAD, SAMPLE, BUCKET, FAN = 1 << 12, 1 << 24, 1 << 22, 64
 STRENGTH, BURN_IN, SAMPLES, STEP = 1.0, 2, 3, 16
-WIDTH = CLASSES + 1
+#: Names of the start of a text and, for draws, of the parent, as contexts.
+START, PARENT = 0, -1
 #: The end of a text, as a word.
 END = b""
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Tokens, and different words, that a task holds before it gives them.
 TOKENS, DIFFERENT = 1 << 20, 1 << 18
 #: Rows with a whole bucket that are read together.
@@ -73,8 +80,14 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def context(word: bytes) -> int:
-    """Restaurant of the tokens that follow a word; 0 is the start of a text."""
-    return 1 + zlib.crc32(word[-3:]) % CLASSES
+    """Restaurant of the tokens that follow a word."""
+    return int(contexts([word])[0])
+
+
+def contexts(words: list[bytes]) -> np.ndarray:
+    from pandas.util import hash_array
+
+    return (hash_array(np.array(words, object), categorize=False) >> np.uint64(1)).astype(np.int64)
 
 
 # packed arrays -----------------------------------------------------------------------------------------------------------
@@ -87,6 +100,17 @@ def unblob(value: bytes, kind) -> np.ndarray:
     return np.frombuffer(value, kind)
 
 
+def small(values) -> bytes:
+    """Numbers from 0, in as many bytes each as the largest needs; the first byte tells how many."""
+    values = np.asarray(values)
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def unsmall(value: bytes) -> np.ndarray:
+    return np.frombuffer(value[1:], f"u{value[0]}").astype(np.int64) if value else np.zeros(0, np.int64)
+
+
 def joined(words: list[bytes]) -> bytes:
     """Words hold no blank, so one between them tells them apart."""
     return b" ".join(words)
@@ -114,23 +138,40 @@ class Found:
         return self.total >= TOKENS or len(self.numbers) >= DIFFERENT
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, word, context) of each token."""
+        """(text, word, word before) of each token, words by number; the start of a text comes after all of them."""
         ids, sizes = np.concatenate(self.ids), np.array(self.sizes)
-        follows = np.fromiter(map(context, self.numbers.words), np.int64, len(self.numbers))
-        ctx = np.concatenate((np.zeros(1, np.int64), follows[ids[:-1]]))
-        ctx[np.cumsum(sizes) - sizes] = 0
-        return np.repeat(np.arange(len(sizes)), sizes), ids, ctx
-
-    def by_bucket(self, word: np.ndarray, buckets: int):
-        """(bucket, its words' numbers in order, their tokens' places): ``word`` is sorted."""
-        at = runs(word)
-        bucket = np.fromiter((zlib.crc32(self.numbers.words[w]) % buckets for w in word[at].tolist()), np.int64, len(at))
-        order, size = np.argsort(bucket, kind="stable"), np.diff(np.append(at, len(word)))
-        for part in np.split(order, runs(bucket[order])[1:]):
-            if len(part):
-                n = size[part]
-                place = np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield int(bucket[part[0]]), [self.numbers.words[w] for w in word[at[part]].tolist()], n, place
+        before = np.concatenate((ids[:1], ids[:-1]))
+        before[np.cumsum(sizes) - sizes] = len(self.numbers)
+        return np.repeat(np.arange(len(sizes)), sizes), ids, before
+
+    def names(self) -> np.ndarray:
+        """The contexts that the words and the start are."""
+        return np.append(contexts(self.numbers.words), START)
+
+    def by_bucket(self, word: np.ndarray, ctx: np.ndarray, names: np.ndarray, buckets: int, spread: dict):
+        """(bucket, its words in order, their sizes, their places) of sorted words, by number, with their contexts."""
+        words, home = self.numbers.words, names % buckets
+        home[[self.numbers[w] for w in spread if w in self.numbers]] = -1
+        home = home[word]
+        dealt = np.flatnonzero(home < 0)
+        home[dealt] = (draws(names[word[dealt]], ctx[dealt], -1) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        for at in np.split(order, runs(home[order])[1:]):
+            if len(at):
+                first = runs(word[at])
+                yield int(home[at[0]]), [words[w] for w in word[at[first]].tolist()], np.diff(np.append(first, len(at))), at
+
+
+def spread_words(docs: DataFrame, size: int) -> dict[bytes, int]:
+    """Numbers of the words, and the end, that are at least 1 / SPREAD of the tokens of about SAMPLE bytes of ``docs``."""
+    if size > SAMPLE:
+        docs = docs.sample(SAMPLE / size, 12)
+    word = F.explode(F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(f"({WORD_CHARS})")))
+    counts = written(docs.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    found = [r["word"].encode() for r in counts.filter(F.col("n") * SPREAD >= tokens).select("word").collect()]
+    forgotten(counts)
+    return {w: i for i, w in enumerate([END, *sorted(found)])}
 
 
 # counts and seating ------------------------------------------------------------------------------------------------------
@@ -138,7 +179,7 @@ class Found:
 CELLS = "bucket int, part long, words binary, sizes binary, ctx binary, n binary"
 
 
-def _cells(buckets: int):
+def _cells(buckets: int, spread: dict):
     """Counts of (word, context) of some texts, a row per bucket."""
     def run(batches):
         import pyarrow as pa
@@ -147,10 +188,12 @@ def _cells(buckets: int):
         task, found = TaskContext.get().partitionId(), Found()
 
         def given():
-            _, word, ctx = found.tokens()
-            cell, n = np.unique(word * WIDTH + ctx, return_counts=True)
-            rows = [(b, task, joined(words), blob(sizes, np.int32), blob(cell[at] % WIDTH, np.int16), blob(n[at], np.int64))
-                    for b, words, sizes, at in found.by_bucket(cell // WIDTH, buckets)]
+            _, word, before = found.tokens()
+            names = found.names()
+            cell, n = np.unique(word * len(names) + before, return_counts=True)
+            word, ctx = cell // len(names), names[cell % len(names)]
+            rows = [(b, task, joined(words), blob(sizes, np.int32), blob(ctx[at], np.int64), small(n[at]))
+                    for b, words, sizes, at in found.by_bucket(word, ctx, names, buckets, spread)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=_arrow(CELLS))
 
         for batch in batches:
@@ -176,46 +219,125 @@ def merged(table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     words = [w for x in table.column("words").to_pylist() for w in x.split(b" ")]
-    sizes, ctx, n = (np.concatenate([unblob(x, kind) for x in table.column(c).to_pylist()])
-                     for c, kind in (("sizes", np.int32), ("ctx", np.int16), ("n", np.int64)))
+    sizes, ctx = (np.concatenate([unblob(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("sizes", np.int32), ("ctx", np.int64)))
+    n = np.concatenate([unsmall(x) for x in table.column("n").to_pylist()])
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    key = np.repeat(np.asarray(coded.indices).astype(np.int64), sizes) * WIDTH + ctx
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = runs(key)
-    word = key[at] // WIDTH
-    return coded.dictionary.to_pylist(), np.bincount(word), key[at] % WIDTH, np.add.reduceat(n[order], at)
+    word = np.repeat(np.asarray(coded.indices).astype(np.int64), sizes)
+    order = np.lexsort((ctx, word))
+    word, ctx = word[order], ctx[order]
+    at = np.flatnonzero(np.concatenate((np.ones(1, bool), (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1]))))
+    return coded.dictionary.to_pylist(), np.bincount(word[at]), ctx[at], np.add.reduceat(n[order], at)
 
 
 def _merge(table):
     import pyarrow as pa
 
     words, sizes, ctx, n = merged(table)
-    row = table.column("bucket")[0].as_py(), table.column("part")[0].as_py(), joined(words), blob(sizes, np.int32), blob(ctx, np.int16), blob(n, np.int64)
+    row = table.column("bucket")[0].as_py(), table.column("part")[0].as_py(), joined(words), blob(sizes, np.int32), blob(ctx, np.int64), small(n)
     return pa.table([pa.array([x]) for x in row], schema=_arrow(CELLS))
 
 
-#: A bucket: words, hashes, number of contexts; contexts, customers and tables; tables in the parent; tables summed over the samples,
-#: (n, t) in the parent in each sample; and for the totals: words, how many cells and words have one and two customers, customers and
-#: tables by context, tables in the parent.
-STATE = ("bucket int, words binary, hash binary, sizes binary, ctx binary, n binary, t binary, t0 binary, sums binary, kept binary, "
-         "v long, once long, twice long, alone long, pair long, customers array<long>, tables array<long>, parents long")
+#: A bucket: words, their numbers among the spread ones (or -1), how many contexts; names of all its contexts; of each cell its
+#: context's place, customers and tables; tables in the parent; tables summed over the samples; (n, t) in the parent and tables of the
+#: contexts in each sample, customers of the contexts; and for the totals: words, cells and words that have one and two customers, tables
+#: and those in the parent, without spread words; customers, contexts and tables of these.
+STATE = ("bucket int, words binary, often binary, sizes binary, ids binary, ctx binary, n binary, t binary, t0 binary, sums binary, "
+         "kept binary, levels binary, guests binary, v long, once long, twice long, alone long, pair long, tokens long, tables long, parents long, "
+         "counts array<long>, loads array<long>, seats array<long>")
+KINDS = {"often": np.int32, "sizes": np.int32, "ids": np.int64, "ctx": np.int32}
+
 
+def part_of(row: dict, *names: str):
+    return (unblob(row[x], KINDS[x]) if x in KINDS else unsmall(row[x]) for x in names)
 
-def _opening(table):
+
+def _state(rows: list[dict]):
+    import pyarrow as pa
+
+    schema = _arrow(STATE)
+    return pa.table([pa.array([row[f.name] for row in rows], f.type) for f in schema], schema=schema)
+
+
+def _opening(spread: dict):
     """The first seating of a bucket: one table for each word in each context."""
+    def run(table):
+        words, sizes, names, n = merged(table)
+        ids, ctx = np.unique(names, return_inverse=True)
+        often = np.fromiter((spread.get(w, -1) for w in words), np.int32, len(words))
+        own, one = often < 0, np.ones(len(n), np.int64)
+        total = lambda x: _by_number(often, np.add.reduceat(x, np.cumsum(sizes) - sizes), len(spread))
+        return _state([{
+            "bucket": table.column("bucket")[0].as_py(), "words": joined(words), "often": blob(often, np.int32),
+            "sizes": blob(sizes, np.int32), "ids": blob(ids, np.int64), "ctx": blob(ctx, np.int32), "n": small(n), "t": small(one),
+            "t0": small(own.astype(int)), "sums": small(0 * one), "kept": b"", "levels": b"", "guests": b"", "v": int(own.sum()),
+            "once": int((n == 1).sum()), "twice": int((n == 2).sum()), "alone": int((sizes[own] == 1).sum()), "pair": int((sizes[own] == 2).sum()),
+            "tokens": int(n.sum()), "tables": len(n), "parents": int(own.sum()), "counts": total(n), "loads": total(one), "seats": total(one)}])
+    return run
+
+
+def _by_number(often: np.ndarray, x: np.ndarray, width: int) -> np.ndarray:
+    """x of the words that are spread, by their numbers."""
+    out = np.zeros(width, np.int64)
+    out[often[often >= 0]] = x[often >= 0]
+    return out
+
+
+# totals by context
+
+SENT, TOLD = "home int, bucket int, ids binary, x binary", "bucket int, home int, x binary"
+
+
+def homes_of(ids: np.ndarray, homes: int) -> np.ndarray:
+    """Contexts have homes by ranges of their 63 bits, so those of sorted contexts are sorted too."""
+    return (ids >> 31) * homes >> 32
+
+
+def _by_home(ids: np.ndarray, homes: int):
+    """(home, where its contexts begin, where they end) of sorted contexts."""
+    home = homes_of(ids, homes)
+    first = runs(home).tolist()
+    return zip(home[first].tolist(), first, [*first, len(ids)][1:], strict=True)
+
+
+def _sent(what: tuple[str, ...], homes: int):
+    """What a bucket holds of each of its contexts, to their homes."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in one_by_one(batch):
+                ids, ctx, *cells = part_of(row, "ids", "ctx", *what)
+                x = np.stack([np.bincount(ctx, weights=c, minlength=len(ids)).astype(np.int64) for c in cells])
+                rows = [(home, row["bucket"], blob(ids[a:b], np.int64), small(x[:, a:b])) for home, a, b in _by_home(ids, homes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_arrow(SENT))
+    return run
+
+
+def _summed(table):
+    """The totals of a home's contexts, to the buckets that sent some."""
     import pyarrow as pa
 
-    words, sizes, ctx, n = merged(table)
-    hashed = np.fromiter((zlib.crc32(w) << 32 | zlib.crc32(w, 1) for w in words), np.uint64, len(words))
-    by_context = lambda x: np.bincount(ctx, weights=x, minlength=WIDTH).astype(np.int64)
-    row = (table.column("bucket")[0].as_py(), joined(words), blob(hashed, np.uint64), blob(sizes, np.int32), blob(ctx, np.int16), blob(n, np.int64),
-           blob(np.ones(len(n)), np.int64), blob(np.ones(len(words)), np.int64), blob(np.zeros(len(n)), np.int64), b"",
-           len(words), int((n == 1).sum()), int((n == 2).sum()), int((sizes == 1).sum()), int((sizes == 2).sum()),
-           by_context(n), by_context(np.ones(len(n))), len(words))
-    return pa.table([pa.array([x]) for x in row], schema=_arrow(STATE))
+    ids = [unblob(x, np.int64) for x in table.column("ids").to_pylist()]
+    x = np.concatenate([unsmall(x).reshape(-1, len(i)) for x, i in zip(table.column("x").to_pylist(), ids, strict=True)], 1)
+    _, place = np.unique(np.concatenate(ids), return_inverse=True)
+    total = np.stack([np.bincount(place, weights=c).astype(np.int64) for c in x])[:, place]
+    parts = np.split(total, np.cumsum([len(i) for i in ids])[:-1], 1)
+    return pa.table([table.column("bucket"), table.column("home"), pa.array([small(x) for x in parts], pa.binary())], schema=_arrow(TOLD))
+
+
+def told(state: DataFrame, homes: int, *what: str) -> DataFrame:
+    """For each bucket the sums of columns of cells over all buckets, by context: a row per home."""
+    return state.select("bucket", "ids", "ctx", *what).mapInArrow(_sent(what, homes), SENT).groupBy("home").applyInArrow(_summed, TOLD)
+
+
+def heard(table, width: int) -> np.ndarray:
+    """What a bucket was told: a column for each of its contexts, in their order."""
+    rows = sorted(zip(table.column("home").to_pylist(), table.column("x").to_pylist(), strict=True))
+    return np.concatenate([unsmall(x).reshape(width, -1) for _, x in rows], 1)
 
 
+# seating
+
 def draws(word: np.ndarray, ctx: np.ndarray | int, sweep: int) -> np.ndarray:
     """State of the random numbers of a word in a context; word is a 64-bit hash."""
     return mix64(mix64(word) ^ mix64(np.atleast_1d(ctx).astype(np.uint64) * np.uint64(1009) + np.uint64(sweep + 1)))
@@ -244,32 +366,50 @@ def parent(n: np.ndarray, t: np.ndarray, customers: np.ndarray | int, tables: in
     return (np.maximum(n - d * t, 0) + (STRENGTH + d * tables) / (v + 1)) / (STRENGTH + customers)
 
 
-def _sweep(level: tuple, v: int, d: tuple[float, float], sweep: int, keep: bool):
-    """Buckets seated again; if ``keep``, tables are added to the sums and the parent's (n, t) to those kept."""
-    def run(batches):
-        import pyarrow as pa
+def _sweep(level: tuple, v: int, d: tuple[float, float], sweep: int, often_n: np.ndarray, often_t: np.ndarray):
+    """Buckets seated again, given the totals after the last sweep, those of the parent's spread words too.
 
-        tables, parents = level
-        customers = int(tables.sum())
-        for batch in batches:
-            for row in one_by_one(batch):
-                ctx, n, t, t0 = (unblob(row[x], kind) for x, kind in (("ctx", np.int16), ("n", np.int64), ("t", np.int64), ("t0", np.int64)))
-                hashed, size = unblob(row["hash"], np.uint64), unblob(row["sizes"], np.int32)
-                word, starts = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-                rest = np.add.reduceat(t, starts)[word] - t                  # customers that other contexts send to the parent
-                p = parent(rest, np.minimum(t0[word], rest), customers - t, parents, v, d[0])
-                t = seated(n, (STRENGTH + d[1] * (tables[ctx] - t)) * p, p, d[1], draws(hashed[word], ctx, sweep))
-                n0, p = np.add.reduceat(t, starts), 1 / (v + 1)
-                t0 = seated(n0, (STRENGTH + d[0] * (parents - t0)) * p, p, d[0], draws(hashed, WIDTH, sweep))
-                row |= {"t": blob(t, np.int64), "t0": blob(t0, np.int64), "parents": int(t0.sum()),
-                        "tables": np.bincount(ctx, weights=t, minlength=WIDTH).astype(np.int64)}
-                if keep:
-                    row |= {"sums": blob(unblob(row["sums"], np.int64) + t, np.int64), "kept": row["kept"] + blob(n0, np.int64) + blob(t0, np.int64)}
-                schema = _arrow(STATE)
-                yield pa.RecordBatch.from_arrays([pa.array([row[x]], schema.field(x).type) for x in schema.names], schema=schema)
+    In samples, tables are added to the sums and the parent's (n, t) to those kept; the contexts' tables are those after the last sweep.
+    """
+    def run(left, right):
+        customers, parents = level
+        row, tables = next(one_by_one(left)), heard(right, 1)[0]
+        if sweep > BURN_IN:
+            row["levels"] = more(row["levels"], tables)
+        often, size, ids, ctx, n, t, t0 = part_of(row, "often", "sizes", "ids", "ctx", "n", "t", "t0")
+        hashed = contexts(row["words"].split(b" "))
+        word, starts, own = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size, often < 0
+        n0 = np.where(own, np.add.reduceat(t, starts), often_n[often])
+        at = np.flatnonzero(n > 1)                                       # one customer has one table
+        word, ctx, before, cut = word[at], ctx[at], t[at], np.where(own, t0, often_t[often])
+        rest = n0[word] - before                                         # customers that other contexts send to the parent
+        p = parent(rest, np.minimum(cut[word], rest), customers - before, parents, v, d[0])
+        t[at] = seated(n[at], (STRENGTH + d[1] * (tables[ctx] - before)) * p, p, d[1], draws(hashed[word], ids[ctx], sweep))
+        n0 = np.add.reduceat(t, starts)
+        t0 = np.where(own, seated(np.where(own, n0, 0), *_of_parent(t0, parents, v, d), d[0], draws(hashed, PARENT, sweep)), 0)
+        row |= {"t": small(t), "t0": small(t0), "tables": int(t.sum()), "parents": int(t0.sum()), "seats": _by_number(often, n0, len(often_n))}
+        if sweep >= BURN_IN:
+            row |= {"sums": small(unsmall(row["sums"]) + t), "kept": more(row["kept"], np.where(own, n0, 0), t0)}
+        return _state([row])
     return run
 
 
+def _of_parent(t0: np.ndarray, parents: int, v: int, d: tuple[float, float]) -> tuple[np.ndarray, float]:
+    """Weight of a new table in the parent, and the probability of a word there."""
+    p = 1 / (v + 1)
+    return (STRENGTH + d[0] * (parents - t0)) * p, p
+
+
+def more(value: bytes, *arrays: np.ndarray) -> bytes:
+    return small(np.concatenate((unsmall(value), *arrays)))
+
+
+def _finished(left, right):
+    """The contexts' tables after the last sweep, and their customers."""
+    row, (tables, guests) = next(one_by_one(left)), heard(right, 2)
+    return _state([row | {"levels": more(row["levels"], tables), "guests": small(guests)}])
+
+
 @contextmanager
 def large_rows(spark: SparkSession):
     """While a bucket is a row, few of them go to a Python worker at once."""
@@ -282,17 +422,16 @@ def large_rows(spark: SparkSession):
         spark.conf.set(key, was)
 
 
-def by_context(state: DataFrame, what: str) -> np.ndarray:
-    """Sums of an array of ``state`` by context: WIDTH numbers."""
-    out = np.zeros(WIDTH, np.int64)
-    for r in state.select(F.posexplode(what).alias("ctx", "x")).groupBy("ctx").agg(F.sum("x").alias("x")).collect():
-        out[r["ctx"]] = r["x"]
+def by_number(state: DataFrame, what: str, width: int) -> np.ndarray:
+    """Sums of an array of ``state``: a number for each spread word."""
+    out = np.zeros(width, np.int64)
+    for r in state.select(F.posexplode(what).alias("word", "x")).groupBy("word").agg(F.sum("x").alias("x")).collect():
+        out[r["word"]] = r["x"]
     return out
 
 
-def totals(state: DataFrame) -> tuple[np.ndarray, int]:
-    """Tables of each context and of the parent."""
-    return by_context(state, "tables"), int(state.agg(F.sum("parents")).first()[0] or 0)
+def totals(state: DataFrame, *what: str) -> list[int]:
+    return [int(x or 0) for x in state.agg(*[F.sum(x) for x in what]).first()]
 
 
 def discount(once: int, twice: int) -> float:
@@ -300,36 +439,53 @@ def discount(once: int, twice: int) -> float:
 
 
 class Model:
-    """What scoring needs beside the state (a row per bucket), all of fixed size."""
+    """What scoring needs: the state (a row per bucket), and numbers of fixed size: counts and, in each sample, (n, t) in the parent of
+    the spread words, and (customers, tables) of the parent in each sample."""
 
-    def __init__(self, state: DataFrame, buckets: int, tokens: int, v: int, d: tuple[float, float], customers: np.ndarray, samples: list[tuple]):
-        self.state, self.buckets, self.tokens, self.v, self.d, self.customers, self.samples = state, buckets, tokens, v, d, customers, samples
+    def __init__(self, state: DataFrame, buckets: int, homes: int, spread: dict, tokens: int, v: int, d: tuple[float, float], counts: np.ndarray, kept: list[tuple], samples: list[tuple]):
+        self.state, self.buckets, self.homes, self.spread, self.tokens, self.v, self.d = state, buckets, homes, spread, tokens, v, d
+        self.counts, self.kept, self.samples = counts, kept, samples
 
     def numbers(self) -> tuple:
-        """(tokens, v, d, customers by context, weight of the parent by sample and context, samples): plain arrays."""
-        weight = np.array([(STRENGTH + self.d[1] * tables) / (STRENGTH + self.customers) for tables, _ in self.samples])
-        return self.tokens, self.v, self.d, self.customers, weight, [(int(tables.sum()), parents) for tables, parents in self.samples]
+        return self.tokens, self.v, self.d, list(self.spread), self.counts, np.array(self.kept, np.int64), self.samples
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Fits the model to all texts of ``docs``."""
     docs = docs.select(text_of(text).alias("text"))
-    buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
-    cells, parts = docs.mapInArrow(_cells(buckets), CELLS), buckets
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, spread = 1 + size // BUCKET, spread_words(docs, size)
+    homes, m = 1 + buckets // 4, len(spread)
+    cells, parts = docs.mapInArrow(_cells(buckets, spread), CELLS), buckets
     while parts > FAN:
         parts = -(-parts // FAN)
         cells = cells.withColumn("part", F.col("part") % parts).groupBy("bucket", "part").applyInArrow(_merge, CELLS)
-    state = written(cells.groupBy("bucket").applyInArrow(_opening, STATE), "seats", LARGE)
-    v, once, twice, alone, pair = (int(x or 0) for x in state.agg(*[F.sum(x) for x in ("v", "once", "twice", "alone", "pair")]).first())
-    d, customers, samples = (discount(alone, pair), discount(once, twice)), by_context(state, "customers"), []
-    level = totals(state)
-    for sweep in range(BURN_IN + SAMPLES):
+    state = written(cells.groupBy("bucket").applyInArrow(_opening(spread), STATE), "seats", LARGE)
+    v, once, twice, alone, pair, tokens, tables, parents = totals(state, "v", "once", "twice", "alone", "pair", "tokens", "tables", "parents")
+    counts, loads, often_n = (by_number(state, x, m) for x in ("counts", "loads", "seats"))
+    often_t = np.minimum(loads, 1)
+    v, d = v + int(often_t.sum()), (discount(alone + int((loads == 1).sum()), pair + int((loads == 2).sum())), discount(once, twice))
+    level, hashed, kept, samples = (tables, parents + int(often_t.sum())), contexts(list(spread)), [], []
+
+    def next_state(seat, *what):
+        nonlocal state
         with large_rows(docs.sparkSession):
-            state, last = written(state.mapInArrow(_sweep(level, v, d, sweep, sweep >= BURN_IN), STATE), "seats", LARGE), state
+            sums, last = written(told(state, homes, *what), "told"), state
+            state = written(state.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(seat, STATE), "seats", LARGE)
         forgotten(last)
-        level = totals(state)
-        samples += [level] if sweep >= BURN_IN else []
-    return Model(state, buckets, int(customers.sum()), v, d, customers, samples)
+        forgotten(sums)
+
+    for sweep in range(BURN_IN + SAMPLES):
+        next_state(_sweep(level, v, d, sweep, often_n, often_t), "t")
+        often_n = by_number(state, "seats", m)
+        often_t = seated(often_n, *_of_parent(often_t, level[1], v, d), d[0], draws(hashed, PARENT, sweep))
+        tables, parents = totals(state, "tables", "parents")
+        level = tables, parents + int(often_t.sum())
+        if sweep >= BURN_IN:
+            samples.append(level)
+            kept.append((often_n, often_t))
+    next_state(_finished, "t", "n")
+    return Model(state, buckets, homes, spread, tokens, v, d, counts, kept, samples)
 
 
 # scoring -----------------------------------------------------------------------------------------------------------------
@@ -338,52 +494,57 @@ class Words:
     """A bucket's words with their averaged predictive probabilities."""
 
     def __init__(self, row: dict | None, numbers: tuple):
-        self.tokens, self.v, d, customers, self.weight, samples = numbers
+        self.tokens, self.v, d, spread, counts, often_kept, samples = numbers
         self.words = row["words"].split(b" ") if row else []
-        size = unblob(row["sizes"], np.int32) if row else np.zeros(0, np.int32)
-        n, sums, ctx = (unblob(row[x], kind) if row else np.zeros(0, np.int64) for x, kind in (("n", np.int64), ("sums", np.int64), ("ctx", np.int16)))
-        kept = (unblob(row["kept"], np.int64) if row else np.zeros(0, np.int64)).reshape(SAMPLES, 2, len(size))
-        # the last word stands for the unknown ones
+        row = row or dict.fromkeys(("often", "sizes", "n", "sums", "ctx", "ids", "kept", "levels", "guests"), b"")
+        often, size, n, sums, ctx, self.ids, kept, levels, guests = part_of(row, "often", "sizes", "n", "sums", "ctx", "ids", "kept", "levels", "guests")
+        kept = kept.reshape(SAMPLES, 2, len(size)).copy()
+        kept[:, :, often >= 0] = often_kept[:, :, often[often >= 0]]
+        # spread words come here with contexts of which the bucket has no cell, so it knows all of them
+        others = np.setdiff1d(np.arange(len(spread)), often)
+        self.known, kept = self.words + [spread[i] for i in others.tolist()], np.concatenate((kept, often_kept[:, :, others]), 2)
+        # the last word stands for the unknown ones, the last context for those never seen
         self.p0 = np.stack([np.append(parent(k[0], k[1], s[0], s[1], self.v, d[0]), parent(np.zeros(1), np.zeros(1), s[0], s[1], self.v, d[0]))
                             for k, s in zip(kept, samples, strict=True)], 1)
+        self.weight = np.append(weights(levels.reshape(SAMPLES, len(guests)), guests, d), np.ones((1, SAMPLES)), 0)
         word = np.repeat(np.arange(len(size)), size)
-        self.c = np.append(np.bincount(word, weights=n, minlength=len(size)), 0)
-        self.cell, self.extra = word * WIDTH + ctx, (n - d[1] * sums / SAMPLES) / (STRENGTH + customers[ctx])
+        c = np.bincount(word, weights=n, minlength=len(size))
+        self.c = np.concatenate((np.where(often < 0, c, counts[often]), counts[others], [0]))
+        self.cell, self.extra = word * (len(self.ids) + 1) + ctx, (n - d[1] * sums / SAMPLES) / (STRENGTH + guests[ctx])
 
     def probability(self, word: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Of words (by place; -1 if unknown) in contexts."""
-        p = (self.p0[word] * self.weight.T[ctx]).sum(1) / SAMPLES
+        """Of words (by place; -1 if unknown) in contexts; those that this bucket does not know are taken for never seen."""
+        place = places(ctx, self.ids)
+        p = (self.p0[word] * self.weight[place]).sum(1) / SAMPLES
         if len(self.cell):
-            key = word * WIDTH + ctx
+            key = word * (len(self.ids) + 1) + place
             at = np.minimum(np.searchsorted(self.cell, key), len(self.cell) - 1)
-            p += np.where((self.cell[at] == key) & (word >= 0), self.extra[at], 0)
+            p += np.where((self.cell[at] == key) & (word >= 0) & (place >= 0), self.extra[at], 0)
         return p
 
     def base(self, word: np.ndarray) -> np.ndarray:
         return np.log10((self.c[word] + 1) / (self.tokens + self.v + 1))
 
 
-def _frequent(numbers: tuple):
-    """(word, base, log10 probability in every context) of the words of at least 1 / FREQUENT of the tokens."""
-    def run(batches):
-        import pyarrow as pa
+def weights(levels: np.ndarray, guests: np.ndarray, d: tuple[float, float]) -> np.ndarray:
+    """Weight of the parent in contexts, a column for each sample."""
+    return ((STRENGTH + d[1] * levels) / (STRENGTH + guests)).T
 
-        for batch in batches:
-            for row in one_by_one(batch):
-                model = Words(row, numbers)
-                at = np.flatnonzero(model.c[:-1] * FREQUENT >= model.tokens)
-                logs = [blob(np.log10(model.probability(np.full(WIDTH, w), np.arange(WIDTH))), np.float32) for w in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([model.words[w] for w in at.tolist()], pa.binary()), pa.array(model.base(at)), pa.array(logs, pa.binary())],
-                                                 names=["word", "base", "logs"])
-    return run
+
+def places(ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of contexts among sorted ones, -1 if they are not there."""
+    if not len(ids):
+        return np.full(len(ctx), -1)
+    at = np.minimum(np.searchsorted(ids, ctx), len(ids) - 1)
+    return np.where(ids[at] == ctx, at, -1)
 
 
-#: A text with what its frequent words add, or, packed, words of a bucket with their contexts, texts (less the first of their part) and how often.
-PART = ("row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "bucket int, first long, words binary, sizes binary, ctx binary, at binary, times binary")
+#: A text, or, packed, words of a bucket with their contexts, texts (less the first of their part) and how often.
+PART = ("row long, doc_id {id}, held_out boolean, n_tokens long, bucket int, first long, words binary, sizes binary, ctx binary, at binary, times binary")
 #: A text as above, or, packed, what the words of a bucket add to the texts of a part.
-SUMS = ("row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "first long, at binary, known binary, base binary, logs binary")
+SUMS = "row long, doc_id {id}, held_out boolean, n_tokens long, first long, at binary, known binary, base binary, logs binary"
+#: Besides, packed, the parent's probabilities of words in contexts that their bucket does not know, for the contexts' home.
+ASKED = SUMS + ", home int, ctx binary, times binary, p0 binary"
 
 
 def _rows(schema, n: int, **columns):
@@ -394,57 +555,104 @@ def _rows(schema, n: int, **columns):
     return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _packed(shared, buckets: int):
-    """A row per text, and a row per bucket with the rarer words of some texts, the part."""
+def _packed(buckets: int, spread: dict):
+    """A row per text, and a row per bucket with the words of some texts, the part."""
     def run(batches):
-        frequent, logs, base = shared.value
         for batch in batches:
             for texts in slices(batch, "text", TEXT):
-                yield from given(texts, frequent, logs, base)
+                yield from given(texts)
 
-    def given(batch, frequent, logs, base):
+    def given(batch):
         found, m, part = Found(), batch.num_rows, _arrow(PART.format(id="id"), batch.schema.field("doc_id").type)
         found.add(batch.column("text"))
-        text, word, ctx = found.tokens()
-        place = np.fromiter((frequent.get(w, -1) for w in found.numbers.words), np.int64, len(found.numbers))[word]
-        here, row = place >= 0, batch.column("row").to_numpy()
-        total = lambda x: np.bincount(text[here], weights=x, minlength=m)
+        text, word, before = found.tokens()
+        row, names = batch.column("row").to_numpy(), found.names()
         yield _rows(part, m, row=batch.column("row"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=found.sizes,
-                    n_known=total(np.ones(here.sum())).astype(np.int64), base_score=total(base[place[here]]), score=total(logs[place[here], ctx[here]]),
                     bucket=row % buckets, first=np.full(m, row[0]))
-        key, times = np.unique((word[~here] * WIDTH + ctx[~here]) * m + text[~here], return_counts=True)
-        rows = [(b, joined(words), blob(sizes, np.int32), blob(key[at] // m % WIDTH, np.int16), blob(row[key[at] % m] - row[0], np.int32), blob(times[at], np.int32))
-                for b, words, sizes, at in found.by_bucket(key // m // WIDTH, buckets)]
-        if rows:
-            yield _rows(part, len(rows), first=np.full(len(rows), row[0]), **dict(zip(("bucket", "words", "sizes", "ctx", "at", "times"), zip(*rows, strict=True), strict=True)))
+        key, times = np.unique((word * len(names) + before) * m + text, return_counts=True)
+        pair, at = key // m, row[key % m] - row[0]
+        word, ctx = pair // len(names), names[pair % len(names)]
+        rows = [(b, joined(words), blob(sizes, np.int32), blob(ctx[i], np.int64), small(at[i]), small(times[i]))
+                for b, words, sizes, i in found.by_bucket(word, ctx, names, buckets, spread)]
+        yield _rows(part, len(rows), first=np.full(len(rows), row[0]), **dict(zip(("bucket", "words", "sizes", "ctx", "at", "times"), zip(*rows, strict=True), strict=True)))
     return run
 
 
-def _scored(numbers: tuple):
-    """The rows of texts as they are, and per part what the words of this bucket add to its texts."""
+def _scored(numbers: tuple, homes: int):
+    """The rows of texts as they are, per part what the words of this bucket add to its texts, and what the homes of contexts are asked."""
     def run(left, right):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         left = left.combine_chunks()
-        schema = _arrow(SUMS.format(id="id"), left.schema.field("doc_id").type)
+        schema = _arrow(ASKED.format(id="id"), left.schema.field("doc_id").type)
         texts = left.filter(pc.is_null(left.column("words")))
+        texts = texts.select([x for x in texts.schema.names if x not in ("ctx", "at", "times")])
         out = [pa.table([texts.column(f.name) if f.name in texts.schema.names else pa.nulls(len(texts), f.type) for f in schema], schema=schema)]
         model = Words(next(one_by_one(right), None), numbers)
-        known = pa.array(model.words, pa.binary())
+        known = pa.array(model.known, pa.binary())
         for row in one_by_one(left.filter(pc.is_valid(left.column("words"))).select(["first", "words", "sizes", "ctx", "at", "times"])):
             found = pc.fill_null(pc.index_in(pa.array(row["words"].split(b" "), pa.binary()), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             word = np.repeat(found, unblob(row["sizes"], np.int32))
-            ctx, at, times = unblob(row["ctx"], np.int16), unblob(row["at"], np.int32), unblob(row["times"], np.int32)
-            texts, of = np.unique(at, return_inverse=True)
-            total = lambda x: np.bincount(of, weights=x * times, minlength=len(texts))  # noqa: B023, E731
-            sums = _rows(schema, 1, first=[row["first"]], at=[blob(texts, np.int32)], known=[blob(total(model.c[word] > 0), np.int32)],
-                         base=[blob(total(model.base(word)), float)], logs=[blob(total(np.log10(model.probability(word, ctx))), np.float32)])
-            out.append(pa.Table.from_batches([sums]))
+            ctx, at, times = unblob(row["ctx"], np.int64), unsmall(row["at"]), unsmall(row["times"])
+            here = places(ctx, model.ids) >= 0
+            logs = np.where(here, np.log10(model.probability(word, ctx)), 0)
+            added = [_sums(at, times, model.c[word] > 0, model.base(word), logs) | {"first": row["first"]}]
+            away = np.flatnonzero(~here)
+            away = away[np.argsort(ctx[away], kind="stable")]
+            added += [{"first": row["first"], "home": home, "ctx": blob(ctx[away[a:b]], np.int64), "at": small(at[away[a:b]]),
+                       "times": small(times[away[a:b]]), "p0": blob(model.p0[word[away[a:b]]], float)} for home, a, b in _by_home(ctx[away], homes)]
+            out.append(pa.Table.from_pylist(added, schema))
         return pa.concat_tables(out)
     return run
 
 
+def _sums(at: np.ndarray, times: np.ndarray, known: np.ndarray, base: np.ndarray, logs: np.ndarray) -> dict:
+    """Sums by text, packed."""
+    texts, of = np.unique(at, return_inverse=True)
+    total = lambda x: np.bincount(of, weights=x * times, minlength=len(texts))
+    return {"at": small(texts), "known": small(total(known).astype(np.int64)), "base": blob(total(base), float), "logs": blob(total(logs), np.float32)}
+
+
+#: What a home knows of its contexts, from each bucket.
+CONTEXTS = "home int, ids binary, guests binary, levels binary"
+
+
+def _contexts(homes: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in one_by_one(batch):
+                ids, guests, levels = part_of(row, "ids", "guests", "levels")
+                levels = levels.reshape(SAMPLES, -1)
+                rows = [(home, blob(ids[a:b], np.int64), small(guests[a:b]), small(levels[:, a:b])) for home, a, b in _by_home(ids, homes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_arrow(CONTEXTS))
+    return run
+
+
+def _away(d: tuple[float, float], kind: str):
+    """What words add to texts whose contexts their buckets do not know."""
+    def run(left, right):
+        import pyarrow as pa
+
+        schema = _arrow(SUMS.format(id="id"), left.schema.field("doc_id").type)
+        know = list(one_by_one(right))
+        if know:
+            ids, first = np.unique(np.concatenate([unblob(r["ids"], np.int64) for r in know]), return_index=True)
+            guests = np.concatenate([unsmall(r["guests"]) for r in know])[first]
+            levels = np.concatenate([unsmall(r["levels"]).reshape(SAMPLES, -1) for r in know], 1)[:, first]
+        else:
+            ids, guests, levels = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((SAMPLES, 0), np.int64)
+        weight, out = np.append(weights(levels, guests, d), np.ones((1, SAMPLES)), 0), []
+        for row in one_by_one(left.select(["first", "ctx", "at", "times", "p0"])):
+            p = (unblob(row["p0"], float).reshape(-1, SAMPLES) * weight[places(unblob(row["ctx"], np.int64), ids)]).sum(1) / SAMPLES
+            none = np.zeros(len(p))
+            out.append(_sums(unsmall(row["at"]), unsmall(row["times"]), none, none, np.log10(p)) | {"first": row["first"]})
+        return pa.Table.from_pylist(out, schema)
+    return run
+
+
 def _added(tokens: int):
     """The texts of a part with the sums of all buckets."""
     def run(table):
@@ -456,11 +664,12 @@ def _added(tokens: int):
         place = texts.column("row").to_numpy() - texts.column("first").to_numpy()
         order = np.argsort(place)
         size = int(place.max(initial=-1)) + 1
-        sums = {x: np.bincount(place, weights=texts.column(x).to_numpy(), minlength=size) for x in ("n_known", "base_score", "score")}
+        sums = {x: np.zeros(size) for x in ("n_known", "base_score", "score")}
         for row in one_by_one(table.filter(pc.is_valid(table.column("at"))).select(["at", "known", "base", "logs"])):
-            at = unblob(row["at"], np.int32)
-            for x, c, kind in (("n_known", "known", np.int32), ("base_score", "base", float), ("score", "logs", np.float32)):
-                sums[x][at] += unblob(row[c], kind)
+            at = unsmall(row["at"])
+            sums["n_known"][at] += unsmall(row["known"])
+            sums["base_score"][at] += unblob(row["base"], float)
+            sums["score"][at] += unblob(row["logs"], np.float32)
         keep, at = texts.take(pa.array(order)), place[order]
         return pa.table({"doc_id": keep.column("doc_id"), "held_out": keep.column("held_out"), "n_tokens": keep.column("n_tokens"), "n_known": sums["n_known"][at].astype(np.int64),
                          "train_tokens": np.full(len(at), tokens), "base_score": sums["base_score"][at], "score": sums["score"][at]})
@@ -469,14 +678,14 @@ def _added(tokens: int):
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    numbers, spark = model.numbers(), docs.sparkSession
-    with large_rows(spark):
-        often = model.state.mapInArrow(_frequent(numbers), "word binary, base double, logs binary").toArrow()
-    logs = np.frombuffer(b"".join(often.column("logs").to_pylist()), np.float32).reshape(-1, WIDTH)
-    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(often.column("word").to_pylist())}, logs, often.column("base").to_numpy()))
+    numbers = model.numbers()
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     kind = dict(rows.dtypes)["doc_id"]
-    packed = rows.mapInArrow(_packed(shared, model.buckets), PART.format(id=kind))
-    sums = packed.groupBy("bucket").cogroup(model.state.groupBy("bucket")).applyInArrow(_scored(numbers), SUMS.format(id=kind))
-    return sums.groupBy("first").applyInArrow(
+    packed = rows.mapInArrow(_packed(model.buckets, model.spread), PART.format(id=kind))
+    state = model.state.select("bucket", "words", "often", "sizes", "ids", "ctx", "n", "sums", "kept", "levels", "guests")
+    asked = written(packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_scored(numbers, model.homes), ASKED.format(id=kind)), "sums")
+    known = model.state.select("ids", "guests", "levels").mapInArrow(_contexts(model.homes), CONTEXTS)
+    sums = SUMS.format(id=kind)
+    away = asked.filter("home IS NOT NULL").groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_away(model.d, kind), sums)
+    return asked.filter("home IS NULL").select(*away.columns).unionByName(away).groupBy("first").applyInArrow(
         _added(model.tokens), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

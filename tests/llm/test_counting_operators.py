@@ -139,6 +139,32 @@ def test_lm_probabilities_sum_to_one(spark):
         assert total + buckets[0].probability(np.array([-1]), np.array([ctx]))[0] == pytest.approx(1, abs=1e-9)
 
 
+def test_lm_has_a_restaurant_for_each_word_before(spark):
+    """running and sitting end alike, so they shared one."""
+    assert len({pitman_yor.context(w) for w in (b"running", b"sitting", b"thing", b"ing")}) == 4
+    rows = [(i, "running water" if i % 2 else "sitting down") for i in range(400)]
+    model = pitman_yor.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    row, = model.state.collect()
+    words = pitman_yor.Words(row.asDict(), model.numbers())
+    at = np.array([words.words.index(b"water"), words.words.index(b"down")])
+    for before, (water, down) in ((b"running", (True, False)), (b"sitting", (False, True))):
+        p = words.probability(at, np.full(2, pitman_yor.context(before)))
+        assert (p[0] > 0.9) == water and (p[1] > 0.9) == down
+
+
+@pytest.mark.parametrize("share", [1, 1 << 12])
+def test_lm_scores_are_those_of_one_bucket(spark, monkeypatch, share):
+    """Buckets, spread words, the homes of contexts, and contexts that a bucket does not know change no score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).localCheckpoint()
+    monkeypatch.setattr(pitman_yor, "SPREAD", share)
+    monkeypatch.setattr(pitman_yor, "BUCKET", 1 << 12)
+    many = {r["doc_id"]: r["score"] for r in scored(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "BUCKET", 1 << 30)
+    monkeypatch.setattr(pitman_yor, "SPREAD", 1 << 12)
+    one = {r["doc_id"]: r["score"] for r in scored(docs).collect()}
+    assert len(one) == 60 and many == pytest.approx(one, rel=1e-5)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = entry.queries()["op12_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert 10 ** (-got[0] / got[2]) < 0.7 * 10 ** (-got[1] / got[2])
