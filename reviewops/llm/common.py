@@ -20,7 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+#: Spark's setting that a shuffle is read by one task per core at least, however little there is to read.
+PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def written(df: DataFrame, name: str, rows_per_file: int = 0, few: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder, return the stored table.
 
     The folder is ``spark.checkpoint.dir``, which every executor sees, so a
@@ -29,15 +33,21 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     file (0: any number).  Hadoop removes the folder when the application ends.
     The shuffle files of the job go when it ends, as the stored table is all
     that is read of it; they would stay until the driver collects garbage.
+    With ``few``, for short rows that cost little work, tasks read shuffles up
+    to the advisory size, so a small table is a file and not one per core: on a
+    local disk Hadoop starts two processes for each file.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    held = {SHUFFLE_CLEANUP: "true"} | ({PARALLEL_FIRST: "false"} if few else {})
+    was = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, was)
+        for key, value in was.items():
+            spark.conf.set(key, value)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)

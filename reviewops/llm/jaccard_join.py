@@ -244,17 +244,17 @@ def labels(links: DataFrame) -> DataFrame:
     """
     label, edges = None, links.select("a", "b").filter("a != b").distinct()
     while True:
-        edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+        edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", few=True)
         if label is not None and edges.isEmpty():
             return label
         up = edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up"))
         top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        up = written(_merged(up, top, "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up")
+        up = written(_merged(up, top, "up").select(F.col("a").alias("from"), F.col("top").alias("to")), "up", few=True)
         if label is None:
             label = up.select(F.col("from").alias("node"), F.col("to").alias("label"))
         else:
             on = _merged(label, up, label["label"] == up["from"], "left")
-            label = written(on.select("node", F.coalesce("to", "label").alias("label")), "label")
+            label = written(on.select("node", F.coalesce("to", "label").alias("label")), "label", few=True)
         at = lambda c: up.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}"))
         edges = _merged(_merged(edges.filter("a < b"), at("a"), "a"), at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a != b")
 
@@ -286,7 +286,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     star = runs.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = written(_bounded(star, classes, percent), "star")
     repeated = sets.groupBy("rk").count().filter("count > 1").select("rk", F.lit(True).alias("again"))
-    named = written(_merged(classes.select("node", "rk"), repeated, "rk", "left").withColumn("again", F.coalesce("again", F.lit(False))), "named")
+    named = written(_merged(classes.select("node", "rk"), repeated, "rk", "left").withColumn("again", F.coalesce("again", F.lit(False))), "named", few=True)
     needed = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     texts = _texts(rows, _merged(needed, named, "node"))
     links = written(_verified(star, texts, k, percent), "links")
@@ -302,7 +302,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
         inside = _merged(inside, asked.select("g").distinct(), "g", "left_semi")
         involved = asked.select(F.col("a").alias("node")).union(inside.select("node")).distinct()
         texts = _texts(rows, _merged(involved, named, "node"))
-        members = written(inside.select("g", F.col("node").alias("b")), "members")
+        members = written(inside.select("g", F.col("node").alias("b")), "members", few=True)
         images = written(_merged(classes.select("node", "n", *BITS), involved, "node", "left_semi"), "images")
         met, turn, most = star, 0, True
         while most:      # a few members of each group first, for one link spares the rest; as long as that settles half
@@ -310,7 +310,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             more = written(_verified(pairs, texts, k, percent), "links")
             links, met, turn = links.unionByName(more), met.unionByName(pairs), turn + 1
             group = labels(links)
-            left = written(_apart(asked, group), "asked")
+            left = written(_apart(asked, group), "asked", few=True)
             most, asked = 2 * left.count() <= asked.count() > 0, left
         opened = written(_unmet(_members(asked, members, images, percent), met), "opened")
         links = written(links.unionByName(_verified(opened, texts, k, percent)), "links")
@@ -389,7 +389,7 @@ def _qualified(cells: DataFrame, classes: DataFrame, group: DataFrame, percent:
     it: a fold of it in most columns, all of it in those of MANY groups or
     more, where a document meets so many that the fold lets too much through.
     """
-    wide = written(cells.select("token", "label").distinct().groupBy("token").count().filter(F.col("count") >= MANY).select("token"), "wide")
+    wide = written(cells.select("token", "label").distinct().groupBy("token").count().filter(F.col("count") >= MANY).select("token"), "wide", few=True)
     asked = _sharing(cells.join(wide, "token", "left_anti"), classes, FOLD, percent)
     asked = asked.unionByName(_sharing(cells.join(wide, "token", "left_semi"), classes, IMAGE, percent)).distinct()
     # the union of a group's sets as bits
@@ -409,9 +409,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     where = F.when(F.col("n_shingles") == 0, F.col("rk"))
     kept = (found.groupBy(where.alias("_alone"), F.when(where.isNull(), F.col("label")).alias("_c"))
             .agg(F.min(order).alias("m")).select(F.col("m.rk").alias("_k")))
-    kept = written(kept, "kept")
+    kept = written(kept, "kept", few=True)
     chosen = docs.withColumn("_k", row_key(F.col(doc_id), F.col(text))).join(kept, "_k", "left_semi")
-    repeated = written(found.groupBy(F.col("rk").alias("_k")).count().filter("count > 1").select("_k"), "repeats")
+    repeated = written(found.groupBy(F.col("rk").alias("_k")).count().filter("count > 1").select("_k"), "repeats", few=True)
     once = chosen.join(repeated, "_k", "left_anti")
     again = chosen.join(repeated, "_k", "left_semi").dropDuplicates(["_k"])
     return once.unionByName(again).select(*docs.columns)
