@@ -36,7 +36,7 @@ and context, and their totals, SPREAD numbers, are added up for all.  Which
 words these are is estimated on about SAMPLE bytes of text; any choice gives the
 same result.
 
-Texts are scored where the words are: their words, with context and row, go to
+Texts are scored in ROUNDS, where the words are: their words, with context and row, go to
 the buckets, and the sums come back by row.  A bucket knows the restaurants
 that hold a word of its own; for other contexts, all of them rare, the parent's
 probabilities go on to the home of the context.
@@ -70,6 +70,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOKENS, DIFFERENT = 1 << 20, 1 << 18
 #: Rows with a whole bucket that are read together.
 LARGE = 4
+#: Texts are scored in so many rounds, by hash, so that the words of one round only are on disk.
+ROUNDS = 4
 #: Bytes of text that a task looks at together.
 TEXT = 1 << 21
 
@@ -679,11 +681,15 @@ def _added(tokens: int):
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     numbers = model.numbers()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    kind = dict(rows.dtypes)["doc_id"]
-    packed = rows.mapInArrow(_packed(model.buckets, model.spread), PART.format(id=kind))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text"))
+    kind, asked = dict(rows.dtypes)["doc_id"], None
     state = model.state.select("bucket", "words", "often", "sizes", "ids", "ctx", "n", "sums", "kept", "levels", "guests")
-    asked = written(packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_scored(numbers, model.homes), ASKED.format(id=kind)), "sums")
+    for i in range(ROUNDS):
+        # rows are numbered within a round: the remainder tells the rounds apart
+        some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i).withColumn("row", F.monotonically_increasing_id() * ROUNDS + i)
+        packed = some.mapInArrow(_packed(model.buckets, model.spread), PART.format(id=kind))
+        part = written(packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_scored(numbers, model.homes), ASKED.format(id=kind)), "sums")
+        asked = asked.unionByName(part) if asked is not None else part
     known = model.state.select("ids", "guests", "levels").mapInArrow(_contexts(model.homes), CONTEXTS)
     sums = SUMS.format(id=kind)
     away = asked.filter("home IS NOT NULL").groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_away(model.d, kind), sums)
