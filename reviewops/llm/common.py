@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0, few: bool = False)
     that is read of it; they would stay until the driver collects garbage.
     With ``few``, for short rows that cost little work, tasks read shuffles up
     to the advisory size, so a small table is a file and not one per core: on a
-    local disk Hadoop starts two processes for each file.
+    local disk Hadoop starts processes for each file.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
