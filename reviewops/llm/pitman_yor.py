@@ -50,6 +50,7 @@ looked at.
 
 from __future__ import annotations
 
+import itertools
 from contextlib import contextmanager
 
 import numpy as np
@@ -59,7 +60,7 @@ from pyspark.sql import functions as F
 from reviewops.llm.common import WORD_CHARS, forgotten, mix64, text_of, written
 from reviewops.llm.words import Numbering, numbered, runs, slices
 
-SPREAD, SAMPLE, BUCKET, FAN = 1 << 12, 1 << 24, 1 << 22, 64
+SPREAD, SAMPLE, BUCKET = 1 << 12, 1 << 24, 1 << 22
 STRENGTH, BURN_IN, SAMPLES, STEP = 1.0, 2, 3, 16
 #: Names of the start of a text and, for draws, of the parent, as contexts.
 START, PARENT = 0, -1
@@ -71,9 +72,9 @@ TOKENS, DIFFERENT = 1 << 20, 1 << 18
 #: Rows with a whole bucket that are read together.
 LARGE = 4
 #: Texts are scored in so many rounds, by hash, so that the words of one round only are on disk.
-ROUNDS = 4
+ROUNDS = 3
 #: Bytes of text that a task looks at together.
-TEXT = 1 << 21
+TEXT = 1 << 23
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -103,14 +104,21 @@ def unblob(value: bytes, kind) -> np.ndarray:
 
 
 def small(values) -> bytes:
-    """Numbers from 0, in as many bytes each as the largest needs; the first byte tells how many."""
+    """Numbers from 0, in as many bytes each as the largest needs; the first byte tells how many.
+
+    First come the lowest bytes of all, then the next ones: most are zeros there, which files and shuffles compress well.
+    """
     values = np.asarray(values)
     kind = np.min_scalar_type(int(values.max(initial=0)))
-    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+    data = np.ascontiguousarray(values.reshape(-1), kind.newbyteorder("<"))
+    return bytes([kind.itemsize]) + data.view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
 
 
 def unsmall(value: bytes) -> np.ndarray:
-    return np.frombuffer(value[1:], f"u{value[0]}").astype(np.int64) if value else np.zeros(0, np.int64)
+    if not value:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(value, np.uint8, offset=1).reshape(value[0], -1)
+    return np.ascontiguousarray(data.T).view(f"<u{value[0]}").reshape(-1).astype(np.int64)
 
 
 def joined(words: list[bytes]) -> bytes:
@@ -124,6 +132,11 @@ def one_by_one(table):
         yield table.slice(i, 1).to_pylist()[0]
 
 
+def listed(table, *names: str):
+    """Columns of an Arrow table of many short rows, row by row."""
+    return zip(*(table.column(x).to_pylist() for x in names), strict=True)
+
+
 class Found:
     """Tokens of texts as numbers: what a task holds before it gives counts or cells."""
 
@@ -231,49 +244,75 @@ def merged(table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), np.bincount(word[at]), ctx[at], np.add.reduceat(n[order], at)
 
 
-def _merge(table):
-    import pyarrow as pa
-
-    words, sizes, ctx, n = merged(table)
-    row = table.column("bucket")[0].as_py(), table.column("part")[0].as_py(), joined(words), blob(sizes, np.int32), blob(ctx, np.int64), small(n)
-    return pa.table([pa.array([x]) for x in row], schema=_arrow(CELLS))
-
-
 #: A bucket: words, their numbers among the spread ones (or -1), how many contexts; names of all its contexts; of each cell its
-#: context's place, customers and tables; tables in the parent; tables summed over the samples; (n, t) in the parent and tables of the
-#: contexts in each sample, customers of the contexts; and for the totals: words, cells and words that have one and two customers, tables
-#: and those in the parent, without spread words; customers, contexts and tables of these.
-STATE = ("bucket int, words binary, often binary, sizes binary, ids binary, ctx binary, n binary, t binary, t0 binary, sums binary, "
-         "kept binary, levels binary, guests binary, v long, once long, twice long, alone long, pair long, tokens long, tables long, parents long, "
-         "counts array<long>, loads array<long>, seats array<long>")
-KINDS = {"often": np.int32, "sizes": np.int32, "ids": np.int64, "ctx": np.int32}
+#: context's place and customers; tables summed over the samples; (n, t) in the parent and tables of the contexts in each sample,
+#: customers of the contexts; and for the totals: words, cells and words that have one and two customers, tokens, cells and words
+#: without spread ones; customers and contexts of these.
+STATE = ("bucket int, words binary, often binary, sizes binary, ids binary, ctx binary, n binary, sums binary, kept binary, levels binary, "
+         "guests binary, v long, once long, twice long, alone long, pair long, tokens long, tables long, parents long, "
+         "counts array<long>, loads array<long>")
+#: What a sweep may change of a bucket.  Words (``warm``) that are spread or have more than one customer: their hashes, numbers among
+#: the spread ones, cells of one customer, which have one table always, and cells of more; tables in the parent.  Names of the
+#: contexts of these cells and how many cells they have in all buckets; of each cell its context's place, customers and tables; over
+#: the samples sums of tables, (n, t) in the parent, and by context the tables here beyond one a cell.  Tables, also of the cells and
+#: words left out, and those of spread words.
+SEATS = ("bucket int, hashes binary, often binary, single binary, sizes binary, t0 binary, ids binary, cells binary, ctx binary, n binary, "
+         "t binary, sums binary, kept binary, beyond binary, others long, strangers long, tables long, parents long, seats array<long>")
+KINDS = {"often": np.int32, "sizes": np.int32, "ids": np.int64, "ctx": np.int32, "hashes": np.int64}
 
 
 def part_of(row: dict, *names: str):
     return (unblob(row[x], KINDS[x]) if x in KINDS else unsmall(row[x]) for x in names)
 
 
-def _state(rows: list[dict]):
+def _table(ddl: str, rows: list[dict]):
     import pyarrow as pa
 
-    schema = _arrow(STATE)
+    schema = _arrow(ddl)
     return pa.table([pa.array([row[f.name] for row in rows], f.type) for f in schema], schema=schema)
 
 
 def _opening(spread: dict):
-    """The first seating of a bucket: one table for each word in each context."""
+    """A bucket's words with their contexts and customers."""
     def run(table):
         words, sizes, names, n = merged(table)
         ids, ctx = np.unique(names, return_inverse=True)
         often = np.fromiter((spread.get(w, -1) for w in words), np.int32, len(words))
-        own, one = often < 0, np.ones(len(n), np.int64)
+        own = often < 0
         total = lambda x: _by_number(often, np.add.reduceat(x, np.cumsum(sizes) - sizes), len(spread))
-        return _state([{
+        return _table(STATE, [{
             "bucket": table.column("bucket")[0].as_py(), "words": joined(words), "often": blob(often, np.int32),
-            "sizes": blob(sizes, np.int32), "ids": blob(ids, np.int64), "ctx": blob(ctx, np.int32), "n": small(n), "t": small(one),
-            "t0": small(own.astype(int)), "sums": small(0 * one), "kept": b"", "levels": b"", "guests": b"", "v": int(own.sum()),
+            "sizes": blob(sizes, np.int32), "ids": blob(ids, np.int64), "ctx": blob(ctx, np.int32), "n": small(n),
+            "sums": b"", "kept": b"", "levels": b"", "guests": b"", "v": int(own.sum()),
             "once": int((n == 1).sum()), "twice": int((n == 2).sum()), "alone": int((sizes[own] == 1).sum()), "pair": int((sizes[own] == 2).sum()),
-            "tokens": int(n.sum()), "tables": len(n), "parents": int(own.sum()), "counts": total(n), "loads": total(one), "seats": total(one)}])
+            "tokens": int(n.sum()), "tables": len(n), "parents": int(own.sum()), "counts": total(n), "loads": total(np.ones(len(n), np.int64))}])
+    return run
+
+
+def _split(often: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word of each cell, cells of more than one customer, words' numbers of the other cells, words that a sweep looks at)."""
+    word = np.repeat(np.arange(len(size)), size)
+    crowd = np.flatnonzero(n > 1)
+    single = size - np.bincount(word[crowd], minlength=len(size))
+    return word, crowd, single, (often >= 0) | (size > 1) | (single < size)
+
+
+def _first_seats(width: int):
+    """The first seating of a bucket: one table for each word in each context."""
+    def run(batches):
+        for batch in batches:
+            for row in one_by_one(batch):
+                often, size, ids, ctx, n = part_of(row, "often", "sizes", "ids", "ctx", "n")
+                word, crowd, single, warm = _split(often, size, n)
+                some, place = np.unique(ctx[crowd], return_inverse=True)
+                own, one = often[warm] < 0, np.ones(len(crowd), np.int64)
+                hashes = contexts(list(itertools.compress(row["words"].split(b" "), warm.tolist())))
+                yield from _table(SEATS, [{
+                    "bucket": row["bucket"], "hashes": blob(hashes, np.int64), "often": blob(often[warm], np.int32), "single": small(single[warm]),
+                    "sizes": blob((size - single)[warm], np.int32), "t0": small(own.astype(int)), "ids": blob(ids[some], np.int64), "cells": b"",
+                    "ctx": blob(place, np.int32), "n": small(n[crowd]), "t": small(one), "sums": small(0 * one), "kept": b"", "beyond": b"",
+                    "others": len(n) - len(crowd), "strangers": int((~warm).sum()), "tables": len(n), "parents": int((often < 0).sum()),
+                    "seats": _by_number(often, size, width)}]).to_batches()
     return run
 
 
@@ -286,7 +325,7 @@ def _by_number(often: np.ndarray, x: np.ndarray, width: int) -> np.ndarray:
 
 # totals by context
 
-SENT, TOLD = "home int, bucket int, ids binary, x binary", "bucket int, home int, x binary"
+SENT, TOLD = "home int, bucket int, asks boolean, ids binary, x binary", "bucket int, home int, x binary"
 
 
 def homes_of(ids: np.ndarray, homes: int) -> np.ndarray:
@@ -301,41 +340,74 @@ def _by_home(ids: np.ndarray, homes: int):
     return zip(home[first].tolist(), first, [*first, len(ids)][1:], strict=True)
 
 
-def _sent(what: tuple[str, ...], homes: int):
-    """What a bucket holds of each of its contexts, to their homes."""
+def _sent(gives, asks: bool, homes: int):
+    """What a bucket holds of each of its contexts, to their homes; it may ask for the totals."""
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for row in one_by_one(batch):
-                ids, ctx, *cells = part_of(row, "ids", "ctx", *what)
-                x = np.stack([np.bincount(ctx, weights=c, minlength=len(ids)).astype(np.int64) for c in cells])
-                rows = [(home, row["bucket"], blob(ids[a:b], np.int64), small(x[:, a:b])) for home, a, b in _by_home(ids, homes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_arrow(SENT))
+                ids, x = unblob(row["ids"], np.int64), gives(row)
+                rows = [{"home": home, "bucket": row["bucket"], "asks": asks, "ids": blob(ids[a:b], np.int64), "x": small(x[:, a:b])} for home, a, b in _by_home(ids, homes)]
+                yield from _table(SENT, rows).to_batches()
     return run
 
 
 def _summed(table):
-    """The totals of a home's contexts, to the buckets that sent some."""
+    """The totals of a home's contexts, to the buckets that asked for them."""
     import pyarrow as pa
 
     ids = [unblob(x, np.int64) for x in table.column("ids").to_pylist()]
     x = np.concatenate([unsmall(x).reshape(-1, len(i)) for x, i in zip(table.column("x").to_pylist(), ids, strict=True)], 1)
     _, place = np.unique(np.concatenate(ids), return_inverse=True)
-    total = np.stack([np.bincount(place, weights=c).astype(np.int64) for c in x])[:, place]
-    parts = np.split(total, np.cumsum([len(i) for i in ids])[:-1], 1)
-    return pa.table([table.column("bucket"), table.column("home"), pa.array([small(x) for x in parts], pa.binary())], schema=_arrow(TOLD))
+    total = np.stack([np.bincount(place, weights=c).astype(np.int64) for c in x])
+    asks = table.column("asks")
+    parts = [small(total[:, at]) for at, a in zip(np.split(place, np.cumsum([len(i) for i in ids])[:-1]), asks.to_pylist(), strict=True) if a]
+    table = table.filter(asks)
+    return pa.table([table.column("bucket"), table.column("home"), pa.array(parts, pa.binary())], schema=_arrow(TOLD))
+
 
+def sent(df: DataFrame, gives, homes: int, *what: str, asks: bool = True) -> DataFrame:
+    """Messages of buckets to the homes of their contexts."""
+    return df.select("bucket", "ids", *what).mapInArrow(_sent(gives, asks, homes), SENT)
 
-def told(state: DataFrame, homes: int, *what: str) -> DataFrame:
-    """For each bucket the sums of columns of cells over all buckets, by context: a row per home."""
-    return state.select("bucket", "ids", "ctx", *what).mapInArrow(_sent(what, homes), SENT).groupBy("home").applyInArrow(_summed, TOLD)
+
+def told(messages: DataFrame) -> DataFrame:
+    """For each bucket that asks, the sums over all buckets, by context: a row per home."""
+    return messages.groupBy("home").applyInArrow(_summed, TOLD)
 
 
 def heard(table, width: int) -> np.ndarray:
     """What a bucket was told: a column for each of its contexts, in their order."""
     rows = sorted(zip(table.column("home").to_pylist(), table.column("x").to_pylist(), strict=True))
-    return np.concatenate([unsmall(x).reshape(width, -1) for _, x in rows], 1)
+    return np.concatenate([np.zeros((width, 0), np.int64), *(unsmall(x).reshape(width, -1) for _, x in rows)], 1)
+
+
+# what buckets give
+
+def _by_context(row: dict, *weights: np.ndarray | None) -> np.ndarray:
+    ids, ctx = part_of(row, "ids", "ctx")
+    return np.stack([np.bincount(ctx, weights=w, minlength=len(ids)).astype(np.int64) for w in weights])
+
+
+def _cells_here(row: dict) -> np.ndarray:
+    return _by_context(row, None)
+
+
+def _nothing(row: dict) -> np.ndarray:
+    return np.zeros((1, len(row["ids"]) // 8), np.int64)
+
+
+def _beyond(row: dict) -> np.ndarray:
+    """Tables beyond one a cell."""
+    return _by_context(row, unsmall(row["t"]) - 1)
+
+
+def _samples_beyond(row: dict) -> np.ndarray:
+    beyond = unsmall(row["beyond"]).reshape(SAMPLES, -1)
+    return np.append(beyond, np.zeros((1, beyond.shape[1]), np.int64), 0)
+
+
+def _cells_and_guests(row: dict) -> np.ndarray:
+    return _by_context(row, *[None] * SAMPLES, unsmall(row["n"]))
 
 
 # seating
@@ -371,28 +443,29 @@ def parent(n: np.ndarray, t: np.ndarray, customers: np.ndarray | int, tables: in
 def _sweep(level: tuple, v: int, d: tuple[float, float], sweep: int, often_n: np.ndarray, often_t: np.ndarray):
     """Buckets seated again, given the totals after the last sweep, those of the parent's spread words too.
 
-    In samples, tables are added to the sums and the parent's (n, t) to those kept; the contexts' tables are those after the last sweep.
+    In samples, tables are added to the sums, and the parent's (n, t) and the contexts' tables to those kept.
     """
     def run(left, right):
         customers, parents = level
         row, tables = next(one_by_one(left)), heard(right, 1)[0]
-        if sweep > BURN_IN:
-            row["levels"] = more(row["levels"], tables)
-        often, size, ids, ctx, n, t, t0 = part_of(row, "often", "sizes", "ids", "ctx", "n", "t", "t0")
-        hashed = contexts(row["words"].split(b" "))
-        word, starts, own = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size, often < 0
-        n0 = np.where(own, np.add.reduceat(t, starts), often_n[often])
-        at = np.flatnonzero(n > 1)                                       # one customer has one table
-        word, ctx, before, cut = word[at], ctx[at], t[at], np.where(own, t0, often_t[often])
-        rest = n0[word] - before                                         # customers that other contexts send to the parent
-        p = parent(rest, np.minimum(cut[word], rest), customers - before, parents, v, d[0])
-        t[at] = seated(n[at], (STRENGTH + d[1] * (tables[ctx] - before)) * p, p, d[1], draws(hashed[word], ids[ctx], sweep))
-        n0 = np.add.reduceat(t, starts)
+        if sweep:
+            tables = unsmall(row["cells"]) + tables
+        else:
+            row["cells"] = small(tables)
+        hashed, often, single, size, ids, ctx, n, t, t0 = part_of(row, "hashes", "often", "single", "sizes", "ids", "ctx", "n", "t", "t0")
+        word, own = np.repeat(np.arange(len(size)), size), often < 0
+        n_of = lambda t: single + np.bincount(word, weights=t, minlength=len(size)).astype(np.int64)
+        n0, cut = np.where(own, n_of(t), often_n[often]), np.where(own, t0, often_t[often])
+        rest = n0[word] - t                                              # customers that other contexts send to the parent
+        p = parent(rest, np.minimum(cut[word], rest), customers - t, parents, v, d[0])
+        t = seated(n, (STRENGTH + d[1] * (tables[ctx] - t)) * p, p, d[1], draws(hashed[word], ids[ctx], sweep))
+        n0 = n_of(t)
         t0 = np.where(own, seated(np.where(own, n0, 0), *_of_parent(t0, parents, v, d), d[0], draws(hashed, PARENT, sweep)), 0)
-        row |= {"t": small(t), "t0": small(t0), "tables": int(t.sum()), "parents": int(t0.sum()), "seats": _by_number(often, n0, len(often_n))}
+        row |= {"t": small(t), "t0": small(t0), "tables": int(t.sum()) + row["others"], "parents": int(t0.sum()) + row["strangers"],
+                "seats": _by_number(often, n0, len(often_n))}
         if sweep >= BURN_IN:
-            row |= {"sums": small(unsmall(row["sums"]) + t), "kept": more(row["kept"], np.where(own, n0, 0), t0)}
-        return _state([row])
+            row |= {"sums": small(unsmall(row["sums"]) + t), "kept": more(row["kept"], np.where(own, n0, 0), t0), "beyond": more(row["beyond"], _beyond(row)[0])}
+        return _table(SEATS, [row])
     return run
 
 
@@ -406,10 +479,22 @@ def more(value: bytes, *arrays: np.ndarray) -> bytes:
     return small(np.concatenate((unsmall(value), *arrays)))
 
 
+#: In place of a home, what else a bucket is told at the end.
+SUMS_HERE, KEPT_HERE = -1, -2
+
+
 def _finished(left, right):
-    """The contexts' tables after the last sweep, and their customers."""
-    row, (tables, guests) = next(one_by_one(left)), heard(right, 2)
-    return _state([row | {"levels": more(row["levels"], tables), "guests": small(guests)}])
+    """What the sweeps left, for all cells, words and contexts of a bucket."""
+    row, found = next(one_by_one(left)), dict(listed(right, "home", "x"))
+    often, size, n = part_of(row, "often", "sizes", "n")
+    _, crowd, _, warm = _split(often, size, n)
+    sums, kept = np.full(len(n), SAMPLES), np.ones((SAMPLES, 2, len(size)), np.int64)
+    sums[crowd] = unsmall(found[SUMS_HERE])
+    kept[:, :, warm] = unsmall(found[KEPT_HERE]).reshape(SAMPLES, 2, -1)
+    import pyarrow.compute as pc
+
+    totals = heard(right.filter(pc.greater_equal(right.column("home"), 0)), SAMPLES + 1)
+    return _table(STATE, [row | {"sums": small(sums), "kept": small(kept), "levels": small(totals[:SAMPLES]), "guests": small(totals[SAMPLES])}])
 
 
 @contextmanager
@@ -458,35 +543,38 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, spread = 1 + size // BUCKET, spread_words(docs, size)
     homes, m = 1 + buckets // 4, len(spread)
-    cells, parts = docs.mapInArrow(_cells(buckets, spread), CELLS), buckets
-    while parts > FAN:
-        parts = -(-parts // FAN)
-        cells = cells.withColumn("part", F.col("part") % parts).groupBy("bucket", "part").applyInArrow(_merge, CELLS)
-    state = written(cells.groupBy("bucket").applyInArrow(_opening(spread), STATE), "seats", LARGE)
+    cells = docs.mapInArrow(_cells(buckets, spread), CELLS)
+    state = written(cells.groupBy("bucket").applyInArrow(_opening(spread), STATE), "state", LARGE)
     v, once, twice, alone, pair, tokens, tables, parents = totals(state, "v", "once", "twice", "alone", "pair", "tokens", "tables", "parents")
-    counts, loads, often_n = (by_number(state, x, m) for x in ("counts", "loads", "seats"))
+    counts, loads = (by_number(state, x, m) for x in ("counts", "loads"))
+    often_n = loads
     often_t = np.minimum(loads, 1)
     v, d = v + int(often_t.sum()), (discount(alone + int((loads == 1).sum()), pair + int((loads == 2).sum())), discount(once, twice))
     level, hashed, kept, samples = (tables, parents + int(often_t.sum())), contexts(list(spread)), [], []
 
-    def next_state(seat, *what):
-        nonlocal state
+    def next_of(what, last, messages, run, kind):
         with large_rows(docs.sparkSession):
-            sums, last = written(told(state, homes, *what), "told"), state
-            state = written(state.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(seat, STATE), "seats", LARGE)
+            found = written(last.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, kind), what, LARGE)
         forgotten(last)
-        forgotten(sums)
+        return found
 
+    with large_rows(docs.sparkSession):
+        seats = written(state.select("bucket", "words", "often", "sizes", "ids", "ctx", "n").mapInArrow(_first_seats(m), SEATS), "seats", LARGE)
+    messages = sent(state, _cells_here, homes, "ctx", asks=False).unionByName(sent(seats, _nothing, homes))
     for sweep in range(BURN_IN + SAMPLES):
-        next_state(_sweep(level, v, d, sweep, often_n, often_t), "t")
-        often_n = by_number(state, "seats", m)
+        seats = next_of("seats", seats, told(messages), _sweep(level, v, d, sweep, often_n, often_t), SEATS)
+        messages = sent(seats, _beyond, homes, "ctx", "t")
+        often_n = by_number(seats, "seats", m)
         often_t = seated(often_n, *_of_parent(often_t, level[1], v, d), d[0], draws(hashed, PARENT, sweep))
-        tables, parents = totals(state, "tables", "parents")
+        tables, parents = totals(seats, "tables", "parents")
         level = tables, parents + int(often_t.sum())
         if sweep >= BURN_IN:
             samples.append(level)
             kept.append((often_n, often_t))
-    next_state(_finished, "t", "n")
+    messages = sent(state, _cells_and_guests, homes, "ctx", "n").unionByName(sent(seats, _samples_beyond, homes, "beyond", asks=False))
+    here = [seats.select("bucket", F.lit(home).alias("home"), F.col(x).alias("x")) for home, x in ((SUMS_HERE, "sums"), (KEPT_HERE, "kept"))]
+    state = next_of("state", state, told(messages).unionByName(here[0]).unionByName(here[1]), _finished, STATE)
+    forgotten(seats)
     return Model(state, buckets, homes, spread, tokens, v, d, counts, kept, samples)
 
 
@@ -541,12 +629,14 @@ def places(ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(ids[at] == ctx, at, -1)
 
 
-#: A text, or, packed, words of a bucket with their contexts, texts (less the first of their part) and how often.
-PART = ("row long, doc_id {id}, held_out boolean, n_tokens long, bucket int, first long, words binary, sizes binary, ctx binary, at binary, times binary")
+#: A text, or, packed, words of a bucket with their contexts, in how many texts of a part they are, these (less the first of their part) and
+#: how often.
+PART = ("row long, doc_id {id}, held_out boolean, n_tokens long, bucket int, first long, words binary, sizes binary, ctx binary, texts binary, at binary, times binary")
 #: A text as above, or, packed, what the words of a bucket add to the texts of a part.
 SUMS = "row long, doc_id {id}, held_out boolean, n_tokens long, first long, at binary, known binary, base binary, logs binary"
-#: Besides, packed, the parent's probabilities of words in contexts that their bucket does not know, for the contexts' home.
-ASKED = SUMS + ", home int, ctx binary, times binary, p0 binary"
+#: Besides, packed, the parent's probabilities of words in contexts that their bucket does not know, for the contexts' home; the parts of
+#: their texts and how many pairs of word and context are of each.
+ASKED = SUMS + ", home int, firsts binary, sizes binary, ctx binary, texts binary, times binary, p0 binary"
 
 
 def _rows(schema, n: int, **columns):
@@ -573,13 +663,21 @@ def _packed(buckets: int, spread: dict):
                     bucket=row % buckets, first=np.full(m, row[0]))
         key, times = np.unique((word * len(names) + before) * m + text, return_counts=True)
         pair, at = key // m, row[key % m] - row[0]
-        word, ctx = pair // len(names), names[pair % len(names)]
-        rows = [(b, joined(words), blob(sizes, np.int32), blob(ctx[i], np.int64), small(at[i]), small(times[i]))
-                for b, words, sizes, i in found.by_bucket(word, ctx, names, buckets, spread)]
-        yield _rows(part, len(rows), first=np.full(len(rows), row[0]), **dict(zip(("bucket", "words", "sizes", "ctx", "at", "times"), zip(*rows, strict=True), strict=True)))
+        first = runs(pair)
+        texts, pair = np.diff(np.append(first, len(pair))), pair[first]
+        word, ctx, rows = pair // len(names), names[pair % len(names)], []
+        for b, words, sizes, i in found.by_bucket(word, ctx, names, buckets, spread):
+            j = ranges(first[i], texts[i])
+            rows.append((b, joined(words), blob(sizes, np.int32), blob(ctx[i], np.int64), small(texts[i]), small(at[j]), small(times[j])))
+        yield _rows(part, len(rows), first=np.full(len(rows), row[0]), **dict(zip(("bucket", "words", "sizes", "ctx", "texts", "at", "times"), zip(*rows, strict=True), strict=True)))
     return run
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs, one run after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 def _scored(numbers: tuple, homes: int):
     """The rows of texts as they are, per part what the words of this bucket add to its texts, and what the homes of contexts are asked."""
     def run(left, right):
@@ -589,30 +687,53 @@ def _scored(numbers: tuple, homes: int):
         left = left.combine_chunks()
         schema = _arrow(ASKED.format(id="id"), left.schema.field("doc_id").type)
         texts = left.filter(pc.is_null(left.column("words")))
-        texts = texts.select([x for x in texts.schema.names if x not in ("ctx", "at", "times")])
-        out = [pa.table([texts.column(f.name) if f.name in texts.schema.names else pa.nulls(len(texts), f.type) for f in schema], schema=schema)]
+        plain = ("row", "doc_id", "held_out", "n_tokens", "first")
+        out = [pa.table([texts.column(f.name) if f.name in plain else pa.nulls(len(texts), f.type) for f in schema], schema=schema)]
         model = Words(next(one_by_one(right), None), numbers)
-        known = pa.array(model.known, pa.binary())
-        for row in one_by_one(left.filter(pc.is_valid(left.column("words"))).select(["first", "words", "sizes", "ctx", "at", "times"])):
-            found = pc.fill_null(pc.index_in(pa.array(row["words"].split(b" "), pa.binary()), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            word = np.repeat(found, unblob(row["sizes"], np.int32))
-            ctx, at, times = unblob(row["ctx"], np.int64), unsmall(row["at"]), unsmall(row["times"])
-            here = places(ctx, model.ids) >= 0
-            logs = np.where(here, np.log10(model.probability(word, ctx)), 0)
-            added = [_sums(at, times, model.c[word] > 0, model.base(word), logs) | {"first": row["first"]}]
-            away = np.flatnonzero(~here)
-            away = away[np.argsort(ctx[away], kind="stable")]
-            added += [{"first": row["first"], "home": home, "ctx": blob(ctx[away[a:b]], np.int64), "at": small(at[away[a:b]]),
-                       "times": small(times[away[a:b]]), "p0": blob(model.p0[word[away[a:b]]], float)} for home, a, b in _by_home(ctx[away], homes)]
-            out.append(pa.Table.from_pylist(added, schema))
+        known, names = pa.array(model.known, pa.binary()), ["first", "words", "sizes", "ctx", "texts", "at", "times"]
+        packed, pieces, held = left.filter(pc.is_valid(left.column("words"))).select(names), [], 0
+        for row in listed(packed, *names):
+            pieces.append(row)
+            held += len(row[3]) // 8
+            if held >= TOKENS:
+                out.append(pa.Table.from_pylist(list(added(model, known, pieces)), schema))
+                pieces, held = [], 0
+        if pieces:
+            out.append(pa.Table.from_pylist(list(added(model, known, pieces)), schema))
         return pa.concat_tables(out)
+
+    def added(model, known, pieces):
+        """Of some parts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        firsts, words, sizes, ctx, texts, at, times = zip(*pieces, strict=True)
+        found = pc.index_in(pa.array([w for x in words for w in x.split(b" ")], pa.binary()), value_set=known)
+        found = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.repeat(found, np.concatenate([unblob(x, np.int32) for x in sizes]))
+        pairs, ctx = [len(x) // 8 for x in ctx], unblob(b"".join(ctx), np.int64)
+        texts, at, times = ([unsmall(x) for x in column] for column in (texts, at, times))
+        here = places(ctx, model.ids) >= 0
+        logs, base, c = np.where(here, np.log10(model.probability(word, ctx)), 0), model.base(word), model.c[word] > 0
+        end = np.cumsum(pairs).tolist()
+        for first, a, b, k, i, x in zip(firsts, [0, *end], end, texts, at, times, strict=False):
+            yield _sums(i, x, *(np.repeat(y[a:b], k) for y in (c, base, logs))) | {"first": first}
+        away = np.flatnonzero(~here)
+        away = away[np.argsort(homes_of(ctx[away], homes), kind="stable")]
+        part, texts, at, times = np.repeat(np.arange(len(firsts)), pairs), *(np.concatenate(x) for x in (texts, at, times))
+        start = np.cumsum(texts) - texts
+        for home, a, b in _by_home(ctx[away], homes):
+            i = away[a:b]
+            j, own = ranges(start[i], texts[i]), runs(part[i])
+            yield {"home": home, "firsts": blob(np.array(firsts)[part[i[own]]], np.int64), "sizes": blob(np.diff(np.append(own, len(i))), np.int32),
+                   "ctx": blob(ctx[i], np.int64), "texts": small(texts[i]), "at": small(at[j]), "times": small(times[j]), "p0": blob(model.p0[word[i]], float)}
     return run
 
 
 def _sums(at: np.ndarray, times: np.ndarray, known: np.ndarray, base: np.ndarray, logs: np.ndarray) -> dict:
     """Sums by text, packed."""
-    texts, of = np.unique(at, return_inverse=True)
-    total = lambda x: np.bincount(of, weights=x * times, minlength=len(texts))
+    texts = np.flatnonzero(np.bincount(at))
+    total = lambda x: np.bincount(at, weights=x * times)[texts]
     return {"at": small(texts), "known": small(total(known).astype(np.int64)), "base": blob(total(base), float), "logs": blob(total(logs), np.float32)}
 
 
@@ -639,6 +760,8 @@ def _away(d: tuple[float, float], kind: str):
         import pyarrow as pa
 
         schema = _arrow(SUMS.format(id="id"), left.schema.field("doc_id").type)
+        if not len(left):
+            return schema.empty_table()
         know = list(one_by_one(right))
         if know:
             ids, first = np.unique(np.concatenate([unblob(r["ids"], np.int64) for r in know]), return_index=True)
@@ -646,11 +769,16 @@ def _away(d: tuple[float, float], kind: str):
             levels = np.concatenate([unsmall(r["levels"]).reshape(SAMPLES, -1) for r in know], 1)[:, first]
         else:
             ids, guests, levels = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((SAMPLES, 0), np.int64)
-        weight, out = np.append(weights(levels, guests, d), np.ones((1, SAMPLES)), 0), []
-        for row in one_by_one(left.select(["first", "ctx", "at", "times", "p0"])):
-            p = (unblob(row["p0"], float).reshape(-1, SAMPLES) * weight[places(unblob(row["ctx"], np.int64), ids)]).sum(1) / SAMPLES
-            none = np.zeros(len(p))
-            out.append(_sums(unsmall(row["at"]), unsmall(row["times"]), none, none, np.log10(p)) | {"first": row["first"]})
+        weight = np.append(weights(levels, guests, d), np.ones((1, SAMPLES)), 0)
+        firsts, sizes, ctx, texts, at, times, p0 = zip(*listed(left, "firsts", "sizes", "ctx", "texts", "at", "times", "p0"), strict=True)
+        p = (unblob(b"".join(p0), float).reshape(-1, SAMPLES) * weight[places(unblob(b"".join(ctx), np.int64), ids)]).sum(1) / SAMPLES
+        texts, at, times = (np.concatenate([unsmall(x) for x in column]) for column in (texts, at, times))
+        first = np.repeat(np.repeat(unblob(b"".join(firsts), np.int64), unblob(b"".join(sizes), np.int32)), texts)
+        logs, order = np.repeat(np.log10(p), texts), np.argsort(first, kind="stable")
+        own, out = runs(first[order]), []
+        for i in np.split(order, own[1:]):
+            none = np.zeros(len(i))
+            out.append(_sums(at[i], times[i], none, none, logs[i]) | {"first": int(first[i[0]])})
         return pa.Table.from_pylist(out, schema)
     return run
 
@@ -667,11 +795,11 @@ def _added(tokens: int):
         order = np.argsort(place)
         size = int(place.max(initial=-1)) + 1
         sums = {x: np.zeros(size) for x in ("n_known", "base_score", "score")}
-        for row in one_by_one(table.filter(pc.is_valid(table.column("at"))).select(["at", "known", "base", "logs"])):
-            at = unsmall(row["at"])
-            sums["n_known"][at] += unsmall(row["known"])
-            sums["base_score"][at] += unblob(row["base"], float)
-            sums["score"][at] += unblob(row["logs"], np.float32)
+        for at, known, base, logs in listed(table.filter(pc.is_valid(table.column("at"))), "at", "known", "base", "logs"):
+            at = unsmall(at)
+            sums["n_known"][at] += unsmall(known)
+            sums["base_score"][at] += unblob(base, float)
+            sums["score"][at] += unblob(logs, np.float32)
         keep, at = texts.take(pa.array(order)), place[order]
         return pa.table({"doc_id": keep.column("doc_id"), "held_out": keep.column("held_out"), "n_tokens": keep.column("n_tokens"), "n_known": sums["n_known"][at].astype(np.int64),
                          "train_tokens": np.full(len(at), tokens), "base_score": sums["base_score"][at], "score": sums["score"][at]})
@@ -682,16 +810,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     numbers = model.numbers()
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_of(text).alias("text"))
-    kind, asked = dict(rows.dtypes)["doc_id"], None
+    kind, scored = dict(rows.dtypes)["doc_id"], None
     state = model.state.select("bucket", "words", "often", "sizes", "ids", "ctx", "n", "sums", "kept", "levels", "guests")
+    known = model.state.select("ids", "guests", "levels").mapInArrow(_contexts(model.homes), CONTEXTS)
+    sums, given = SUMS.format(id=kind), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    with large_rows(docs.sparkSession):
+        known = written(known, "contexts")
     for i in range(ROUNDS):
-        # rows are numbered within a round: the remainder tells the rounds apart
-        some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i).withColumn("row", F.monotonically_increasing_id() * ROUNDS + i)
+        some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i).withColumn("row", F.monotonically_increasing_id())
         packed = some.mapInArrow(_packed(model.buckets, model.spread), PART.format(id=kind))
-        part = written(packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_scored(numbers, model.homes), ASKED.format(id=kind)), "sums")
-        asked = asked.unionByName(part) if asked is not None else part
-    known = model.state.select("ids", "guests", "levels").mapInArrow(_contexts(model.homes), CONTEXTS)
-    sums = SUMS.format(id=kind)
-    away = asked.filter("home IS NOT NULL").groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_away(model.d, kind), sums)
-    return asked.filter("home IS NULL").select(*away.columns).unionByName(away).groupBy("first").applyInArrow(
-        _added(model.tokens), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        asked = written(packed.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_scored(numbers, model.homes), ASKED.format(id=kind)), "sums")
+        away = asked.filter("home IS NOT NULL").groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_away(model.d, kind), sums)
+        part = written(asked.filter("home IS NULL").select(*away.columns).unionByName(away).groupBy("first").applyInArrow(_added(model.tokens), given), "scores")
+        forgotten(asked)
+        scored = scored.unionByName(part) if scored is not None else part
+    return scored

@@ -165,6 +165,28 @@ def test_lm_scores_are_those_of_one_bucket(spark, monkeypatch, share):
     assert len(one) == 60 and many == pytest.approx(one, rel=1e-5)
 
 
+def test_lm_asks_a_home_once_for_all_parts(spark, monkeypatch):
+    """However many parts the texts come in; a row for each part, too, grew with the parts times the homes times the buckets."""
+    asked, kept = [], pitman_yor.written
+
+    def written(df, name, *more):
+        df = kept(df, name, *more)
+        if "home" in df.columns and "logs" in df.columns:
+            asked.append(df.filter("home IS NOT NULL").count())
+        return df
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).localCheckpoint()
+    model = pitman_yor.train(docs.filter("doc_id % 2 = 0"))
+    monkeypatch.setattr(pitman_yor, "written", written)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert pitman_yor.score(docs, model).count() == 60
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert 0 < sum(asked) <= len(asked) * model.buckets * model.homes
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = entry.queries()["op12_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert 10 ** (-got[0] / got[2]) < 0.7 * 10 ** (-got[1] / got[2])
