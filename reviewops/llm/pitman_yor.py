@@ -28,10 +28,9 @@ training texts and one for all others.
 
 Words are dealt to buckets by hash, one for each BUCKET bytes of text, and a
 bucket's words, counts and tables are packed into arrays that NumPy works on.
-Tasks give their counts per bucket, each word once; buckets are put together a
-few (FAN) tasks at a time, so a word in every text brings no more to a merge
-than one in few.  Words of at least 1 / SPREAD of the tokens, of which there are
-at most SPREAD, have too many contexts for one bucket: theirs are dealt by word
+Tasks give their counts per bucket, each word once, so a bucket is sent no more
+cells than it has tokens.  Words of at least 1 / SPREAD of the tokens, of which
+there are at most SPREAD, have too many contexts for one bucket: theirs are dealt by word
 and context, and their totals, SPREAD numbers, are added up for all.  Which
 words these are is estimated on about SAMPLE bytes of text; any choice gives the
 same result.
@@ -57,8 +56,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewops.llm.common import WORD_CHARS, forgotten, mix64, text_of, written
-from reviewops.llm.words import Numbering, numbered, runs, slices
+from reviewops.llm.common import WORD_CHARS, forgotten, mix64, text_of, utf8_column, written
+from reviewops.llm.words import runs, slices
 
 SPREAD, SAMPLE, BUCKET = 1 << 12, 1 << 24, 1 << 22
 STRENGTH, BURN_IN, SAMPLES, STEP = 1.0, 2, 3, 16
@@ -67,12 +66,12 @@ START, PARENT = 0, -1
 #: The end of a text, as a word.
 END = b""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Tokens, and different words, that a task holds before it gives them.
-TOKENS, DIFFERENT = 1 << 20, 1 << 18
+#: Tokens that a task holds before it gives them.
+TOKENS = 1 << 20
 #: Rows with a whole bucket that are read together.
 LARGE = 4
 #: Texts are scored in so many rounds, by hash, so that the words of one round only are on disk.
-ROUNDS = 3
+ROUNDS = 2
 #: Bytes of text that a task looks at together.
 TEXT = 1 << 23
 
@@ -121,6 +120,15 @@ def unsmall(value: bytes) -> np.ndarray:
     return np.ascontiguousarray(data.T).view(f"<u{value[0]}").reshape(-1).astype(np.int64)
 
 
+def steps(values: np.ndarray) -> bytes:
+    """Numbers from 0 in order, as the steps between them."""
+    return small(np.diff(values, prepend=0))
+
+
+def unsteps(value: bytes) -> np.ndarray:
+    return np.cumsum(unsmall(value))
+
+
 def joined(words: list[bytes]) -> bytes:
     """Words hold no blank, so one between them tells them apart."""
     return b" ".join(words)
@@ -141,40 +149,62 @@ class Found:
     """Tokens of texts as numbers: what a task holds before it gives counts or cells."""
 
     def __init__(self):
-        self.numbers, self.ids, self.sizes, self.total = Numbering(), [], [], 0
+        self.tokens, self.sizes, self.total = [], [], 0
 
     def add(self, column) -> None:
-        for _, ids in numbered(column, self.numbers):
-            self.ids += [ids, np.array([self.numbers[END]])]
-            self.sizes.append(len(ids) + 1)
-            self.total += len(ids) + 1
+        """A text's words, A-Z lower-cased, are followed by one empty string, its end: so it is with a blank behind the last word."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        data, offsets = utf8_column(column)
+        # from buffers that begin with the first text: on parts of larger ones these functions took other bytes
+        text = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+        text = pc.ascii_trim_whitespace(pc.ascii_lower(text))
+        none, blank = pa.scalar("", text.type), pa.scalar(" ", text.type)
+        text = pc.if_else(pc.equal(text, none), none, pc.binary_join_element_wise(text, none, blank))
+        words = pc.ascii_split_whitespace(text)
+        self.tokens.append(words.flatten())
+        self.sizes.append(pc.list_value_length(words).to_numpy())
+        self.total += len(self.tokens[-1])
 
     def full(self) -> bool:
-        return self.total >= TOKENS or len(self.numbers) >= DIFFERENT
+        return self.total >= TOKENS
 
-    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word, word before) of each token, words by number; the start of a text comes after all of them."""
-        ids, sizes = np.concatenate(self.ids), np.array(self.sizes)
+        import pyarrow as pa
+
+        coded, sizes = pa.concat_arrays(self.tokens).cast(pa.large_binary()).dictionary_encode(), np.concatenate(self.sizes)
+        self.dictionary, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.words = self.dictionary.to_pylist()
         before = np.concatenate((ids[:1], ids[:-1]))
-        before[np.cumsum(sizes) - sizes] = len(self.numbers)
+        before[np.cumsum(sizes) - sizes] = len(self.words)
         return np.repeat(np.arange(len(sizes)), sizes), ids, before
 
     def names(self) -> np.ndarray:
         """The contexts that the words and the start are."""
-        return np.append(contexts(self.numbers.words), START)
+        return np.append(contexts(self.words), START)
 
     def by_bucket(self, word: np.ndarray, ctx: np.ndarray, names: np.ndarray, buckets: int, spread: dict):
-        """(bucket, its words in order, their sizes, their places) of sorted words, by number, with their contexts."""
-        words, home = self.numbers.words, names % buckets
-        home[[self.numbers[w] for w in spread if w in self.numbers]] = -1
+        """(bucket, its words in order, joined, their sizes, their places) of sorted words, by number, with their contexts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        home = names % buckets
+        often = pc.index_in(pa.array(list(spread), self.dictionary.type), value_set=self.dictionary)
+        home[often.drop_null().to_numpy()] = -1
         home = home[word]
         dealt = np.flatnonzero(home < 0)
         home[dealt] = (draws(names[word[dealt]], ctx[dealt], -1) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        for at in np.split(order, runs(home[order])[1:]):
-            if len(at):
-                first = runs(word[at])
-                yield int(home[at[0]]), [words[w] for w in word[at[first]].tolist()], np.diff(np.append(first, len(at))), at
+        order = np.argsort(home.astype(np.min_scalar_type(buckets)), kind="stable")
+        home, word = home[order], word[order]
+        first = runs(home * len(names) + word)
+        sizes, bounds = np.diff(np.append(first, len(word))), np.append(runs(home), len(home))
+        cuts = np.searchsorted(first, bounds)
+        lists = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), self.dictionary.take(pa.array(word[first])))
+        cuts, bounds = cuts.tolist(), bounds.tolist()
+        for i, words in enumerate(pc.binary_join(lists, pa.scalar(b" ", self.dictionary.type)).to_pylist()):
+            yield int(home[bounds[i]]), words, sizes[cuts[i]:cuts[i + 1]], order[bounds[i]:bounds[i + 1]]
 
 
 def spread_words(docs: DataFrame, size: int) -> dict[bytes, int]:
@@ -191,23 +221,22 @@ def spread_words(docs: DataFrame, size: int) -> dict[bytes, int]:
 
 # counts and seating ------------------------------------------------------------------------------------------------------
 
-CELLS = "bucket int, part long, words binary, sizes binary, ctx binary, n binary"
+CELLS = "bucket int, words binary, sizes binary, ctx binary, n binary"
 
 
 def _cells(buckets: int, spread: dict):
     """Counts of (word, context) of some texts, a row per bucket."""
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        task, found = TaskContext.get().partitionId(), Found()
+        found = Found()
 
         def given():
-            _, word, before = found.tokens()
+            _, word, before = found.numbered()
             names = found.names()
             cell, n = np.unique(word * len(names) + before, return_counts=True)
             word, ctx = cell // len(names), names[cell % len(names)]
-            rows = [(b, task, joined(words), blob(sizes, np.int32), blob(ctx[at], np.int64), small(n[at]))
+            rows = [(b, words, blob(sizes, np.int32), blob(ctx[at], np.int64), small(n[at]))
                     for b, words, sizes, at in found.by_bucket(word, ctx, names, buckets, spread)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=_arrow(CELLS))
 
@@ -229,19 +258,20 @@ def _arrow(ddl: str, id_type=None):
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def merged(table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, contexts of each, context and count of each cell) of some rows of cells."""
+def merged(table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, contexts of each, names of all contexts, context's place and count of each cell) of some rows of cells."""
     import pyarrow as pa
 
     words = [w for x in table.column("words").to_pylist() for w in x.split(b" ")]
-    sizes, ctx = (np.concatenate([unblob(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("sizes", np.int32), ("ctx", np.int64)))
+    sizes, ctx = (unblob(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("sizes", np.int32), ("ctx", np.int64)))
     n = np.concatenate([unsmall(x) for x in table.column("n").to_pylist()])
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    word = np.repeat(np.asarray(coded.indices).astype(np.int64), sizes)
-    order = np.lexsort((ctx, word))
-    word, ctx = word[order], ctx[order]
-    at = np.flatnonzero(np.concatenate((np.ones(1, bool), (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1]))))
-    return coded.dictionary.to_pylist(), np.bincount(word[at]), ctx[at], np.add.reduceat(n[order], at)
+    ids, place = np.unique(ctx, return_inverse=True)
+    cell = np.repeat(np.asarray(coded.indices).astype(np.int64), sizes) * len(ids) + place
+    order = np.argsort(cell)
+    cell = cell[order]
+    at = runs(cell)
+    return coded.dictionary.to_pylist(), np.bincount(cell[at] // len(ids)), ids, cell[at] % len(ids), np.add.reduceat(n[order], at)
 
 
 #: A bucket: words, their numbers among the spread ones (or -1), how many contexts; names of all its contexts; of each cell its
@@ -258,11 +288,11 @@ STATE = ("bucket int, words binary, often binary, sizes binary, ids binary, ctx
 #: words left out, and those of spread words.
 SEATS = ("bucket int, hashes binary, often binary, single binary, sizes binary, t0 binary, ids binary, cells binary, ctx binary, n binary, "
          "t binary, sums binary, kept binary, beyond binary, others long, strangers long, tables long, parents long, seats array<long>")
-KINDS = {"often": np.int32, "sizes": np.int32, "ids": np.int64, "ctx": np.int32, "hashes": np.int64}
+KINDS = {"often": np.int32, "sizes": np.int32, "hashes": np.int64}
 
 
 def part_of(row: dict, *names: str):
-    return (unblob(row[x], KINDS[x]) if x in KINDS else unsmall(row[x]) for x in names)
+    return (unblob(row[x], KINDS[x]) if x in KINDS else unsteps(row[x]) if x == "ids" else unsmall(row[x]) for x in names)
 
 
 def _table(ddl: str, rows: list[dict]):
@@ -275,14 +305,13 @@ def _table(ddl: str, rows: list[dict]):
 def _opening(spread: dict):
     """A bucket's words with their contexts and customers."""
     def run(table):
-        words, sizes, names, n = merged(table)
-        ids, ctx = np.unique(names, return_inverse=True)
+        words, sizes, ids, ctx, n = merged(table)
         often = np.fromiter((spread.get(w, -1) for w in words), np.int32, len(words))
         own = often < 0
         total = lambda x: _by_number(often, np.add.reduceat(x, np.cumsum(sizes) - sizes), len(spread))
         return _table(STATE, [{
             "bucket": table.column("bucket")[0].as_py(), "words": joined(words), "often": blob(often, np.int32),
-            "sizes": blob(sizes, np.int32), "ids": blob(ids, np.int64), "ctx": blob(ctx, np.int32), "n": small(n),
+            "sizes": blob(sizes, np.int32), "ids": steps(ids), "ctx": small(ctx), "n": small(n),
             "sums": b"", "kept": b"", "levels": b"", "guests": b"", "v": int(own.sum()),
             "once": int((n == 1).sum()), "twice": int((n == 2).sum()), "alone": int((sizes[own] == 1).sum()), "pair": int((sizes[own] == 2).sum()),
             "tokens": int(n.sum()), "tables": len(n), "parents": int(own.sum()), "counts": total(n), "loads": total(np.ones(len(n), np.int64))}])
@@ -309,8 +338,8 @@ def _first_seats(width: int):
                 hashes = contexts(list(itertools.compress(row["words"].split(b" "), warm.tolist())))
                 yield from _table(SEATS, [{
                     "bucket": row["bucket"], "hashes": blob(hashes, np.int64), "often": blob(often[warm], np.int32), "single": small(single[warm]),
-                    "sizes": blob((size - single)[warm], np.int32), "t0": small(own.astype(int)), "ids": blob(ids[some], np.int64), "cells": b"",
-                    "ctx": blob(place, np.int32), "n": small(n[crowd]), "t": small(one), "sums": small(0 * one), "kept": b"", "beyond": b"",
+                    "sizes": blob((size - single)[warm], np.int32), "t0": small(own.astype(int)), "ids": steps(ids[some]), "cells": b"",
+                    "ctx": small(place), "n": small(n[crowd]), "t": small(one), "sums": small(0 * one), "kept": b"", "beyond": b"",
                     "others": len(n) - len(crowd), "strangers": int((~warm).sum()), "tables": len(n), "parents": int((often < 0).sum()),
                     "seats": _by_number(often, size, width)}]).to_batches()
     return run
@@ -345,8 +374,8 @@ def _sent(gives, asks: bool, homes: int):
     def run(batches):
         for batch in batches:
             for row in one_by_one(batch):
-                ids, x = unblob(row["ids"], np.int64), gives(row)
-                rows = [{"home": home, "bucket": row["bucket"], "asks": asks, "ids": blob(ids[a:b], np.int64), "x": small(x[:, a:b])} for home, a, b in _by_home(ids, homes)]
+                ids, x = unsteps(row["ids"]), gives(row)
+                rows = [{"home": home, "bucket": row["bucket"], "asks": asks, "ids": steps(ids[a:b]), "x": small(x[:, a:b])} for home, a, b in _by_home(ids, homes)]
                 yield from _table(SENT, rows).to_batches()
     return run
 
@@ -355,7 +384,7 @@ def _summed(table):
     """The totals of a home's contexts, to the buckets that asked for them."""
     import pyarrow as pa
 
-    ids = [unblob(x, np.int64) for x in table.column("ids").to_pylist()]
+    ids = [unsteps(x) for x in table.column("ids").to_pylist()]
     x = np.concatenate([unsmall(x).reshape(-1, len(i)) for x, i in zip(table.column("x").to_pylist(), ids, strict=True)], 1)
     _, place = np.unique(np.concatenate(ids), return_inverse=True)
     total = np.stack([np.bincount(place, weights=c).astype(np.int64) for c in x])
@@ -393,7 +422,7 @@ def _cells_here(row: dict) -> np.ndarray:
 
 
 def _nothing(row: dict) -> np.ndarray:
-    return np.zeros((1, len(row["ids"]) // 8), np.int64)
+    return np.zeros((1, len(unsteps(row["ids"]))), np.int64)
 
 
 def _beyond(row: dict) -> np.ndarray:
@@ -419,20 +448,22 @@ def draws(word: np.ndarray, ctx: np.ndarray | int, sweep: int) -> np.ndarray:
 
 def seated(c: np.ndarray, a: np.ndarray, p: np.ndarray | float, d: float, state: np.ndarray) -> np.ndarray:
     """Tables after c customers have sat down: the first new table has weight a, each table taken adds d p to it."""
-    t, order = np.minimum(c, 1).astype(np.int64), np.argsort(-c, kind="stable")
-    p = np.broadcast_to(p, c.shape)
-    i, n = 1, int(np.searchsorted(-c[order], -1, "left"))                 # the first n have more customers than i
+    order = np.argsort(-c, kind="stable")
+    c, a, p, state = c[order], a[order], np.broadcast_to(p, c.shape)[order], state[order]
+    t = np.minimum(c, 1).astype(np.int64)
+    i, n = 1, int(np.searchsorted(-c, -1, "left"))                        # the first n have more customers than i
     while n:
-        at = order[:n]
-        state[at] = mix64(state[at] + np.uint64(0x9E3779B97F4A7C15))
-        u = (state[at] >> np.uint64(11)) * 2.0 ** -53
-        together = np.minimum(max(1, i // STEP), c[at] - i)
-        weight = a[at] + d * p[at] * t[at]
-        new = np.floor(together * weight / (weight + i - d * t[at]) + u).astype(np.int64)
-        t[at] += np.minimum(new, together)
+        state = mix64(state[:n] + np.uint64(0x9E3779B97F4A7C15))
+        u = (state >> np.uint64(11)) * 2.0 ** -53
+        together = np.minimum(max(1, i // STEP), c[:n] - i)
+        weight = a[:n] + d * p[:n] * t[:n]
+        new = np.floor(together * weight / (weight + i - d * t[:n]) + u).astype(np.int64)
+        t[:n] += np.minimum(new, together)
         i += max(1, i // STEP)
-        n = int(np.searchsorted(-c[at], -i, "left"))
-    return t
+        n = int(np.searchsorted(-c[:n], -i, "left"))
+    out = np.empty_like(t)
+    out[order] = t
+    return out
 
 
 def parent(n: np.ndarray, t: np.ndarray, customers: np.ndarray | int, tables: int, v: int, d: float) -> np.ndarray:
@@ -657,9 +688,9 @@ def _packed(buckets: int, spread: dict):
     def given(batch):
         found, m, part = Found(), batch.num_rows, _arrow(PART.format(id="id"), batch.schema.field("doc_id").type)
         found.add(batch.column("text"))
-        text, word, before = found.tokens()
+        text, word, before = found.numbered()
         row, names = batch.column("row").to_numpy(), found.names()
-        yield _rows(part, m, row=batch.column("row"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=found.sizes,
+        yield _rows(part, m, row=batch.column("row"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=found.sizes[0],
                     bucket=row % buckets, first=np.full(m, row[0]))
         key, times = np.unique((word * len(names) + before) * m + text, return_counts=True)
         pair, at = key // m, row[key % m] - row[0]
@@ -668,7 +699,7 @@ def _packed(buckets: int, spread: dict):
         word, ctx, rows = pair // len(names), names[pair % len(names)], []
         for b, words, sizes, i in found.by_bucket(word, ctx, names, buckets, spread):
             j = ranges(first[i], texts[i])
-            rows.append((b, joined(words), blob(sizes, np.int32), blob(ctx[i], np.int64), small(texts[i]), small(at[j]), small(times[j])))
+            rows.append((b, words, blob(sizes, np.int32), blob(ctx[i], np.int64), small(texts[i]), small(at[j]), small(times[j])))
         yield _rows(part, len(rows), first=np.full(len(rows), row[0]), **dict(zip(("bucket", "words", "sizes", "ctx", "texts", "at", "times"), zip(*rows, strict=True), strict=True)))
     return run
 
@@ -749,7 +780,7 @@ def _contexts(homes: int):
             for row in one_by_one(batch):
                 ids, guests, levels = part_of(row, "ids", "guests", "levels")
                 levels = levels.reshape(SAMPLES, -1)
-                rows = [(home, blob(ids[a:b], np.int64), small(guests[a:b]), small(levels[:, a:b])) for home, a, b in _by_home(ids, homes)]
+                rows = [(home, steps(ids[a:b]), small(guests[a:b]), small(levels[:, a:b])) for home, a, b in _by_home(ids, homes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_arrow(CONTEXTS))
     return run
 
@@ -764,7 +795,7 @@ def _away(d: tuple[float, float], kind: str):
             return schema.empty_table()
         know = list(one_by_one(right))
         if know:
-            ids, first = np.unique(np.concatenate([unblob(r["ids"], np.int64) for r in know]), return_index=True)
+            ids, first = np.unique(np.concatenate([unsteps(r["ids"]) for r in know]), return_index=True)
             guests = np.concatenate([unsmall(r["guests"]) for r in know])[first]
             levels = np.concatenate([unsmall(r["levels"]).reshape(SAMPLES, -1) for r in know], 1)[:, first]
         else:
