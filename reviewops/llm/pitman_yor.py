@@ -86,7 +86,7 @@ def context(word: bytes) -> int:
     return int(contexts([word])[0])
 
 
-def contexts(words: list[bytes]) -> np.ndarray:
+def contexts(words: list[bytes] | np.ndarray) -> np.ndarray:
     from pandas.util import hash_array
 
     return (hash_array(np.array(words, object), categorize=False) >> np.uint64(1)).astype(np.int64)
@@ -176,7 +176,7 @@ class Found:
 
         coded, sizes = pa.concat_arrays(self.tokens).cast(pa.large_binary()).dictionary_encode(), np.concatenate(self.sizes)
         self.dictionary, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        self.words = self.dictionary.to_pylist()
+        self.words = self.dictionary.to_numpy(zero_copy_only=False)
         before = np.concatenate((ids[:1], ids[:-1]))
         before[np.cumsum(sizes) - sizes] = len(self.words)
         return np.repeat(np.arange(len(sizes)), sizes), ids, before
@@ -271,7 +271,7 @@ def merged(table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.n
     order = np.argsort(cell)
     cell = cell[order]
     at = runs(cell)
-    return coded.dictionary.to_pylist(), np.bincount(cell[at] // len(ids)), ids, cell[at] % len(ids), np.add.reduceat(n[order], at)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(cell[at] // len(ids)), ids, cell[at] % len(ids), np.add.reduceat(n[order], at)
 
 
 #: A bucket: words, their numbers among the spread ones (or -1), how many contexts; names of all its contexts; of each cell its
@@ -635,8 +635,10 @@ class Words:
 
     def probability(self, word: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Of words (by place; -1 if unknown) in contexts; those that this bucket does not know are taken for never seen."""
-        place = places(ctx, self.ids)
-        p = (self.p0[word] * self.weight[place]).sum(1) / SAMPLES
+        return self.probability_at(word, places(ctx, self.ids))
+
+    def probability_at(self, word: np.ndarray, place: np.ndarray) -> np.ndarray:
+        p = np.einsum("ij,ij->i", self.p0[word], self.weight[place]) / SAMPLES
         if len(self.cell):
             key = word * (len(self.ids) + 1) + place
             at = np.minimum(np.searchsorted(self.cell, key), len(self.cell) - 1)
@@ -744,8 +746,9 @@ def _scored(numbers: tuple, homes: int):
         word = np.repeat(found, np.concatenate([unblob(x, np.int32) for x in sizes]))
         pairs, ctx = [len(x) // 8 for x in ctx], unblob(b"".join(ctx), np.int64)
         texts, at, times = ([unsmall(x) for x in column] for column in (texts, at, times))
-        here = places(ctx, model.ids) >= 0
-        logs, base, c = np.where(here, np.log10(model.probability(word, ctx)), 0), model.base(word), model.c[word] > 0
+        place = places(ctx, model.ids)
+        here = place >= 0
+        logs, base, c = np.where(here, np.log10(model.probability_at(word, place)), 0), model.base(word), model.c[word] > 0
         end = np.cumsum(pairs).tolist()
         for first, a, b, k, i, x in zip(firsts, [0, *end], end, texts, at, times, strict=False):
             yield _sums(i, x, *(np.repeat(y[a:b], k) for y in (c, base, logs))) | {"first": first}
@@ -802,7 +805,7 @@ def _away(d: tuple[float, float], kind: str):
             ids, guests, levels = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((SAMPLES, 0), np.int64)
         weight = np.append(weights(levels, guests, d), np.ones((1, SAMPLES)), 0)
         firsts, sizes, ctx, texts, at, times, p0 = zip(*listed(left, "firsts", "sizes", "ctx", "texts", "at", "times", "p0"), strict=True)
-        p = (unblob(b"".join(p0), float).reshape(-1, SAMPLES) * weight[places(unblob(b"".join(ctx), np.int64), ids)]).sum(1) / SAMPLES
+        p = np.einsum("ij,ij->i", unblob(b"".join(p0), float).reshape(-1, SAMPLES), weight[places(unblob(b"".join(ctx), np.int64), ids)]) / SAMPLES
         texts, at, times = (np.concatenate([unsmall(x) for x in column]) for column in (texts, at, times))
         first = np.repeat(np.repeat(unblob(b"".join(firsts), np.int64), unblob(b"".join(sizes), np.int32)), texts)
         logs, order = np.repeat(np.log10(p), texts), np.argsort(first, kind="stable")
