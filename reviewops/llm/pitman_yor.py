@@ -73,7 +73,7 @@ LARGE = 4
 #: Texts are scored in so many rounds, by hash, so that the words of one round only are on disk.
 ROUNDS = 2
 #: Bytes of text that a task looks at together.
-TEXT = 1 << 23
+TEXT = 1 << 22
 
 
 def held_out(doc_id: str = "doc_id"):
