@@ -30,10 +30,11 @@ Words are dealt to buckets by hash, one for each BUCKET bytes of text, and a
 bucket's words, counts and tables are packed into arrays that NumPy works on.
 Tasks give their counts per bucket, each word once, so a bucket is sent no more
 cells than it has tokens.  Words of at least 1 / SPREAD of the tokens, of which
-there are at most SPREAD, have too many contexts for one bucket: theirs are dealt by word
-and context, and their totals, SPREAD numbers, are added up for all.  Which
-words these are is estimated on about SAMPLE bytes of text; any choice gives the
-same result.
+there are at most SPREAD, have too many contexts for one bucket: theirs are
+dealt by word and context, and their totals, SPREAD numbers, are added up for
+all.  Which words these are is estimated on about SAMPLE bytes of text; any
+choice gives the same result.  A sweep carries only what it may change: a
+customer who is alone with a word in a context has one table always.
 
 Texts are scored in ROUNDS, where the words are: their words, with context and row, go to
 the buckets, and the sums come back by row.  A bucket knows the restaurants
